@@ -10,13 +10,54 @@ from pyspark.sql import DataFrame, SparkSession
 from veilspark.llm.bpe import encode_texts
 from veilspark.llm.exact_dedup import exact_duplicates
 from veilspark.llm.packing import packed_documents
+from veilspark.llm.quality_rules import quality_verdicts
 from veilspark.llm.shared import read_table
+from veilspark.llm.toxicity import toxicity_scores
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(read_table(spark, sf_dir, "documents"))
+
+
+#: The counts and rules in SQL; the order of the cascade does not show in its verdicts.
+OP2_SQL = r"""
+WITH base AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), grams AS (
+  SELECT r, unnest(range(1, len(w) - 3)) AS i, w FROM base WHERE len(w) >= 5
+), keyed AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(w[i:i + 4], ' ')) AS times FROM grams
+), covered AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM keyed WHERE times > 1) GROUP BY r
+), filled AS (
+  SELECT r, count(*) AS n, count(*) - count(DISTINCT line) AS dup
+  FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM base) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
+), counted AS (
+  SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(filled.dup, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, coalesce(filled.n, 0) AS n_lines,
+         length(t) - length(replace(t, '!', '')) AS bangs, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS uppers,
+         length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS letters,
+         len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS stutters
+  FROM base LEFT JOIN covered USING (r) LEFT JOIN filled USING (r)
+), judged AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 100 * n_symbols > 20 * n_words OR 100 * uppers > 40 * letters OR 100 * bangs > 30 * n_words
+            OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR 100 * stutters > 25 * n_words OR 100 * n_dup_lines > 60 * n_lines) AS kept
+FROM judged
+"""
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -36,8 +77,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_packing": op3_packing, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe}
+    return {"op2_quality_rules": op2_quality_rules, "op3_packing": op3_packing, "op6_toxicity": op6_toxicity, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op8_exact_dedup": OP8_SQL}
