@@ -9,12 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veilspark.llm.bpe import encode_texts
 from veilspark.llm.exact_dedup import exact_duplicates
+from veilspark.llm.licenses import TEMPLATES, license_matches
+from veilspark.llm.line_dedup import MIN_PAGES, RATIO, drop_boilerplate
 from veilspark.llm.packing import packed_documents
 from veilspark.llm.quality_rules import quality_verdicts
+from veilspark.llm.secrets import secret_report
 from veilspark.llm.shared import read_table
 from veilspark.llm.toxicity import toxicity_scores
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(read_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(read_table(spark, sf_dir, "documents"))
 
@@ -54,10 +61,51 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_boilerplate(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+OP5_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text FROM documents),
+pages AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+lines AS (SELECT r, source, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM (SELECT r, source, string_split(text, chr(10)) AS l FROM d WHERE text IS NOT NULL)),
+bad AS (
+  SELECT l.source, line FROM lines l JOIN pages p ON l.source IS NOT DISTINCT FROM p.source
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY l.source, line, pages
+  HAVING count(DISTINCT r) >= {MIN_PAGES} AND count(DISTINCT r) > {RATIO} * pages
+), marked AS (
+  SELECT r, i, l.line, bad.line IS NOT NULL AS gone FROM lines l LEFT JOIN bad ON l.line = bad.line AND l.source IS NOT DISTINCT FROM bad.source
+), rebuilt AS (
+  SELECT r, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped FROM marked GROUP BY r
+)
+SELECT doc_id, b.text, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped FROM d LEFT JOIN rebuilt b USING (r)
+"""
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_matches(read_table(spark, sf_dir, "documents"))
+
+
+_QUOTED = ", ".join(f"('{name}', '{text.replace(chr(39), chr(39) * 2)}')" for name, text in TEMPLATES.items())
+#: Every text against every template, without retrieval.
+OP7_SQL = rf"""
+WITH words AS (
+  SELECT r, list_filter(regexp_split_to_array(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS w
+  FROM (SELECT row_number() OVER () AS r, text AS t FROM documents UNION ALL SELECT name, text FROM (SELECT -row_number() OVER () AS name, text FROM (VALUES {_QUOTED}) v(n, text)))
+), names AS (SELECT -row_number() OVER () AS r, n AS license FROM (VALUES {_QUOTED}) v(n, text)
+), ids AS (SELECT row_number() OVER () AS r, doc_id FROM documents
+), shingles AS (
+  SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5)
+), templates AS (SELECT license, s, count(*) OVER (PARTITION BY license) AS n FROM shingles JOIN names USING (r))
+SELECT doc_id, license, n AS n_template, count(*) AS n_found
+FROM shingles JOIN templates USING (s) JOIN ids USING (r) GROUP BY r, doc_id, license, n HAVING count(*) >= 0.8 * n
+"""
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -77,8 +125,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality_rules": op2_quality_rules, "op3_packing": op3_packing, "op6_toxicity": op6_toxicity, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe}
+    return {"op1_secret_scan": op1_secret_scan, "op2_quality_rules": op2_quality_rules, "op5_line_dedup": op5_line_dedup, "op7_licenses": op7_licenses, "op3_packing": op3_packing, "op6_toxicity": op6_toxicity, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op5_line_dedup": OP5_SQL, "op7_licenses": OP7_SQL, "op8_exact_dedup": OP8_SQL}

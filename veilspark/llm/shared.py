@@ -49,4 +49,10 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def hash_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
+    """About `rows` rows, at most that many, those of low hash: thinned in the scan, so no task gathers candidates."""
+    share = min(1.0, 1.5 * rows / max(df.count(), 1))
+    return df.filter(F.pmod(F.xxhash64(F.lit(41), key), F.lit(1 << 30)) < int(share * (1 << 30))).limit(rows)
+
+
 ASCII_LOWER = {ord(a): b for a, b in zip(UPPER, LOWER, strict=True)}
