@@ -11,6 +11,7 @@ from veilspark.llm.bpe import encode_texts
 from veilspark.llm.exact_dedup import exact_duplicates
 from veilspark.llm.licenses import TEMPLATES, license_matches
 from veilspark.llm.line_dedup import MIN_PAGES, RATIO, drop_boilerplate
+from veilspark.llm.ngram_join import near_components
 from veilspark.llm.packing import packed_documents
 from veilspark.llm.quality_rules import quality_verdicts
 from veilspark.llm.secrets import secret_report
@@ -124,9 +125,31 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(read_table(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a shingle, without prefixes, then every reachable document.
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM w WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id JOIN n p ON p.doc_id = x.doc_id JOIN n q ON q.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING 100 * count(*) >= 90 * (p.n + q.n - count(*))
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM n UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least.b, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least ON least.a = d.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secret_scan": op1_secret_scan, "op2_quality_rules": op2_quality_rules, "op5_line_dedup": op5_line_dedup, "op7_licenses": op7_licenses, "op3_packing": op3_packing, "op6_toxicity": op6_toxicity, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe}
+    return {"op1_secret_scan": op1_secret_scan, "op2_quality_rules": op2_quality_rules, "op5_line_dedup": op5_line_dedup, "op7_licenses": op7_licenses, "op3_packing": op3_packing, "op6_toxicity": op6_toxicity, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe, "op10_ngram_join": op10_ngram_join}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL, "op5_line_dedup": OP5_SQL, "op7_licenses": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op5_line_dedup": OP5_SQL, "op7_licenses": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op10_ngram_join": OP10_SQL}
