@@ -86,7 +86,7 @@ def parities(tokens: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount((tokens & _M(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view("<i8")
 
 
-_FACTS = "doc_id long, node long, n long, p0 long, p1 long, p2 long, p3 long, chunk int, counts binary"
+_FACTS = "doc_id long, mark long, node long, n long, p0 long, p1 long, p2 long, p3 long, chunk int, counts binary"
 
 
 def _facts(size: int, width: int):
@@ -100,10 +100,10 @@ def _facts(size: int, width: int):
             rows = [(node_of(t), len(t), *parities(t).tolist()) for t in sets]
             columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] or [pa.array([], pa.int64())] * 6
             empty = [pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *empty], ["doc_id", "node", "n", "p0", "p1", "p2", "p3", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns, *empty], ["doc_id", "mark", "node", "n", "p0", "p1", "p2", "p3", "chunk", "counts"])
         used = [k for k in range(0, 1 << width, CHUNK) if counts[k : k + CHUNK].any()]
         data = [zlib.compress(counts[k : k + CHUNK].astype("<i8").tobytes(), 1) for k in used]
-        yield pa.RecordBatch.from_arrays([*[pa.nulls(len(used), pa.int64())] * 7, pa.array([k // CHUNK for k in used], pa.int32()), pa.array(data, pa.binary())], ["doc_id", "node", "n", "p0", "p1", "p2", "p3", "chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(len(used), pa.int64())] * 8, pa.array([k // CHUNK for k in used], pa.int32()), pa.array(data, pa.binary())], ["doc_id", "mark", "node", "n", "p0", "p1", "p2", "p3", "chunk", "counts"])
 
     return run
 
@@ -236,7 +236,8 @@ class JaccardJoin:
 
     def __init__(self, docs: DataFrame, percent: int, size: int, id_col: str, text_col: str, width: int | None):
         self.percent, self.size = percent, size
-        self.rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(whole_text(text_col), "UTF-8").alias("text"))
+        data = F.encode(whole_text(text_col), "UTF-8")
+        self.rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), data.alias("text"), F.xxhash64(data).alias("mark"))
         if width is None:  # about four buckets a document; one byte a bucket is broadcast, 64 MB at most
             width = min(26, max(16, (4 * max(docs.count(), 1) - 1).bit_length()))
         self.width = width
@@ -304,8 +305,8 @@ class JaccardJoin:
         return staged(linked.select("a", "b"), "ngram-links")
 
 
-def near_components(docs: DataFrame, percent: int = 90, size: int = 3, id_col: str = "doc_id", text_col: str = "text", width: int | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs; links are 100 * intersection >= percent * union."""
+def near_components(docs: DataFrame, percent: int = 90, size: int = 3, id_col: str = "doc_id", text_col: str = "text", width: int | None = None, marks: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs, with marks also a hash of its text; links are 100 * intersection >= percent * union."""
     facts, links = JaccardJoin(docs, percent, size, id_col, text_col, width).run()
     labels = connected_components(links)
     least = facts.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
@@ -313,4 +314,4 @@ def near_components(docs: DataFrame, percent: int = 90, size: int = 3, id_col: s
     labelled = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     top = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     ids = labelled.select("node", "label").join(top, "label").select("node", "component_id")
-    return facts.join(ids, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return facts.join(ids, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *["mark"] * marks)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,7 @@ from veilspark.llm.licenses import TEMPLATES, license_matches
 from veilspark.llm.line_dedup import MIN_PAGES, RATIO, drop_boilerplate
 from veilspark.llm.ngram_join import near_components
 from veilspark.llm.packing import packed_documents
+from veilspark.llm.quality_classifier import quality_scores
 from veilspark.llm.quality_rules import quality_verdicts
 from veilspark.llm.secrets import secret_report
 from veilspark.llm.shared import read_table
@@ -62,6 +64,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return scored.selectExpr("doc_id", "_score AS score", "_kept AS kept")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
@@ -148,7 +155,7 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least ON least.a =
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secret_scan": op1_secret_scan, "op2_quality_rules": op2_quality_rules, "op5_line_dedup": op5_line_dedup, "op7_licenses": op7_licenses, "op3_packing": op3_packing, "op6_toxicity": op6_toxicity, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe, "op10_ngram_join": op10_ngram_join}
+    return {"op1_secret_scan": op1_secret_scan, "op2_quality_rules": op2_quality_rules, "op4_quality_classifier": op4_quality_classifier, "op5_line_dedup": op5_line_dedup, "op7_licenses": op7_licenses, "op3_packing": op3_packing, "op6_toxicity": op6_toxicity, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe, "op10_ngram_join": op10_ngram_join, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
