@@ -189,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, meta_cols: list[str], sample: int
     if got.empty:
         return None
     got["h"] = [xxhash.xxh32_intdigest(str(d).encode()) for d in got["doc_id"]]
-    got = got.sort_values(["h", "doc_id"]).drop_duplicates("doc_id")
+    got = got.sort_values(["h", "doc_id", "quality"]).drop_duplicates("doc_id")  # rows without a label come last
     x, y = np.array(got["x"].tolist(), np.float64), got["quality"].to_numpy(np.float64)
     known = ~np.isnan(y)
     return co_train(x[known, :N_TEXT], x[known, N_TEXT:], y[known], x[~known, :N_TEXT], x[~known, N_TEXT:])
