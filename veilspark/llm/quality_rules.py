@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.shared import whole_text
+from veilspark.llm.shared import hash_sample, whole_text
 
 #: Fixed values of the measures.
 BLANKS, SYMBOLS, UPPERS, FOLLOWING = b" \t\n\v\f\r", b"#*$%&|<>", bytes(range(65, 91)), bytes(range(0x80, 0xC0))
@@ -145,7 +145,7 @@ def profile(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col
                 verdicts.append(failed)
             yield pa.RecordBatch.from_arrays([pa.array(seconds, pa.list_(pa.float64())), pa.array(verdicts, pa.list_(pa.bool_()))], ["seconds", "failed"])
 
-    sample = _as_bytes(docs, id_col, text_col).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    sample = hash_sample(_as_bytes(docs, id_col, text_col), F.col("doc_id"), sample_rows)
     rows = sample.mapInArrow(run, "seconds array<double>, failed array<boolean>").collect()
     shape = (len(rows), len(rules))
     return np.array([r.seconds for r in rows]).reshape(shape), np.array([r.failed for r in rows], bool).reshape(shape)
