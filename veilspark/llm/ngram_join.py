@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.components import connected_components
-from veilspark.llm.shared import staged, whole_text
+from veilspark.llm.shared import forget, staged, whole_text
 
 #: Rows of a broadcast id list at most; beyond, the join shuffles.
 BROADCAST_IDS = 500_000
@@ -251,8 +251,9 @@ class JaccardJoin:
         posted = staged(self.rows.select("text").mapInArrow(_postings(self.size, prefixes), "key long, node long, rare long"), "ngram-entries")
         several = posted.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
         shared = staged(posted.join(several, "key", "left_semi").distinct(), "ngram-shared")
+        forget(posted)
         known = self.facts.join(shared.select("node").distinct(), "node", "left_semi")
-        self.nodes = staged(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "p0", "p1", "p2", "p3"))), "ngram-nodes")
+        self.nodes = staged(known.groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("rep"), *(F.first(c).alias(c) for c in ("n", "p0", "p1", "p2", "p3"))), "ngram-nodes")
         lead = shared.groupBy("key").agg(F.min(F.struct("rare", "node")).alias("lead")).select("key", F.col("lead.node").alias("leader"))
         shared = staged(shared.select("key", "node").join(lead, "key"), "ngram-led")
         pairs = shared.filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
@@ -280,7 +281,7 @@ class JaccardJoin:
         top = labels.select(F.col("node").alias("leader"), F.col("label").alias("top"))
         led = led.join(top, "leader", "left").withColumn("top", F.coalesce("top", "leader"))
         open_keys = led.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-        open_ = staged(led.join(open_keys, "key", "left_semi").join(self.nodes.drop("doc_id"), "node"), "ngram-open")
+        open_ = staged(led.join(open_keys, "key", "left_semi").join(self.nodes.drop("rep"), "node"), "ngram-open")
         columns = ["node", "label", "n", "p0", "p1", "p2", "p3"]
         a = open_.filter("label <> top").select(F.col("key").alias("a_key"), *(F.col(c).alias(f"a_{c}") for c in columns))
         b = open_.filter("node <> leader").select(F.col("key").alias("b_key"), *(F.col(c).alias(f"b_{c}") for c in columns), (F.col("label") == F.col("top")).alias("with_leader"))
@@ -292,17 +293,19 @@ class JaccardJoin:
         """The pairs whose whole sets reach the threshold."""
         pairs = staged(pairs, "ngram-pairs")
         wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        ids = staged(self.nodes.join(wanted, "node", "left_semi").select("doc_id"), "ngram-wanted")
+        # one row stands for a node; only rows that are equal as wholes could come twice, which repeats a link
+        ids = staged(self.nodes.join(wanted, "node", "left_semi").select("rep.doc_id", "rep.mark"), "ngram-wanted")
         few = ids.count() <= BROADCAST_IDS
-        match = self.rows["doc_id"].eqNullSafe(ids["doc_id"])
+        match = self.rows["doc_id"].eqNullSafe(ids["doc_id"]) & (self.rows["mark"] == ids["mark"])
         texts = self.rows.join(F.broadcast(ids) if few else ids, match, "left_semi").select("text")
-        sets = texts.mapInArrow(_sets(self.size), "node long, tokens array<long>").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-        sets = staged(sets, "ngram-sets")
+        sets = staged(texts.mapInArrow(_sets(self.size), "node long, tokens array<long>"), "ngram-sets")
         left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         linked = pairs.join(left, "a").join(right, "b").filter(100 * both >= self.percent * (F.size("x") + F.size("y") - both))
-        return staged(linked.select("a", "b"), "ngram-links")
+        links = staged(linked.select("a", "b").distinct(), "ngram-links")
+        forget(sets)
+        return links
 
 
 def near_components(docs: DataFrame, percent: int = 90, size: int = 3, id_col: str = "doc_id", text_col: str = "text", width: int | None = None, marks: bool = False) -> DataFrame:
