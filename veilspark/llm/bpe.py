@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.shared import staged, whole_text
+from veilspark.llm.shared import bound_batches, staged, whole_text
 from veilspark.llm.wordcache import BYTE_UNIT, UnitIds, known_text, load
 
 #: Code points in a leaf of a long run. A text with a longer run takes the tree.
@@ -187,6 +187,7 @@ def encode_texts(docs: DataFrame, path: str, output: str = "digest", id_col: str
     Texts without a run of `leaf` code points are encoded where they are read; nothing is shuffled. The others are few
     rows of many leaves: staged once, so that a row keeps its number when a task runs again.
     """
+    bound_batches(docs)
     schema = OUTPUTS[output][0]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     long_run = F.col("text").rlike(rf"\S{{{leaf},}}|\s{{{leaf},}}")

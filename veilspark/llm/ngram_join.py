@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.components import connected_components
-from veilspark.llm.shared import forget, staged, whole_text
+from veilspark.llm.shared import bound_batches, forget, staged, whole_text
 
 #: Rows of a broadcast id list at most; beyond, the join shuffles.
 BROADCAST_IDS = 500_000
@@ -235,6 +235,7 @@ class JaccardJoin:
     """The join's steps over one table, each staged where it is used more than once."""
 
     def __init__(self, docs: DataFrame, percent: int, size: int, id_col: str, text_col: str, width: int | None):
+        bound_batches(docs)
         self.percent, self.size = percent, size
         data = F.encode(whole_text(text_col), "UTF-8")
         self.rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), data.alias("text"), F.xxhash64(data).alias("mark"))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilspark.llm.quality_rules import Measured
-from veilspark.llm.shared import whole_text
+from veilspark.llm.shared import bound_batches, whole_text
 
 SAMPLE, POOL, ROUNDS = 8000, 4000, 4
 #: Log odds beyond the base rate from which a pseudo-label is confident, and new labels of each kind in a round.
@@ -197,6 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, meta_cols: list[str], sample: int
 
 def quality_scores(docs: DataFrame, labels: DataFrame, meta_cols: tuple[str, ...] = META, keep: float = KEEP, model: Model | None = None) -> DataFrame:
     """docs with _score (likelihood of good quality) and _kept added. labels: doc_id, quality (0 or 1)."""
+    bound_batches(docs)
     columns = [c for c in meta_cols if c in docs.columns]
     model = model or train(docs, labels, columns)
     of, n, fields = _matrices(docs, columns), len(docs.columns), docs.schema

@@ -37,6 +37,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Rows of an Arrow batch at most where rows hold whole texts; Spark's own default is 10,000.
+BATCH_ROWS = 1000
+
+
+def bound_batches(df: DataFrame) -> None:
+    """Holds the session's Arrow batches to BATCH_ROWS, so that a worker's memory does not follow the default's 10,000
+    whole texts. A lower setting stays."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+
+
 def forget(df: DataFrame) -> None:
     """Deletes a staged table that nothing reads any more: what was made from it must be staged itself."""
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
