@@ -34,8 +34,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: lines that stand on too many pages of a source go; a page that loses all keeps its row."""
-    return _sized(docs, drop_boilerplate(docs))
+    """Operator 5: lines that stand on too many pages of a source go; a page that loses all keeps its row.
+
+    Copies are still there at this stage, so a page is a distinct text: else a copied document would lose all its lines.
+    """
+    return _sized(docs, drop_boilerplate(docs, by_content=True))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

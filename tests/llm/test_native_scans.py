@@ -81,6 +81,18 @@ def test_lines_against_brute_force_by_both_joins(spark):
     assert line_dedup.drop_boilerplate(docs.limit(0)).collect() == []
 
 
+def test_copies_of_a_page_count_once_by_content(spark):
+    rows = [(k, "a" if k % 2 else None, f"menu\nonly {k}\nshared {k // 2 % 10}") for k in range(60)]
+    rows += [(100 + k, "a", "a copied page\nof two lines") for k in range(30)] + [(200 + k, "a", None) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    once = list({r[1:]: r for r in rows}.values())
+    want = {r[1:]: out[1] for r, out in zip(once, brute_lines(once, 0.08, 5), strict=True)}
+    assert want["a", rows[60][2]] == rows[60][2] and want["a", rows[1][2]] == "only 1\nshared 0"
+    for most in (10**6, -1):
+        got = line_dedup.drop_boilerplate(docs, broadcast_lines=most, by_content=True).select("doc_id", "text").collect()
+        assert sorted(map(tuple, got), key=str) == sorted(((r[0], want[r[1:]]) for r in rows), key=str)
+
+
 def brute_licenses(text, templates):
     def shingles(x):
         w = [y for y in re.split(r"[\W_]+", x.lower()) if y]

@@ -18,6 +18,13 @@ def test_one_of_each_group_against_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_a_copied_document_keeps_its_lines(spark):
+    rows = [(k, f"menu\nonly {k}", "en", "site", 0) for k in range(40)] + [(100 + k, "a clean page\nof two lines", "en", "site", 26) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in cp.drop_site_lines(spark, docs, "").collect()}
+    assert got == {k: text.removeprefix("menu\n") for k, text, *_ in rows}
+
+
 def test_stages_on_the_small_tables(spark, sf):
     docs = cp.read_table(spark, sf, "documents")
     seen = {}

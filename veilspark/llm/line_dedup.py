@@ -8,6 +8,9 @@ salt, so that no host's pages meet in one task.
 
 Defined results. Null text stays null and counts as a page. Lines without a word are neither counted nor dropped. A null
 host is a host of its own. Lines are equal when all their characters are. A page that loses all lines keeps its row.
+
+A page is a row, as in OP5_SQL. With by_content it is a distinct text of the host instead, in shares and in min_pages
+alike, and what is found goes from every row: then a page does not become boilerplate of its host by being copied.
 """
 
 from __future__ import annotations
@@ -34,24 +37,31 @@ def _has_word(line: Column) -> Column:
     return line.rlike(rf"[^{SPACE}]")
 
 
+def _line_keys(text: Column) -> Column:
+    """The text's distinct lines that have a word."""
+    return F.array_distinct(F.transform(F.filter(_lines(text), _has_word), _key))
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, by_content: bool = False) -> DataFrame:
     """host, line (a pair of hashes), n, pages for every line beyond the ratio."""
-    pages = docs.groupBy(F.col(host_col).alias("host")).agg(F.count(F.lit(1)).alias("pages"))
-    keys = F.array_distinct(F.transform(F.filter(_lines(F.col(text_col)), _has_word), _key))
-    seen = docs.select(F.col(host_col).alias("host"), F.explode(keys).alias("line"))
+    each = docs.select(F.col(host_col).alias("host"), _key(F.col(text_col)).alias("page"), _line_keys(F.col(text_col)).alias("keys"))
+    if by_content:
+        each = each.distinct()  # the keys follow from the page; copies are folded in the map task
+    pages = each.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    seen = each.select("host", F.explode("keys").alias("line"))
     # hosts without any page of min_pages equal lines fall out before the join
     counts = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
     counts = counts.select(F.col("host").alias("h"), "line", "n")
     return counts.join(pages, F.col("h").eqNullSafe(F.col("host"))).filter(F.col("n") > ratio * F.col("pages")).select("host", "line", "n", "pages")
 
 
-def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_lines: int = BROADCAST_LINES, by_content: bool = False) -> DataFrame:
     """docs with boilerplate lines gone from the text, and n_lines and n_dropped added (under these names)."""
-    found = staged(boilerplate(docs, host_col, text_col, ratio, min_pages), "boilerplate")
+    found = staged(boilerplate(docs, host_col, text_col, ratio, min_pages, by_content), "boilerplate")
     small = found.count() <= broadcast_lines
     per_host = found.groupBy("host").agg(F.collect_set("line").alias("_bad")).withColumnRenamed("host", "_host")
     match = F.col(host_col).eqNullSafe(F.col("_host"))
