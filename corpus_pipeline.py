@@ -44,12 +44,13 @@ def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: of linked documents the one with the least doc_id stays. Empty texts link with nothing and stay.
 
-    Rows that repeat a doc_id within a group count as one document, of which one row stays. Rows without a doc_id go if
+    Rows that repeat a doc_id within a group count as one document, of which one row stays; in groups that do not link, each
+    keeps its own. Rows without a doc_id go if
     they link with one that has it, and otherwise stay.
     """
     found = near_components(docs, SIMILARITY, SHINGLE, marks=True).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    stays = found.filter(alone).select("doc_id", "mark").unionByName(found.filter(~alone).groupBy("doc_id").agg(F.min("mark").alias("mark")))
+    stays = found.filter(alone).select("doc_id", "mark").unionByName(found.filter(~alone).groupBy("label", "doc_id").agg(F.min("mark").alias("mark")).drop("label"))
     stays = stays.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
     mark = F.xxhash64(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
     kept = docs.join(stays, docs["doc_id"].eqNullSafe(F.col("_id")) & (mark == F.col("_mark")), "left_semi")

@@ -25,6 +25,13 @@ def test_a_copied_document_keeps_its_lines(spark):
     assert got == {k: text.removeprefix("menu\n") for k, text, *_ in rows}
 
 
+def test_unlinked_texts_under_one_id_both_stay(spark):
+    one, other = " ".join(f"river{k}" for k in range(40)), " ".join(f"stone{k}" for k in range(40))
+    rows = [(1, one), (1, other), (5, one), (6, other), (1, one), (9, other + " and more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, cp.one_of_each_group(spark, docs, "").collect())) == [(1, one), (1, other)]
+
+
 def test_stages_on_the_small_tables(spark, sf):
     docs = cp.read_table(spark, sf, "documents")
     seen = {}

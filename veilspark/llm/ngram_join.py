@@ -310,12 +310,13 @@ class JaccardJoin:
 
 
 def near_components(docs: DataFrame, percent: int = 90, size: int = 3, id_col: str = "doc_id", text_col: str = "text", width: int | None = None, marks: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs, with marks also a hash of its text; links are 100 * intersection >= percent * union."""
+    """doc_id, n_shingles, component_id for every row of docs; links are 100 * intersection >= percent * union. With marks
+    also mark, a hash of the row's text, and label, the least node of its component (null without shingles)."""
     facts, links = JaccardJoin(docs, percent, size, id_col, text_col, width).run()
     labels = connected_components(links)
     least = facts.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     # a component's least doc_id; nodes without links are their own
     labelled = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     top = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    ids = labelled.select("node", "label").join(top, "label").select("node", "component_id")
-    return facts.join(ids, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *["mark"] * marks)
+    ids = labelled.select("node", "label").join(top, "label").select("node", "component_id", "label")
+    return facts.join(ids, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *["mark", "label"] * marks)
