@@ -34,3 +34,18 @@ def test_flagship_and_guard(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(registry.queries()) <= set(entry.queries())
+
+
+def test_graph_over_words_beyond_the_200th(spark, tmp_path):
+    spark.createDataFrame([(1, "w " * 500), (2, "one"), (3, " "), (4, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    down = {}
+    for pos in range(500):
+        down.setdefault(pos // 2, []).extend([pos] * (pos % 9 != 4))
+        down.setdefault(pos, []).append(pos // 3)
+    reached, todo = {0}, [0]
+    while todo:
+        new = set(down.get(todo.pop(), ())) - reached
+        reached |= new
+        todo += new
+    got = sorted(map(tuple, registry.queries()["graph_reach_whole"](spark, str(tmp_path)).collect()))
+    assert max(reached) > 200 and got == [(1, len(reached), sum(reached)), (2, 1, 0)]

@@ -213,7 +213,18 @@ def outline_relevel(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def graph_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects that the root reaches in a cyclic graph over the first words, upward links not followed."""
-    words = fx.words(spark, sf_dir).filter("pos BETWEEN 1 AND 200")
+    return _graph_reach(fx.words(spark, sf_dir).filter("pos BETWEEN 1 AND 200"))
+
+
+@query(
+    f"WITH RECURSIVE {fx.WORDS_SQL}, edges AS (SELECT doc_id, pos // 2 AS src, CASE WHEN pos % 9 = 4 THEN 'Parent' ELSE 'Kids' END AS key, pos AS dst FROM words UNION ALL SELECT doc_id, pos, 'Kids', pos // 3 FROM words), reach AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS node FROM edges UNION SELECT e.doc_id, e.dst FROM reach r JOIN edges e ON e.doc_id = r.doc_id AND e.src = r.node WHERE e.key <> 'Parent') SELECT doc_id, count(*) AS n_reached, sum(node)::BIGINT AS node_sum FROM reach GROUP BY doc_id"
+)
+def graph_reach_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """graph_reach over all words of each text."""
+    return _graph_reach(fx.words(spark, sf_dir))
+
+
+def _graph_reach(words: DataFrame) -> DataFrame:
     down = words.select("doc_id", F.floor(F.col("pos") / 2).alias("src"), F.when(F.col("pos") % 9 == 4, "Parent").otherwise("Kids").alias("key"), F.col("pos").cast("long").alias("dst"))
     back = words.select("doc_id", F.col("pos").cast("long").alias("src"), F.lit("Kids").alias("key"), F.floor(F.col("pos") / 3).alias("dst"))
     return outline.reachable(down.unionByName(back)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_reached"), F.sum("node").alias("node_sum"))
