@@ -240,7 +240,16 @@ def ratelimit_fixed_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS position FROM events WHERE event_id % 3 = 0")
 def queue_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    waiting = table(spark, sf_dir, "events").filter("event_id % 3 = 0")
+    return _positions(table(spark, sf_dir, "events").filter("event_id % 3 = 0"))
+
+
+@query("SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS position FROM events")
+def queue_position_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """queue_position with every event in its queue."""
+    return _positions(table(spark, sf_dir, "events"))
+
+
+def _positions(waiting: DataFrame) -> DataFrame:
     return waiting.select("event_id", "event_type", F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")).alias("position"))
 
 
