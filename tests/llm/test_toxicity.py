@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from veilspark.llm.toxicity import Model, toxicity_scores, train
+from veilspark.llm.toxicity import Model, ngrams, toxicity_scores, train, words_of
 
 CALM = "river stone cloud meadow window paper garden silver bread table music letter winter morning candle bridge".split()
 RUDE = ["vermin", "rubbish", "idiotic"]
@@ -39,3 +39,16 @@ def test_edges(spark):
     model = Model(np.ones(1 << 17), 0.5, np.array([1.0, 1.0]), 0.0)
     assert all(0 <= r.score <= 1 for r in toxicity_scores(docs, labels, model=model).collect())
     assert toxicity_scores(docs.limit(0), labels).collect() == []
+
+
+def test_the_middle_of_a_long_run_is_scored():
+    for n in range(41, 130):
+        run = "".join(chr(0x4E00 + k) for k in range(n))
+        parts = words_of(run)
+        assert all(any(run[k : k + 10] in p for p in parts) for k in range(n - 9)) and parts[0][0] + parts[-1][-1] == run[0] + run[-1]
+    assert words_of("short " + "x" * 40) == ["short", "x" * 40] and len(ngrams("".join(map(chr, range(97, 123))) * 2)) > 75
+    rows = make(240, 1)
+    model = train([t for _, t, _ in rows], [y for _, _, y in rows])
+    most = lambda text: max(map(model.word, words_of(text)))
+    assert most("-".join(CALM[:6] + RUDE + CALM[6:12])) > 2 * model.gate and most("-".join(CALM[:12])) < 2 * model.gate
+    assert most("".join(CALM[:6] + RUDE + CALM[6:12])) > most("".join(CALM[:12]))

@@ -7,7 +7,7 @@ stand out from clean text: how many, and how large a share, put through a logist
 documents by halves that did not train on them.
 
 The softmax is linear in the vectors, so each word is worth one number, remembered per worker, and whole texts are scored
-by those. Training sees at most TRAIN_CHARS code points of labelled rows, texts of at most LONGEST; scoring
+by those. Runs longer than LONG_RUN are scored by their pieces, each like a word. Training sees at most TRAIN_CHARS code points of labelled rows, texts of at most LONGEST; scoring
 sees every row and whole texts.
 
 Defined results. Null or empty text scores as a text without words. Rows without a usable label train nothing; if only
@@ -36,19 +36,36 @@ GATE = 0.995
 #: Training documents that must hold an n-gram.
 FEWEST = 4
 TRAIN_CHARS, LONGEST = 10_000_000, 50_000
+#: A run of more than LONG_RUN characters (a script without spaces, words joined by signs) counts as the words between its
+#: signs and as parts of PART characters, each beginning PART // 2 after the one before, so that what is no longer than
+#: that is whole in one.
+LONG_RUN, PART = 40, 20
 #: Words remembered in a worker.
 REMEMBERED = 1 << 19
 _LETTERS = re.compile(r"[^\W_]+(?:['’\-*@$!0-9]+[^\W_]+)*")
+_SIGNS = re.compile(r"['’\-*@$!0-9]+")
 
 
 def words_of(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+    """The text's words, long runs in pieces that leave out nothing."""
+    words = _LETTERS.findall(text.lower())
+    if max(map(len, words), default=0) <= LONG_RUN:
+        return words
+    return [part for w in words for part in ([w] if len(w) <= LONG_RUN else pieces_of(w))]
+
+
+def pieces_of(run: str) -> list[str]:
+    between = [w for w in _SIGNS.split(run) if w]
+    return parts_of(run) + ([w for w in between if len(w) <= LONG_RUN] if len(between) > 1 else [])
+
+
+def parts_of(run: str) -> list[str]:
+    step = PART // 2
+    return [run[at : at + PART] for at in range(0, len(run) - step, step)]
 
 
 def ngrams(word: str) -> list[int]:
     """Buckets of the word's character n-grams, its ends marked, and of the whole word."""
-    if len(word) > 40:
-        word = word[:20] + word[-20:]
     w = f"<{word}>"
     parts = {w} | {w[i : i + n] for n in NGRAMS for i in range(len(w) - n + 1)}
     return sorted(xxhash.xxh32_intdigest(p.encode()) % BUCKETS for p in parts)
