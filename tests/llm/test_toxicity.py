@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from veilspark.llm.toxicity import Model, ngrams, toxicity_scores, train, words_of
+from veilspark.llm.toxicity import Bags, Model, ngrams, toxicity_scores, train, windows_of, words_of
 
 CALM = "river stone cloud meadow window paper garden silver bread table music letter winter morning candle bridge".split()
 RUDE = ["vermin", "rubbish", "idiotic"]
@@ -52,3 +52,9 @@ def test_the_middle_of_a_long_run_is_scored():
     most = lambda text: max(map(model.word, words_of(text)))
     assert most("-".join(CALM[:6] + RUDE + CALM[6:12])) > 2 * model.gate and most("-".join(CALM[:12])) < 2 * model.gate
     assert most("".join(CALM[:6] + RUDE + CALM[6:12])) > most("".join(CALM[:12]))
+
+
+def test_windows_are_bounded_by_parameters():
+    bags, rng = Bags(["w " * 96 * 20, "w " * 96 * 20]), np.random.default_rng(1)
+    count = lambda **most: np.bincount([y for _, y in windows_of(bags, np.arange(2), np.array([False, True]), rng, **most)]).tolist()
+    assert count() == [2, 8] and count(toxic_windows=99, clean_windows=99) == [20, 20]

@@ -7,8 +7,8 @@ stand out from clean text: how many, and how large a share, put through a logist
 documents by halves that did not train on them.
 
 The softmax is linear in the vectors, so each word is worth one number, remembered per worker, and whole texts are scored
-by those. Runs longer than LONG_RUN are scored by their pieces, each like a word. Training sees at most TRAIN_CHARS code points of labelled rows, texts of at most LONGEST; scoring
-sees every row and whole texts.
+by those. Runs longer than LONG_RUN are scored by their pieces, each like a word. Training sees at most TRAIN_CHARS code points of labelled rows, texts of at most LONGEST, and of
+each text TOXIC_WINDOWS or CLEAN_WINDOWS windows at most; scoring sees every row and whole texts.
 
 Defined results. Null or empty text scores as a text without words. Rows without a usable label train nothing; if only
 one label is there, every score is 0.5. Labels that contradict each other count as toxic when most say so. Null doc_id
@@ -36,6 +36,8 @@ GATE = 0.995
 #: Training documents that must hold an n-gram.
 FEWEST = 4
 TRAIN_CHARS, LONGEST = 10_000_000, 50_000
+#: Windows of a toxic and of a clean labelled text that train at most.
+TOXIC_WINDOWS, CLEAN_WINDOWS = 8, 2
 #: A run of more than LONG_RUN characters (a script without spaces, words joined by signs) counts as the words between its
 #: signs and as parts of PART characters, each beginning PART // 2 after the one before, so that what is no longer than
 #: that is whole in one.
@@ -128,11 +130,11 @@ def summary(numbers: np.ndarray, gate: float) -> tuple[float, float]:
     return np.log1p(weight), np.log((weight + 0.2) / (len(numbers) + 20))
 
 
-def windows_of(bags: Bags, docs: np.ndarray, y: np.ndarray, rng) -> list[tuple[np.ndarray, int]]:
-    """Windows with their document's label: of a toxic one up to 8, of a clean one up to 2."""
+def windows_of(bags: Bags, docs: np.ndarray, y: np.ndarray, rng, toxic_windows: int = TOXIC_WINDOWS, clean_windows: int = CLEAN_WINDOWS) -> list[tuple[np.ndarray, int]]:
+    """Windows with their document's label, of each document at most so many, chosen at random."""
     out = []
     for k in docs:
-        ids, most = bags.docs[k], 8 if y[k] else 2
+        ids, most = bags.docs[k], toxic_windows if y[k] else clean_windows
         if len(ids):
             starts = np.arange(0, max(1, len(ids) - WINDOW // 2), WINDOW)
             out += [(ids[at : at + WINDOW], int(y[k])) for at in (starts if len(starts) <= most else rng.choice(starts, most, replace=False))]
