@@ -37,6 +37,17 @@ def test_secrets_against_brute_force(spark):
     assert secrets.secret_report(docs.limit(0)).collect() == []
 
 
+def test_letter_pairs_of_all_rows_and_long_texts(spark):
+    texts = [None, "", "abc abcd ABxY", "ab1cdef word"] + [f"word{k}z plain" for k in range(2000)] + ["long " * 8000 + "q" * 100_001]
+    want = defaultdict(int)
+    for t in texts:
+        for w in re.findall(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{4,}(?![A-Za-z0-9+/_=-])", t or ""):
+            for pair in zip(w, w[1:], strict=False):
+                want[pair] += 1
+    got = secrets.corpus_pairs(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert {(chr(a), chr(b)): got[a, b] for a, b in zip(*got.nonzero(), strict=True)} == want
+
+
 def test_models_tell_random_strings_from_identifiers():
     table = secrets.ratio_table(secrets.labelled_samples())
     wrong = [s for s, label in secrets.labelled_samples(seed=77, n=2000) if len(s) >= 20 and (secrets.mean_ratio(table, s) > secrets.THRESHOLD) != bool(label)]

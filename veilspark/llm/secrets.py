@@ -1,7 +1,7 @@
 """Secret scans in DataFrame operations only: known shapes by regular expression, unknown ones by Markov models.
 
 Two character Markov models of first order, one of random strings and one of ordinary identifiers, are counted from
-labelled samples. Their log-likelihood ratio turns into one table over pairs of characters; a long token whose mean over
+labelled samples, and the latter also from all words of letters in the texts. Their log-likelihood ratio turns into one table over pairs of characters; a long token whose mean over
 its pairs is beyond a threshold becomes a span of kind "random". The table is a constant of the plan, so scoring stays
 in the JVM.
 
@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.shared import hash_sample, whole_text
+from veilspark.llm.shared import whole_text
 
 #: The base patterns. A match counts if the given group has at least so many characters.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -29,8 +29,6 @@ TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 THRESHOLD = 0.25
 KINDS = [k for k, *_ in BASE] + ["random"]
 _SPANS = "array<struct<start:int,rank:int,end:int>>"
-#: Rows whose words join the ordinary samples, and their longest text.
-SAMPLE_ROWS, LONGEST = 500, 20_000
 
 #: Ordinary parts of identifiers, for the labelled samples.
 PARTS = (
@@ -68,12 +66,11 @@ def labelled_samples(seed: int = 5, n: int = 6000) -> Iterable[tuple[str, int]]:
             yield rng.choice("-=_+/") * rng.randrange(20, 60), 0
 
 
-def corpus_pairs(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS, longest: int = LONGEST) -> np.ndarray:
-    """Counts of letter pairs within words of letters, over a bounded sample of rows, chosen by a hash of the text."""
-    text = docs.select(F.col(text_col).alias("t")).filter(F.col("t").isNotNull() & (F.length("t") <= longest))
-    sample = hash_sample(text, F.col("t"), sample_rows).dropDuplicates()
-    words = sample.select(F.explode(F.expr(r"regexp_extract_all(t, '(?<![A-Za-z0-9+/_=-])[A-Za-z]{4,}(?![A-Za-z0-9+/_=-])', 0)")).alias("w"))
-    pairs = words.select(F.explode(F.expr("transform(sequence(1, length(w) - 1), i -> substring(w, i, 2))")).alias("p"))
+def corpus_pairs(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """Counts of letter pairs within words of letters, over all rows and whole texts. A copy counts like any row."""
+    words = docs.select(F.col(text_col).alias("t")).select(F.explode(F.expr(r"regexp_extract_all(t, '(?<![A-Za-z0-9+/_=-])[A-Za-z]{4,}(?![A-Za-z0-9+/_=-])', 0)")).alias("w"))
+    # the pairs that begin at odd places, then those at even ones: a word of any length is gone through twice
+    pairs = words.select(F.explode(F.expr("concat(regexp_extract_all(w, '..', 0), regexp_extract_all(substring(w, 2), '..', 0))")).alias("p"))
     counts = np.zeros((128, 128))
     for r in pairs.groupBy("p").count().collect():  # at most 52 * 52 rows
         counts[ord(r["p"][0]), ord(r["p"][1])] += r["count"]
