@@ -1,7 +1,8 @@
 """Per-client rate limits and weighted queues: ordered folds, in batch and as streams.
 
 A client's requests are one after the other by nature. They are dealt out by client, sorted, and folded batch by batch
-with one small state, so even a client with a third of all requests needs no more memory than another.
+with one small state, so even a client with a third of all requests needs no more memory than another; the
+stream holds a client's micro-batch. One task still takes all of a client's requests.
 """
 
 from __future__ import annotations
