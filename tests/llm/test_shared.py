@@ -1,19 +1,29 @@
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from veilspark.llm import shared
 
-KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def test_slices_are_bounded_and_whole():
+    batches = [pa.RecordBatch.from_pydict({"x": list(range(a, b))}) for a, b in ((0, 7), (7, 7), (7, 10))]
+    got = list(shared.slices(batches, 3))
+    assert [b.num_rows for b in got] == [3, 3, 1, 3] and [x for b in got for x in b.column(0).to_pylist()] == list(range(10))
 
 
-def test_batches_are_bounded_and_a_lower_setting_stays(spark):
-    before, df = spark.conf.get(KEY), spark.range(1)
-    try:
-        for given, want in (("10000", "1000"), ("0", "1000"), ("7", "7")):
-            spark.conf.set(KEY, given)
-            shared.bound_batches(df)
-            assert spark.conf.get(KEY) == want
-    finally:
-        spark.conf.set(KEY, before)
+def test_scratch_deletes_what_is_not_kept(spark):
+    def there(df):
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+    with shared.scratch():
+        with shared.scratch():
+            gone, kept = shared.staged(spark.range(3), "t"), shared.staged(spark.range(4), "t", keep=True)
+        assert not there(gone) and there(kept)
+        free = shared.staged(spark.range(5), "t", keep=True)
+    assert not there(kept) and there(free) and free.count() == 5
+
+
+def test_shared_folder_is_the_clusters(spark):
+    assert shared.shared_dir(spark) == spark.sparkContext.getCheckpointDir()
 
 
 def test_staged_tables_are_read_back_and_can_be_forgotten(spark):

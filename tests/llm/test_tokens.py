@@ -53,6 +53,30 @@ def test_join_of_random_halves_is_the_whole():
         assert c.join(*halves) == c.tokenizer.encode(s).ids
 
 
+def test_join_of_halves_cut_anywhere_is_the_whole():
+    c, rng = bpe.codec(BYTE), random.Random(2)
+    parts = ["word", "Hello", "it's", "we're", "they'll", "'", "''", "!!!", "'s", "'re", " ", "  ", "\n", "\n\n", "\t ", "12", "345678", "é", "ß漢字", "x", "ab" * 30, "!?" * 25, " " * 40, "7" * 50, "\u00a0", "\u0301", "🙂", "<|endoftext|>", "’s", "-"]
+    for trial in range(3000):
+        s = "".join(rng.choice(parts) for _ in range(rng.randrange(2, 14)))
+        want = c.tokenizer.encode(s, add_special_tokens=False).ids
+        cuts = [k for k in range(1, len(s)) if not any(s.startswith(bpe.SPECIAL, j) for j in range(max(0, k - len(bpe.SPECIAL) + 1), k))]
+        if cuts:
+            k = rng.choice(cuts)
+            halves = [c.tokenizer.encode(x, add_special_tokens=False).ids for x in (s[:k], s[k:])]
+            assert c.join(*halves) == want, (trial, s[:k], s[k:])
+
+
+def test_trees_of_many_levels(spark):
+    t, rng = Tokenizer.from_file(BYTE), random.Random(3)
+    parts = ["word ", "it's", "\n\n", "<|endoftext|>", "汉字", "x" * 90, " " * 70, "!" * 80, "1234 "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 120))) for _ in range(60)] * 2 + [None, ""]
+    docs = spark.createDataFrame([(k % 50 or None, x, "c") for k, x in enumerate(texts)], "doc_id long, text string, row string")
+    for leaf in (7, 40, 100_000):
+        got = sorted(((r.doc_id, list(r.ids), r.decoded) for r in bpe.encode_texts(docs, BYTE, "ids", leaf=leaf).collect()), key=str)
+        want = [(k % 50 or None, t.encode(x or "", add_special_tokens=False).ids, x or "") for k, x in enumerate(texts)]
+        assert got == sorted(want, key=str)
+
+
 def check_packing(texts, rows, limit):
     t = load(WORD)
     want = {k: [*t.encode(x or "", add_special_tokens=False).ids, 2] for k, x in enumerate(texts)}

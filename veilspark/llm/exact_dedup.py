@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.shared import bound_batches, lower_ascii, staged, whole_text
+from veilspark.llm.shared import lower_ascii, slices, staged, whole_text
 
 FANOUT = 16
 #: Bytes of distinct text that one table may hold before it spills.
@@ -122,7 +122,7 @@ def _local_groups(budget: int):
         ids: list[int | None] = []
 
         def rows():
-            for batch in batches:
+            for batch in slices(batches):
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     ids.append(doc_id)
                     yield text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text, [[len(ids) - 1]]
@@ -173,7 +173,7 @@ def _merge_global(into: list, value: list) -> None:
 def _global_groups(budget: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for batch in batches:
+            for batch in slices(batches):
                 gid, text, n, top = (batch.column(i).to_pylist() for i in range(4))
                 for g, t, c, d in zip(gid, text, n, top, strict=True):
                     yield t, [[g], c, d, g]
@@ -195,7 +195,6 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Texts are equal when identical after lower-casing A-Z. Per-row facts (doc_id, local group) never meet in one task:
     they are joined to their local group's outcome, and a local group is no larger than one input split.
     """
-    bound_batches(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(lower_ascii(whole_text(text_col)), "UTF-8").alias("text"))
     local = staged(rows.mapInArrow(_local_groups(table_bytes), _LOCAL), "exact-local")
     groups = local.filter("is_group").select("gid", "text", "rows", "top")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.llm.shared import bound_batches, staged, whole_text
+from veilspark.llm.shared import slices, staged, whole_text
 from veilspark.llm.wordcache import WORD_UNIT, UnitIds, known_text, load
 
 LIMIT = 4096
@@ -55,12 +55,11 @@ def _ids(path: str) -> Ids:
 
 def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """One row per piece, in the order of the document; with_ids adds the ids themselves."""
-    bound_batches(docs)
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _ids(path)
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[], [], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = tokens.of(text) + end

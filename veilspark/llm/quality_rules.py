@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.shared import bound_batches, hash_sample, whole_text
+from veilspark.llm.shared import hash_sample, slices, whole_text
 
 #: Fixed values of the measures.
 BLANKS, SYMBOLS, UPPERS, FOLLOWING = b" \t\n\v\f\r", b"#*$%&|<>", bytes(range(65, 91)), bytes(range(0x80, 0xC0))
@@ -133,7 +133,7 @@ def profile(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col
     """Seconds and verdict of each rule on each sampled row; only these numbers reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             seconds, verdicts = [], []
             for data in batch.column(1).to_pylist():
                 took, failed = [], []
@@ -168,12 +168,11 @@ _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 def quality_verdicts(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_id", text_col: str = "text", counts: bool = True, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, kept, and with counts the five counts and base_failed, for every row of docs."""
-    bound_batches(docs)
     rules = [*BASE, *MORE] if rules is None else rules
     ordered = [rules[k] for k in cascade_order(*profile(docs, rules, id_col, text_col, sample_rows))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [Measured(x) for x in batch.column(1).to_pylist()]
             kept = pa.array([not any(r.rejects(m) for r in ordered) for m in texts], pa.bool_())
             more = []

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,7 +16,7 @@ from veilspark.llm.packing import packed_documents
 from veilspark.llm.quality_classifier import quality_scores
 from veilspark.llm.quality_rules import quality_verdicts
 from veilspark.llm.secrets import secret_report
-from veilspark.llm.shared import read_table
+from veilspark.llm.shared import read_table, small_batches
 from veilspark.llm.toxicity import toxicity_scores
 
 
@@ -65,8 +64,8 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
-    return scored.selectExpr("doc_id", "_score AS score", "_kept AS kept")
+    docs = read_table(spark, sf_dir, "documents")
+    return quality_scores(docs, read_table(spark, sf_dir, "labels"), score_col="score", kept_col="kept").select("doc_id", "score", "kept")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,8 +153,19 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least ON least.a =
 """
 
 
+OPERATORS = [op1_secret_scan, op2_quality_rules, op3_packing, op4_quality_classifier, op5_line_dedup, op6_toxicity, op7_licenses, op8_exact_dedup, op9_bpe, op10_ngram_join]
+
+
+def _tuned(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secret_scan": op1_secret_scan, "op2_quality_rules": op2_quality_rules, "op4_quality_classifier": op4_quality_classifier, "op5_line_dedup": op5_line_dedup, "op7_licenses": op7_licenses, "op3_packing": op3_packing, "op6_toxicity": op6_toxicity, "op8_exact_dedup": op8_exact_dedup, "op9_bpe": op9_bpe, "op10_ngram_join": op10_ngram_join, "pipeline": corpus_pipeline.run}
+    return {f.__name__: _tuned(f) for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,36 +21,49 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a folder of our own only where none is set."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the cluster shares: spark.checkpoint.dir, or the context's checkpoint folder. Only a local master
+    gets a folder of our own where neither is set; on a cluster each executor would write to its own disk."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="veilspark-")
     return _OWN[app]
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors, is computed once."""
+#: Staged tables of each open scratch(), innermost last.
+_OPEN: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("open", default=())
+
+
+def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors, is computed once.
+
+    Within scratch() the table is deleted at the end of the block, or with keep at the end of the block around it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/veilspark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
+    open_ = _OPEN.get()[:-1] if keep else _OPEN.get()
+    if open_:
+        open_[-1].append(out)
     return out
 
 
-#: Rows of an Arrow batch at most where rows hold whole texts; Spark's own default is 10,000.
-BATCH_ROWS = 1000
-
-
-def bound_batches(df: DataFrame) -> None:
-    """Holds the session's Arrow batches to BATCH_ROWS, so that a worker's memory does not follow the default's 10,000
-    whole texts. A lower setting stays."""
-    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes the tables staged within the block when it ends: nothing that is read later may depend on them."""
+    mine: list[DataFrame] = []
+    token = _OPEN.set((*_OPEN.get(), mine))
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+        for table in mine:
+            forget(table)
 
 
 def forget(df: DataFrame) -> None:
@@ -55,6 +72,34 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of whole texts that a worker holds at a time.
+SLICE_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to SLICE_ROWS rows; a lower setting stays. Spark's own 10,000 rows of whole texts
+    take a worker's memory several times over. A session's settings are the application's: the registered queries and
+    the pipeline's stages call this, the operators never do, and they give the same results under any setting."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= SLICE_ROWS:
+        spark.conf.set(key, str(SLICE_ROWS))
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, without a copy; batches without rows give nothing."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """Names for helper columns that none of the columns has, in either case."""
+    taken, prefix = {c.lower() for c in columns}, "_"
+    while any((prefix + n).lower() in taken for n in names):
+        prefix += "_"
+    return [prefix + n for n in names]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,13 +2,18 @@
 
 A word is the mean of the vectors of its character n-grams, so an unseen misspelling shares most vectors with the word
 it distorts. A window of consecutive words is the mean of its words; a linear softmax over that mean, trained jointly
-with the n-gram vectors in numpy, tells toxic windows. A document's score is made of the words whose numbers
-stand out from clean text: how many, and how large a share, put through a logistic curve that is fitted to labelled
-documents by halves that did not train on them.
+with the n-gram vectors in numpy, tells toxic windows. Labels are of documents, so it is trained twice: on windows of
+WINDOW words under their document's label, then on windows of SHARP words, of a toxic text those that the first
+training finds most toxic, of a clean one those too and others at random.
 
-The softmax is linear in the vectors, so each word is worth one number, remembered per worker, and whole texts are scored
-by those. Runs longer than LONG_RUN are scored by their pieces, each like a word. Training sees at most TRAIN_CHARS code points of labelled rows, texts of at most LONGEST, and of
-each text TOXIC_WINDOWS or CLEAN_WINDOWS windows at most; scoring sees every row and whole texts.
+A document is scored by the log odds that the softmax gives its windows of SPAN words: the mean of the TOP highest and the
+count of the clear ones, with the text's length, go through a logistic curve that is fitted to labelled documents by
+halves that did not train on them. The softmax is linear in the vectors, so each word is worth one number, remembered per worker, and a window's log
+odds are the mean of its words' numbers and the softmax's bias.
+
+Runs longer than LONG_RUN are scored by their pieces, each like a word. Training sees at most TRAIN_CHARS code points of
+labelled rows, texts of at most LONGEST, and of each text TOXIC_WINDOWS or CLEAN_WINDOWS windows at most, then SHARP_TOXIC
+or twice SHARP_CLEAN; scoring sees every row and whole texts.
 
 Defined results. Null or empty text scores as a text without words. Rows without a usable label train nothing; if only
 one label is there, every score is 0.5. Labels that contradict each other count as toxic when most say so. Null doc_id
@@ -27,12 +32,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.llm.shared import bound_batches, whole_text
+from veilspark.llm.shared import slices, whole_text
 
 BUCKETS, DIM, WINDOW = 1 << 17, 12, 96
 NGRAMS = (3, 4, 5)
-#: Quantile of clean text's word numbers from which a word stands out.
-GATE = 0.995
+#: Words of a window in the second training, and how many such windows of a toxic and (twice) of a clean text train.
+SHARP, SHARP_TOXIC, SHARP_CLEAN = 8, 3, 2
+#: Words of a window that is scored, how many of the highest count, and the log odds around which a window is clearly toxic.
+SPAN, TOP, CLEAR = 4, 3, 3.0
 #: Training documents that must hold an n-gram.
 FEWEST = 4
 TRAIN_CHARS, LONGEST = 10_000_000, 50_000
@@ -75,10 +82,11 @@ def ngrams(word: str) -> list[int]:
 
 @dataclass
 class Model:
-    """worth: for each bucket, its vector times the softmax's direction; a word's number is the mean over its buckets."""
+    """worth: for each bucket, its vector times the softmax's direction; a word's number is the mean over its buckets.
+    bias is the softmax's; slopes (of the parts of summary()) and shift make the curve."""
 
     worth: np.ndarray
-    gate: float
+    bias: float
     slopes: np.ndarray
     shift: float
 
@@ -86,9 +94,8 @@ class Model:
         return float(self.worth[ngrams(word)].mean())
 
     def score(self, numbers: np.ndarray) -> float:
-        """0 to 1; a text without words scores as a short one in which nothing stands out."""
-        few, share = summary(numbers, self.gate)
-        z = float(self.slopes[0] * few + self.slopes[1] * share + self.shift)
+        """0 to 1; a text without words scores as a window of nothing."""
+        z = float(self.slopes @ summary(numbers, self.bias) + self.shift)
         return 1 / (1 + np.exp(-min(max(z, -30.0), 30.0)))
 
 
@@ -121,13 +128,18 @@ class Bags:
         return np.add.reduceat(worth[self.buckets], self.starts[:-1]) / np.diff(self.starts)
 
 
-def summary(numbers: np.ndarray, gate: float) -> tuple[float, float]:
-    """What a document's score is made of: how many of its words stand out from clean text, and how large a share.
+def window_odds(numbers: np.ndarray, bias: float, span: int = SPAN) -> np.ndarray:
+    """The softmax's log odds for the mean of each window of span words; a shorter text is one window, filled up."""
+    sums = np.concatenate([[0.0], np.cumsum(numbers)])
+    return (sums[span:] - sums[:-span] if len(numbers) > span else sums[-1:]) / span + bias
+
 
-    A word counts from 0 at the gate to 1 at twice the gate, so the sea of ordinary words adds no noise.
-    """
-    weight = float(np.clip(numbers / gate - 1, 0, 1).sum())
-    return np.log1p(weight), np.log((weight + 0.2) / (len(numbers) + 20))
+def summary(numbers: np.ndarray, bias: float) -> tuple[float, float, float]:
+    """What a document's score is made of: the mean log odds of its highest windows, half overlapping; how many windows
+    are clearly toxic, counted softly around CLEAR; its length."""
+    odds = window_odds(numbers, bias)
+    clear = (1 / (1 + np.exp(-2 * np.clip(odds - CLEAR, -15, 15)))).sum() / SPAN
+    return float(np.sort(odds[:: SPAN // 2])[-TOP:].mean()), float(np.log1p(clear)), float(np.log(len(numbers) + 20))
 
 
 def windows_of(bags: Bags, docs: np.ndarray, y: np.ndarray, rng, toxic_windows: int = TOXIC_WINDOWS, clean_windows: int = CLEAN_WINDOWS) -> list[tuple[np.ndarray, int]]:
@@ -141,9 +153,22 @@ def windows_of(bags: Bags, docs: np.ndarray, y: np.ndarray, rng, toxic_windows:
     return out
 
 
-def fit(bags: Bags, chosen: list[tuple[np.ndarray, int]], rng, epochs: int = 3, steps: int = 200, batch: int = 64) -> np.ndarray:
-    """Trains n-gram vectors and softmax jointly; gives each bucket's vector times the softmax's direction. Few
-    windows are gone through more often, for as many steps."""
+def sharp_windows(bags: Bags, docs: np.ndarray, y: np.ndarray, worth: np.ndarray, rng, toxic: int = SHARP_TOXIC, clean: int = SHARP_CLEAN) -> list[tuple[np.ndarray, int]]:
+    """Short windows with their document's label: the most toxic by the model so far, and of clean texts others too."""
+    numbers, out = bags.word_means(worth), []
+    for k in docs:
+        ids = bags.docs[k]
+        if len(ids):
+            starts = np.arange(0, max(1, len(ids) - SHARP // 2), SHARP // 2)
+            highest = np.argsort([-numbers[ids[at : at + SHARP]].mean() for at in starts], kind="stable")[: toxic if y[k] else clean]
+            more = [] if y[k] else rng.choice(len(starts), min(clean, len(starts)), replace=False)
+            out += [(ids[at : at + SHARP], int(y[k])) for at in starts[np.unique(np.concatenate([highest, more]).astype(np.int64))]]
+    return out
+
+
+def fit(bags: Bags, chosen: list[tuple[np.ndarray, int]], rng, epochs: int = 3, steps: int = 200, batch: int = 64) -> tuple[np.ndarray, float]:
+    """Trains n-gram vectors and softmax jointly; gives each bucket's vector times the softmax's direction, and
+    its bias. Few windows are gone through more often, for as many steps."""
     vectors, out = rng.normal(0, 0.05, (BUCKETS, DIM)) * bags.common[:, None], rng.normal(0, 0.3, (DIM, 2))
     bias, squares, out_squares = np.zeros(2), np.full(BUCKETS, 1e-6), 1e-6
     for _ in range(max(epochs, steps * batch // max(len(chosen), 1))):
@@ -170,34 +195,37 @@ def fit(bags: Bags, chosen: list[tuple[np.ndarray, int]], rng, epochs: int = 3,
             out_squares += (g**2).mean()
             out -= 0.1 * g / np.sqrt(out_squares)
             bias -= 0.02 * wrong.mean(0)
-    return vectors @ (out[:, 1] - out[:, 0])
+    return vectors @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0])
 
 
 def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
-    """Vectors and softmax from all texts. The curve from means to scores is fitted to means that the other half of the
-    texts taught, so it knows how a text fares that was not trained on."""
+    """Vectors and softmax from all texts. The curve from windows' log odds to scores is fitted to log odds that the other
+    half of the texts taught, so it knows how a text fares that was not trained on."""
     y = np.array(labels, bool)
     if y.all() or not y.any():
-        return Model(np.zeros(BUCKETS), 1.0, np.zeros(2), 0.0)
+        return Model(np.zeros(BUCKETS), 0.0, np.zeros(3), 0.0)
     rng = np.random.default_rng(seed)
     bags = Bags(texts)
-    folds = [np.arange(k, len(y), 2) for k in (0, 1)]
-    taught = [bags.word_means(fit(bags, windows_of(bags, f, y, rng), rng)) for f in folds]
-    full = [k for k, ids in enumerate(bags.docs) if len(ids)]
-    other = [taught[1 - k % 2][bags.docs[k]] for k in full]
-    clean = np.concatenate([n for n, k in zip(other, full, strict=True) if not y[k]] or [np.zeros(1)])
-    gate = max(float(np.quantile(clean, GATE)), 1e-6)
-    slopes, shift = _logistic(np.array([summary(n, gate) for n in other]), y[full])
-    worth = fit(bags, windows_of(bags, np.arange(len(y)), y, rng), rng)
-    # the model of all texts has numbers of another size: its gate lies at the same quantile
-    mine = bags.word_means(worth)
-    gate = max(float(np.quantile(np.concatenate([mine[bags.docs[k]] for k in full if not y[k]] or [np.zeros(1)]), GATE)), 1e-6)
-    return Model(worth, gate, slopes, shift)
+
+    def taught(docs: np.ndarray) -> tuple[np.ndarray, float]:
+        worth, _ = fit(bags, windows_of(bags, docs, y, rng), rng)
+        return fit(bags, sharp_windows(bags, docs, y, worth, rng), rng)
+
+    half = np.where(y, np.cumsum(y), np.cumsum(~y)) % 2  # every other text of each label
+    halves = [(bags.word_means(worth), bias) for worth, bias in (taught(np.flatnonzero(half == k)) for k in (0, 1))]
+    other = [(numbers[ids], bias) for k, ids in zip(half, bags.docs, strict=True) for numbers, bias in [halves[1 - k]]]
+    parts = np.array([summary(*x) for x in other])
+    slopes, shift = _logistic(parts, y)
+    for k in np.flatnonzero(slopes[:2] < 0):  # toxic windows never speak for a text
+        parts[:, k] = 0
+        slopes, shift = _logistic(parts, y)
+    worth, bias = taught(np.arange(len(y)))
+    return Model(worth, bias, slopes, shift)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     """Slopes and shift of the logistic curve through (x, y), by Newton's method with a light prior."""
-    scale = np.where(x.std(0) > 0, x.std(0), 1.0)
+    scale = np.maximum(x.std(0), 0.1)  # what hardly varies here says nothing of what varies elsewhere
     z = np.column_stack([(x - x.mean(0)) / scale, np.ones(len(x))])
     w = np.zeros(z.shape[1])
     prior = np.diag([*[0.3] * x.shape[1], 1e-6])
@@ -221,16 +249,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, train_chars: int = TRAIN_C
     most = train_chars // 4000
     share = {r["toxic"]: min(1.0, most / r["count"]) for r in total}
     picked = verdict.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (1 << 20) * F.when(F.col("toxic"), F.lit(share.get(True, 0.0))).otherwise(F.lit(share.get(False, 0.0))))
+    picked = picked.limit(4 * most)  # about twice `most` by the hash; so bounded, the list is broadcast and meets texts in the scan
     texts = docs.select("doc_id", whole_text().alias("text")).filter(F.length("text") <= longest)
-    rows = texts.join(picked, "doc_id").dropDuplicates(["doc_id"]).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)))
+    # of rows that repeat a doc_id one stays, whichever way they are dealt
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)))
     sofar = F.sum(F.length("text")).over(Window.partitionBy("salt").orderBy(F.xxhash64(F.lit(7), "doc_id")))
-    got = rows.withColumn("sofar", sofar).filter(F.col("sofar") <= train_chars // 16).select("text", F.col("toxic").cast("int")).collect()
-    return [r[0] for r in got], [r[1] for r in got]
+    got = rows.withColumn("sofar", sofar).filter(F.col("sofar") <= train_chars // 16).select("doc_id", "text", F.col("toxic").cast("int")).collect()
+    got.sort()
+    return [r[1] for r in got], [r[2] for r in got]
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, model: Model | None = None) -> DataFrame:
-    """doc_id, held_out, score, predicted, top_word for every row of docs (columns doc_id and text)."""
-    bound_batches(docs)
+    """doc_id, held_out, score, predicted for every row of docs (columns doc_id and text)."""
     model = model or train(*training_rows(docs, labels))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** 17 numbers
 
@@ -245,7 +276,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
                 return v
 
         known = Known()
-        for batch in batches:
+        for batch in slices(batches):
             scores = []
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
