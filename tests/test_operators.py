@@ -1,15 +1,16 @@
 import json
+import random
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from veilspark.functions import policy
-from veilspark.functions.text import compact, norm
-from veilspark.operators import outline, redact, zones
-from veilspark.operators.search import search
+from veilspark.functions.text import compact, norm, readings, rounded
+from veilspark.operators import images, outline, redact, zones
+from veilspark.operators.search import search, with_hits
 from veilspark.sources import patterns
-from veilspark.streaming.limits import Client, Queue, queue_replay, rate_limited, rate_limited_stream
+from veilspark.streaming.limits import Client, positions, rate_limited, rate_limited_stream
 
 
 def test_first_category_wins_and_every_occurrence_counts(spark):
@@ -109,23 +110,6 @@ def test_client_window_starts_at_the_first_request():
     assert c.request(1600, 3, 60, 1000)[1] == "CONCURRENT" and not c.idle(9999, 1000)
 
 
-def test_queue_is_strict_and_weighted():
-    q = Queue(2, 2, 100)
-    q.acquire(1, 1, 0), q.acquire(2, 2, 0), q.acquire(3, 1, 0), q.acquire(4, 1, 0)
-    assert q.log == [(1, "STARTED", 0), (4, "QUEUE_FULL", 0)] and q.load() == 4  # 3 would fit, but 2 is before it
-    q.cancel(2, 5)
-    assert q.log[-2:] == [(2, "CANCELLED", 5), (3, "STARTED", 5)]
-    q.acquire(5, 9, 10), q.release(1, 20), q.release(1, 21), q.release(3, 30), q.acquire(6, 1, 40)
-    assert q.log[-1] == (5, "STARTED", 30)
-    q.expire(140)
-    assert q.log[-1] == (6, "QUEUE_TIMEOUT", 140)
-
-
-def test_queue_replay_keeps_queues_apart(spark):
-    log = spark.createDataFrame([("a", 0, 0, "acquire", 1, 3), ("a", 1, 1, "acquire", 2, 1), ("b", 1, 0, "acquire", 2, 1), ("a", 9, 2, "release", 1, 0)], "queue string, t_ms long, seq long, op string, job long, weight long")
-    assert sorted(tuple(r) for r in queue_replay(log).collect()) == [("a", 1, "STARTED", 0), ("a", 2, "STARTED", 9), ("b", 2, "STARTED", 1)]
-
-
 def test_stream_and_batch_decide_alike(spark, tmp_path):
     rows = [(k, k % 3, 1000 * k * (1 + k % 5)) for k in range(60)]
     schema = "event_id long, user_id long, ts_ms long"
@@ -135,6 +119,121 @@ def test_stream_and_batch_decide_alike(spark, tmp_path):
         spark.createDataFrame(ordered[30 * k : 30 * k + 30], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{k}"))
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = rate_limited_stream(stream, 4, 60_000).writeStream.format("memory").queryName("limits").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
-    q.awaitTermination(120)
+    try:
+        assert q.awaitTermination(60) and q.exception() is None
+    finally:
+        q.stop()
     want = sorted(tuple(r) for r in rate_limited(events, 4, 60_000).collect())
     assert sorted(tuple(r) for r in spark.table("limits").collect()) == want and any(not r[2] for r in want)
+
+
+def test_search_goes_over_a_text_once_a_pattern(spark):
+    docs = spark.createDataFrame([(1, "a1 b2 " + " ".join(f"k{k}x" for k in range(20)))], "doc_id long, text string")
+    patterns = [(f"p{k}", rf"k{k}x|b2") for k in range(20)]
+    found = search(docs, patterns)[0]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 20
+    assert sorted((r.category, r.value) for r in found.collect()) == sorted([("p0", "b2"), *((f"p{k}", f"k{k}x") for k in range(20))])
+
+
+def test_classes_of_patterns_hold_for_all_of_unicode(spark):
+    docs = spark.createDataFrame([(1, "né à٣٤ x=x ab=ab"), (2, None)], "doc_id long, text string")
+    found, bad = search(docs, [("word", r"\bné\b"), ("digits", r"\d+"), ("twice", r"(?P<w>[a-z]+)=(?P=w)")])
+    assert sorted((r.category, r.value) for r in found.collect()) == [("digits", "٣٤"), ("twice", "ab=ab"), ("twice", "x=x"), ("word", "né")] and not bad
+
+
+def test_repeated_keys_are_withheld_not_mixed_up(spark):
+    docs = spark.createDataFrame([(1, 0, "one 123456"), (1, 1, "two"), (2, 0, "other"), (3, 0, "9999999"), (4, 0, "x"), (4, 0, "y")], "doc_id long, page int, text string")
+    found = search(docs, [("n", r"[0-9]{6,}")], keys=("doc_id", "page"))[0]
+    by_page = redact.masked(docs, found.select("doc_id", "page", "start", "end"), keys=("doc_id", "page")).collect()
+    assert sorted(map(tuple, by_page)) == [(1, 0, "one ██████"), (1, 1, "two"), (2, 0, "other"), (3, 0, "███████"), (4, 0, "x"), (4, 0, "y")]
+    by_doc = {(r.doc_id, r.page): r.text for r in redact.masked(docs, found.select("doc_id", "start", "end")).collect()}
+    assert by_doc[1, 0] is None and by_doc[1, 1] is None and by_doc[3, 0] == "███████" and by_doc[2, 0] == "other"
+    in_row = redact.with_masks(with_hits(docs, [(0, "n", "[0-9]{6,}")])).select("doc_id", "page", "masked").collect()
+    assert sorted(map(tuple, in_row)) == sorted(map(tuple, by_page))
+    assert redact.masked(docs.limit(0), found.select("doc_id", "start", "end")).collect() == []
+
+
+def test_apply_reports_and_fails_closed(spark):
+    docs = spark.createDataFrame([(1, "call 123456 now"), (2, "call 777777"), (3, "fine"), (4, "call 888888"), (5, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a", "n", "123456", 5, 11), (2, "b", "n", "777777", 5, 11), (2, "c", "n", "x", 5, 99), (4, "d", redact.BY_HAND, "label", 5, 11), (5, "e", "n", "zzz", 0, 3)], "doc_id long, id string, category string, text string, start int, end int")
+    places = spark.createDataFrame([(1, "outline", "nothing"), (4, "metadata_info", "No. 888888"), (3, "outline", "label")], "doc_id long, kind string, text string")
+    got = {r.doc_id: r for r in redact.apply(docs, items, places).collect()}
+    assert {k: r.text for k, r in got.items()} == {1: "call ██████ now", 2: None, 3: "fine", 4: None, 5: None}
+    assert got[4].report.leaks == ["metadata_info"] and not got[4].report.success and got[1].report.applied == 1
+    assert [tuple(f) for f in got[2].report.failed] == [("c", "span off the page")] and got[5].report.failed[0].error == "page not in document"
+    assert {r.doc_id: r.messages for r in redact.failed_messages(redact.apply(docs, items)).collect()}[2] == "span off the page"
+
+
+def plain_hidden(words, terms):
+    line, starts, hit = " ".join(words), [], set()
+    for w in words:
+        starts.append(len(" ".join([*words[: len(starts)], ""])) if starts else 0)
+    for t in terms:
+        for i in range(len(line)):
+            if line.startswith(t, i):
+                hit |= {k for k, at in enumerate(starts) if at < i + len(t) and i < at + len(words[k]) + 1}
+    return sorted(hit)
+
+
+def test_hidden_words_of_terms(spark):
+    words = "anna maria aaaa anna mariana banana na x".split()
+    terms = ["anna maria", "aa", "ana", "na x", "zzz"]
+    hidden = spark.createDataFrame([(d, 0, k, w.upper()) for d in (1, 2) for k, w in enumerate(words)], "doc_id long, page int, pos int, word string")
+    wanted = spark.createDataFrame([(1, t) for t in terms] + [(2, "zzz")], "doc_id long, term string")
+    got = redact.hidden_term_words(hidden, wanted).collect()
+    assert sorted((r.doc_id, r.pos) for r in got) == [(1, k) for k in plain_hidden(words, terms)]
+
+
+def test_compact_terms_in_any_reading(spark):
+    data = ["12345678-Z".encode(), "12345678 Z".encode("utf-16"), "12345678Z".encode("utf-16-be"), b"\xff1234", None, "é12345678‐z".encode()]
+    rows = spark.createDataFrame([(1, k, bytearray(d) if d is not None else None) for k, d in enumerate(data)], "doc_id long, place int, data binary")
+    strings = rows.select("doc_id", "place", F.explode(readings("data")).alias("text"))
+    found = redact.strings_with_terms(strings, spark.createDataFrame([(1, "12345678 z")], "doc_id long, term string"))
+    assert {r.place for r in found.collect()} == {0, 1, 2, 5}
+    assert redact.strings_with_terms(strings, spark.createDataFrame([(1, "- z")], "doc_id long, term string")).collect() == []
+
+
+def test_images_are_matched_as_one_by_one(spark):
+    rng = random.Random(3)
+    rows = [(f, x, 100, rng.choice([50, 60]), 8, rng.randrange(2)) for f in range(40) for x in range(rng.randrange(2, 12))]
+    old, new = [r for r in rows if r[1] % 2], [r for r in rows if not r[1] % 2]
+    want = []
+    for f in range(40):
+        free, todo = [r for r in old if r[0] == f], [r for r in new if r[0] == f]
+        for by_place in (True, False):
+            for c in list(todo):
+                hit = next((b for b in free if b[2:5] == c[2:5] and (b[5] == c[5] or not by_place)), None)
+                if hit:
+                    free.remove(hit)
+                    todo.remove(c)
+                    want.append((f, c[1], hit[1]))
+    schema = "file int, xref int, width int, height int, bits int, place int"
+    got = images.matched(spark.createDataFrame(new, schema), spark.createDataFrame(old, schema))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_positions_across_stretches(spark):
+    rng = random.Random(5)
+    rows = [(k, rng.choice("ab"), rng.randrange(400)) for k in range(500)]
+    events = spark.createDataFrame(rows, "event_id long, kind string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    want = {}
+    for kind in "ab":
+        for n, r in enumerate(sorted((s, k) for k, q, s in rows if q == kind)):
+            want[r[1]] = n + 1
+    assert {r.event_id: r.position for r in positions(events, "kind", "ts", "event_id", 60).collect()} == want
+
+
+def test_sinks_and_lenient_reads(spark, tmp_path):
+    df = spark.createDataFrame([(2, "b"), (1, "a")], "k int, v string")
+    patterns.write_json(df, str(tmp_path / "out"), ["k"])
+    (tmp_path / "in.json").write_text('{"k": 1, "v": "a"}\nnot json\n{"k": "x"}\n{"k": 2}\n')
+    assert sorted(map(tuple, patterns.read_or_skip(spark, str(tmp_path / "in.json"), "k int, v string").collect()), key=str) == [(1, "a"), (2, None)]
+    assert sorted(map(tuple, spark.read.json(str(tmp_path / "out")).collect())) == [(1, "a"), (2, "b")]
+    with pytest.raises(ValueError, match="array"):
+        patterns.checked_items('{"a": 1}')
+
+
+def test_rounding_follows_the_binary_value(spark):
+    got = spark.createDataFrame([(0.35,), (0.25,), (2.5,), (None,)], "x double").select(rounded(F.col("x"), 1).alias("r")).collect()
+    assert [r.r for r in got] == [0.3, 0.2, 2.5, None]

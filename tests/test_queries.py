@@ -56,3 +56,21 @@ def test_every_event_has_a_position(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, event_type string, ts long").write.parquet(str(tmp_path / "events.parquet"))
     got = {r.event_id: r.position for r in registry.queries()["queue_position_all"](spark, str(tmp_path)).collect()}
     assert got == {8: 1, 6: 2, 4: 3, 2: 4, 7: 1, 5: 2, 3: 3, 1: 4}
+
+
+def test_core_stands_without_the_subpackage(monkeypatch):
+    import importlib
+
+    import __spark_entry__ as entry
+
+    real = importlib.import_module
+    for blocked in ("veilspark.llm.registry", "corpus_pipeline"):
+
+        def refuse(name, *more, blocked=blocked):
+            if name == blocked:
+                raise ImportError(name)
+            return real(name, *more)
+
+        monkeypatch.setattr(importlib, "import_module", refuse)
+        names = set(entry.queries())
+        assert set(registry.queries()) <= names and "pipeline" not in names and set(entry.oracle_sql()) <= names

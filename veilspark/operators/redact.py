@@ -1,11 +1,20 @@
-"""Masking of chosen spans, verification and delivery, over text: a page is a text, a zone is [start, end)."""
+"""Masking of chosen spans, verification and delivery, over text: a page is a text, a zone is [start, end).
+
+Defined results. Null text stays null. Spans that overlap or meet are masked as one. Tables are joined by key columns, of
+which a row of docs must be the only one with its values: where several rows share them and there are spans to mask, their
+text is withheld (null), since nobody can tell whose spans they are. with_masks() needs no key. Empty tables give empty
+results.
+"""
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.functions.text import norm
+from veilspark.functions.text import DASHES, compact, norm
 
 #: The category of zones drawn by hand, whose text is no term; the least length of a term.
 BY_HAND, LEAST_TERM = "Censura Manual", 3
@@ -36,18 +45,48 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), zero, step)
 
 
-def masked(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with each span's characters replaced one by one, so that offsets stay; spans: doc_id, start, end."""
-    per_doc = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+def masked_text(text: Column, spans: Column) -> Column:
+    """The text with each span's characters replaced one by one, so that offsets stay; spans: array of (start, end)."""
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.col("text")
 
     def step(acc: Column, s: Column) -> Column:
         kept = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
         return F.struct(s["end"].alias("at"), F.concat(acc["out"], kept, F.repeat(F.lit(MARK), s["end"] - s["start"])).alias("out"))
 
-    whole = F.aggregate(_merged(F.col("_spans")), zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return docs.join(per_doc, "doc_id", "left").withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(whole)).select(*docs.columns)
+    whole = F.aggregate(_merged(spans), zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.coalesce(F.size(spans), F.lit(0)) <= 0, text).otherwise(whole)
+
+
+def hit_spans(hits: Column) -> Column:
+    """(start, end) of all occurrences of a row's hits."""
+    each = F.transform(hits, lambda h: F.transform(h["starts"], lambda at: F.struct(at.alias("start"), (at + F.length(h["value"])).alias("end"))))
+    return F.flatten(each)
+
+
+def with_masks(found: DataFrame, masks: str = "masked") -> DataFrame:
+    """A table with text and hits, and what its text becomes when all occurrences are masked. Nothing is shuffled."""
+    return found.withColumn(masks, masked_text(F.col("text"), hit_spans(F.col("hits"))))
+
+
+def masked(docs: DataFrame, spans: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """docs with the spans (keys, start, end) masked."""
+    names = [f"_key_{k}" for k in range(len(keys))]
+    per_key = spans.groupBy(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True))).agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+    several = docs.join(per_key, _same(keys, names), "left_semi").groupBy(*keys).count().filter("count > 1")
+    per_key = per_key.join(several.select(*(F.col(k).alias(f"_s{k}") for k in keys), F.lit(True).alias("_several")), _same([f"_s{k}" for k in keys], names), "left")
+    joined = docs.join(per_key, _same(keys, names), "left")
+    text = F.when(F.col("_several"), F.lit(None).cast("string")).otherwise(masked_text(F.col("text"), F.col("_spans")))
+    return joined.withColumn("text", text).select(*docs.columns)
+
+
+def _same(left, right) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(x) == F.col(y) for x, y in zip(left, right, strict=True)))
+
+
+def left_under(text: Column, spans: Column) -> Column:
+    """Whether something other than the mark still stands in a span."""
+    left = lambda s: F.replace(F.substring(text, s["start"] + 1, s["end"] - s["start"]), F.lit(MARK), F.lit(""))
+    return F.coalesce(F.exists(spans, lambda s: left(s) != ""), F.lit(False))
 
 
 def leaks_under(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -57,6 +96,56 @@ def leaks_under(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return at.filter(left != "").select("doc_id", F.lit("page_text").alias("kind")).distinct()
 
 
+def compact_terms(terms: DataFrame) -> DataFrame:
+    """Terms (doc_id, term) without white space and dashes, those that are still long enough."""
+    short = terms.select("doc_id", compact(F.col("term")).alias("term")).filter(F.length("term") >= LEAST_TERM)
+    return short.distinct()
+
+
+def strings_with_terms(strings: DataFrame, terms: DataFrame, ours: list[str] | None = None) -> DataFrame:
+    """The strings (doc_id, place, text) that contain a term when neither counts white space and dashes. Texts that the tool
+    itself wrote (ours) do not count. Where bytes can be read in several ways, each reading is a string of the place."""
+    own = [re.sub(rf"[\s{DASHES}]+", "", x.casefold()) for x in ours or []]
+    dense = strings.withColumn("_dense", compact(F.col("text"))).filter((F.col("_dense") != "") & ~F.col("_dense").isin(*own) if own else F.col("_dense") != "")
+    # the terms of a document are few; gathered, they meet each string once
+    per_doc = compact_terms(terms).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("term").alias("_terms"))
+    hit = F.exists("_terms", lambda t: F.contains(F.col("_dense"), t))
+    return dense.join(per_doc, F.col("doc_id") == F.col("_doc")).filter(hit).select(*strings.columns).distinct()
+
+
+def hidden_term_words(hidden: DataFrame, terms: DataFrame) -> DataFrame:
+    """The hidden words (doc_id, page, pos, word) that a term (doc_id, term) runs through when they stand side by side,
+    normalised, in page order. Occurrences may overlap. A hidden word goes as a whole."""
+    normal = hidden.select("doc_id", "page", "pos", "word", norm(F.col("word")).alias("n"))
+    per_doc = terms.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("term").alias("terms"))
+    words = F.array_sort(F.collect_list(F.struct("pos", "word", "n")))
+    pages = normal.groupBy("doc_id", "page").agg(words.alias("words")).join(per_doc, F.col("doc_id") == F.col("_doc"))
+    pages = pages.withColumn("line", F.array_join(F.transform("words", lambda w: w["n"]), " "))
+    pages = pages.withColumn("terms", F.filter("terms", lambda t: F.contains(F.col("line"), t))).filter(F.size("terms") > 0)
+    # each term's next occurrence begins at least one character after the last one
+    times = lambda t: (F.length("line") - F.length(F.replace(F.col("line"), t, F.lit("")))).cast("int")
+    spots = F.flatten(F.transform("terms", lambda t: F.transform(_every(F.col("line"), t, times(t)), lambda at: F.struct(at.alias("start"), (at + F.length(t)).alias("end")))))
+    placed = F.aggregate(
+        "words", F.struct(F.lit(1).alias("at"), F.expr("cast(array() as array<struct<pos:int,word:string,start:int,stop:int>>)").alias("out")),
+        lambda acc, w: F.struct((acc["at"] + F.length(w["n"]) + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(w["pos"].cast("int").alias("pos"), w["word"].alias("word"), acc["at"].alias("start"), (acc["at"] + F.length(w["n"]) + 1).alias("stop")))).alias("out")),
+        lambda acc: acc["out"],
+    )
+    pages = pages.select("doc_id", "page", placed.alias("words"), spots.alias("spots"))
+    hit = F.filter("words", lambda w: F.exists("spots", lambda s: (w["start"] < s["end"]) & (s["start"] < w["stop"])))
+    return pages.select("doc_id", "page", F.explode(hit).alias("w")).select("doc_id", "page", "w.pos", "w.word")
+
+
+def _every(line: Column, term: Column, most: Column) -> Column:
+    """Places, from 1, of all occurrences, overlapping ones too; most is no fewer than there are."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("over"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, _: Column) -> Column:
+        at = F.call_function("locate", term, line, acc["at"] + 1)
+        return F.when(acc["over"] | (at == 0), F.struct(acc["at"].alias("at"), F.lit(True).alias("over"), acc["out"].alias("out"))).otherwise(F.struct(at.alias("at"), F.lit(False).alias("over"), F.concat(acc["out"], F.array(at)).alias("out")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), zero, step, lambda acc: acc["out"])
+
+
 def leaks_in(places: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, kind for places (doc_id, kind, text) that are never seen, where any occurrence of a term is a leak."""
     normal = places.select("doc_id", "kind", norm(F.col("text")).alias("text"))
@@ -74,3 +163,50 @@ def report(docs: DataFrame, leaks: DataFrame, failed: DataFrame) -> DataFrame:
 def delivered(docs: DataFrame, reports: DataFrame) -> DataFrame:
     """Fail closed: a document comes out only if it was verified and no item failed; one without a report does not."""
     return docs.join(reports.filter("verified AND n_failed = 0").select("doc_id"), "doc_id", "left_semi")
+
+
+REPORT = "success boolean, verified boolean, leaks array<string>, applied bigint, failed array<struct<id:string,error:string>>, text_loss_pages array<int>"
+
+
+def span_error(start: Column, end: Column, text: Column) -> Column:
+    """Why a span can't be masked, or null."""
+    return (
+        F.when(text.isNull(), F.lit("page not in document"))
+        .when(start.isNull() | end.isNull(), F.lit("span not valid"))
+        .when(start >= end, F.lit("span inverted or empty"))
+        .when((start < 0) | (end > F.length(text)), F.lit("span off the page"))
+    )
+
+
+def apply(docs: DataFrame, items: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """doc_id, text (null unless delivered) and report for every document: its items masked and verified, failing closed.
+
+    items: doc_id, id, category, text, start, end. Items that can't be masked are reported as failed, and then nothing of the
+    document is delivered. Terms are the items' own texts, but for zones drawn by hand, and the text under all zones. places
+    (doc_id, kind, text) are what a reader does not see; a term there is a leak, while a visible occurrence that nobody
+    chose is not. Reports hold kinds of leaks, never terms. doc_id is a key of docs.
+    """
+    at = items.join(docs.select("doc_id", F.col("text").alias("page_text")), "doc_id")
+    checked = at.withColumn("error", span_error(F.col("start"), F.col("end"), F.col("page_text")))
+    good = checked.filter("error IS NULL")
+    done = masked(docs.select("doc_id", "text"), good.select("doc_id", "start", "end"))
+    leaks = leaks_under(done, good)
+    if places is not None:
+        under = good.select("doc_id", F.substring("page_text", F.col("start") + 1, F.col("end") - F.col("start")).alias("text"))
+        leaks = leaks.unionByName(leaks_in(places, all_terms(items, under)))
+    kinds = leaks.groupBy("doc_id").agg(F.sort_array(F.collect_set("kind")).alias("leaks"))
+    fails = F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("id", "error"))))
+    counts = checked.groupBy("doc_id").agg(F.count_if(F.col("error").isNull()).alias("applied"), fails.alias("failed"))
+    joined = done.join(kinds, "doc_id", "left").join(counts, "doc_id", "left")
+    verified, failed = F.col("leaks").isNull(), F.coalesce("failed", F.array().cast("array<struct<id:string,error:string>>"))
+    # masking keeps offsets, so no word outside a zone can be lost
+    report = F.struct(
+        verified.alias("success"), verified.alias("verified"), F.coalesce("leaks", F.array().cast("array<string>")).alias("leaks"),
+        F.coalesce("applied", F.lit(0)).alias("applied"), failed.alias("failed"), F.array().cast("array<int>").alias("text_loss_pages"),
+    )
+    return joined.select("doc_id", F.when(verified & (F.size(failed) == 0), F.col("text")).alias("text"), report.alias("report"))
+
+
+def failed_messages(reports: DataFrame) -> DataFrame:
+    """doc_id, messages: the errors of a report's failed items on one line, in the order of their ids."""
+    return reports.select("doc_id", F.array_join(F.transform("report.failed", lambda f: f["error"]), " | ").alias("messages"))

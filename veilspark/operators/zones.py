@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ["doc_id", "page"]
@@ -50,14 +50,21 @@ def chars_inside(words: DataFrame, zones: DataFrame) -> DataFrame:
 
 def multiset_minus(left: DataFrame, right: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """left's rows without as many rows of each key as right has, the first in the given order going first."""
-    from pyspark.sql import Window
+    everything = left.withColumn("_right", F.lit(0)).unionByName(right.select(*keys, F.lit(1).alias("_right")), allowMissingColumns=True)
+    same = Window.partitionBy(*keys)
+    # one shuffle: left's rows come first in each key, and right's are counted beside them
+    numbered = everything.withColumn("_n", F.row_number().over(same.orderBy("_right", *order))).withColumn("_times", F.sum("_right").over(same))
+    return numbered.filter((F.col("_right") == 0) & (F.col("_n") > F.col("_times"))).select(*left.columns)
 
-    numbered = left.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    counts = right.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.count(F.lit(1)).alias("_times"))
-    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
-    return numbered.join(counts, same, "left").filter(F.col("_n") > F.coalesce("_times", F.lit(0))).select(*left.columns)
 
+def pages_with_loss(before: DataFrame, after: DataFrame, zones: DataFrame) -> DataFrame:
+    """doc_id, page (from 1), n_lost for pages of which words outside the zones are gone, counting how often each was there."""
+    outside = lambda words: words_outside(words, zones).select(*KEYS, "word")
+    lost = outside(before).exceptAll(outside(after)).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_lost"))
+    return lost.withColumn("page", F.col("page") + 1)
 
-def pages_with_loss(before: DataFrame, after: DataFrame) -> DataFrame:
-    """doc_id, page, n_lost for pages of which words are gone, counting how often each was there."""
-    return before.select(*KEYS, "word").exceptAll(after.select(*KEYS, "word")).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_lost"))
+
+def zones_with_boxes(zones: DataFrame, boxes: DataFrame) -> DataFrame:
+    """The zones (doc_id, page, zone_id, x0, y0, x1, y1) that touch a box (doc_id, page, x0, y0, x1, y1), such as an image's."""
+    side = _zone_side(boxes.withColumn("zone_id", F.lit(None)))
+    return zones.join(side, _same_page() & touches(), "left_semi")

@@ -71,3 +71,36 @@ ITEMS_SQL = """items AS (
   SELECT doc_id || '-' || k AS id, doc_id, CASE kind WHEN 1 THEN -1 WHEN 2 THEN 5 ELSE 0 END AS page, x0, 5.0 AS y0, CASE WHEN kind = 5 THEN 0.0 ELSE x0 + 20 END AS x1, 25.0 AS y1, doc_id % 2 * 90 AS rotation
   FROM (SELECT *, CASE kind WHEN 3 THEN 500.0 WHEN 4 THEN 'nan'::DOUBLE ELSE k * 10.0 END AS x0
         FROM (SELECT doc_id, k, (doc_id + k) % 7 AS kind FROM documents, range(4) r(k))))"""
+
+
+#: Locations of the strings table, dealt out by place and document.
+LOCATIONS = ["layer_name", "layer_config", "outline_target", "named_dest", "page_label", "thread_info", "open_action", "additional_action", "piece_info", "struct_text", "associated_file", "font", "other", "metadata"]
+OURS = ["Written by the tool"]
+
+
+def strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, place, location, text (null: can't be read), target_page: a string for each line."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
+    location = F.get(F.array(*map(F.lit, LOCATIONS)), ((F.col("place") * 5 + F.col("doc_id")) % len(LOCATIONS)).cast("int"))
+    return lines.select("doc_id", "place", location.alias("location"), F.when(F.col("place") % 17 != 16, F.col("line")).alias("text"), (F.col("place") % 4).alias("target_page"))
+
+
+STRINGS_SQL = f"""strings AS (
+  SELECT doc_id, i - 1 AS place, {LOCATIONS!r}[1 + ((i - 1) * 5 + doc_id) % {len(LOCATIONS)}] AS location, CASE WHEN (i - 1) % 17 <> 16 THEN l[i] END AS text, (i - 1) % 4 AS target_page
+  FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"""
+TERMS_SQL = f"terms AS (SELECT DISTINCT doc_id, {NORM_SQL.format('value')} AS term FROM findings WHERE length({NORM_SQL.format('value')}) >= 3)"
+DENSE_SQL = f"dense AS (SELECT DISTINCT doc_id, t AS term FROM (SELECT doc_id, {COMPACT_SQL.format('term')} AS t FROM terms) WHERE length(t) >= 3)"
+#: Strings that hold a term, white space and dashes not counted.
+HELD_SQL = f"held AS (SELECT DISTINCT s.doc_id, s.place FROM (SELECT doc_id, place, {COMPACT_SQL.format('text')} AS c FROM strings) s JOIN dense d ON s.doc_id = d.doc_id AND contains(s.c, d.term) WHERE s.c <> '')"
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file, xref, width, height, bits, place, mask: an image for each line of an order."""
+    line = F.col("l_linenumber")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("file"), line.alias("xref"), (100 + F.col("l_partkey") % 2).alias("width"), F.lit(50).alias("height"), F.lit(8).alias("bits"),
+        (F.col("l_suppkey") % 2).alias("place"), F.when(line % 3 == 0, line - 1).alias("mask"), F.floor("l_extendedprice").alias("size"),
+    )
+
+
+IMAGES_SQL = "images AS (SELECT l_orderkey AS file, l_linenumber AS xref, 100 + l_partkey % 2 AS width, 50 AS height, 8 AS bits, l_suppkey % 2 AS place, CASE WHEN l_linenumber % 3 = 0 THEN l_linenumber - 1 END AS mask, CAST(floor(l_extendedprice) AS BIGINT) AS size FROM lineitem)"

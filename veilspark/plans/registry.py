@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veilspark.plans import contents, service  # noqa: F401  they register their queries
 from veilspark.plans import queries as core
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,11 +28,12 @@ def load_patterns(raw: str | dict) -> list[tuple[str, str]]:
 def valid_patterns(spark: SparkSession, patterns: list[tuple[str, str]]) -> tuple[list[tuple[int, str, str]], list[tuple[str, str]]]:
     """(order, category, pattern) of those that compile, and (category, message) of the others, which harm no one else.
 
-    Named groups are written the JVM's way first.
+    Named groups and references to them are written the JVM's way first, and classes such as \\d, \\w and \\b hold for all
+    of Unicode.
     """
     good, bad = [], []
     for k, (category, pattern) in enumerate(patterns):
-        translated = pattern.replace("(?P<", "(?<")
+        translated = "(?U)" + re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<"))
         try:
             spark._jvm.java.util.regex.Pattern.compile(translated)
             good.append((k, category, translated))
@@ -45,8 +47,23 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ITEM).option("mode", "FAILFAST").option("multiLine", True).json(path)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("errorifexists").json(path)
+def checked_items(raw: str) -> list[dict]:
+    """Items of a JSON text. Raises before any job starts if it is not an array of objects."""
+    found = json.loads(raw)
+    if not isinstance(found, list) or not all(isinstance(x, dict) for x in found):
+        raise ValueError("items must be an array of objects")
+    return found
+
+
+def write_json(df: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """Lines of JSON; with order (say doc_id, ord, start) sorted by it throughout, a sort that only the sink asks for."""
+    (df.orderBy(*order) if order else df).write.mode("errorifexists").json(path)
+
+
+def read_or_skip(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Objects of a JSON file, those that can't be read left out."""
+    rows = spark.read.schema(f"{schema}, _broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path)
+    return rows.filter("_broken IS NULL").drop("_broken")
 
 
 BENCH = "mode string, file string, level_asked string, http int, status string, level string, bytes long, seconds double"

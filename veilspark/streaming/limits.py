@@ -1,18 +1,21 @@
-"""Per-client rate limits and weighted queues: ordered folds, in batch and as streams.
+"""Per-client rate limits: ordered folds, in batch and as streams.
 
 A client's requests are one after the other by nature. They are dealt out by client, sorted, and folded batch by batch
 with one small state, so even a client with a third of all requests needs no more memory than another; the
 stream holds a client's micro-batch. One task still takes all of a client's requests.
+
+Defined results. Requests of one time go by event_id. A null client is a client of its own; null times are not judged. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 #: Requests in progress and in a window; the window; what a client in progress is told to wait.
 CONCURRENT, PER_WINDOW, WINDOW_MS, BUSY_S = 3, 60, 600_000, 10
@@ -67,8 +70,8 @@ def rate_limited(events: DataFrame, per_window: int = PER_WINDOW, window_ms: int
 
 
 def rate_limited_stream(events: DataFrame, per_window: int = PER_WINDOW, window_ms: int = WINDOW_MS) -> DataFrame:
-    """The same as a stream, state kept per client and dropped when idle for a window. Events within a micro-batch are
-    taken in time order."""
+    """The same as a stream. Events within a micro-batch are taken in time order; an event may come later than others by a
+    window at most, else it is dropped as late. A client's state goes, by event time, when its window is over."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -84,87 +87,23 @@ def rate_limited_stream(events: DataFrame, per_window: int = PER_WINDOW, window_
                 client.release()
             rows.append((event_id, key[0], *verdict))
         state.update((client.active, client.count, client.began))
-        state.setTimeoutDuration(window_ms)
+        state.setTimeoutTimestamp(max(client.began + window_ms, state.getCurrentWatermarkMs() + 1))
         out = pd.DataFrame(rows, columns=["event_id", "user_id", "admitted", "reason", "retry_s"])
         out["retry_s"] = out["retry_s"].astype("Int64")
         yield out
 
-    return events.groupBy("user_id").applyInPandasWithState(fold, _DECISION, "active int, count int, began long", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-class Queue:
-    """A weighted first-in-first-out queue: a head that does not fit holds up all behind it."""
-
-    def __init__(self, slots: int, most: int, wait_ms: int):
-        self.slots, self.most, self.wait_ms = slots, most, wait_ms
-        self.used, self.waiting, self.running = 0, deque(), {}
-        self.log: list[tuple[int, str, int]] = []
-
-    def _start_those_that_fit(self, at: int) -> None:
-        while self.waiting and self.used + self.waiting[0][1] <= self.slots:
-            job, weight, _ = self.waiting.popleft()
-            self.running[job] = weight
-            self.used += weight
-            self.log.append((job, "STARTED", at))
-
-    def expire(self, at: int) -> None:
-        """Jobs that waited too long leave, oldest first, each at its own time."""
-        while self.waiting and min(w[2] for w in self.waiting) + self.wait_ms <= at:
-            late = min(self.waiting, key=lambda w: w[2])
-            self._leave(late, "QUEUE_TIMEOUT", late[2] + self.wait_ms)
-
-    def _leave(self, ticket: tuple, reason: str, at: int) -> None:
-        self.waiting.remove(ticket)
-        self.log.append((ticket[0], reason, at))
-        self._start_those_that_fit(at)
-
-    def acquire(self, job: int, weight: int, at: int) -> None:
-        self.expire(at)
-        if job in self.running or any(w[0] == job for w in self.waiting):
-            self.log.append((job, "DUPLICATE_ID", at))
-            return
-        weight = min(max(1, weight), self.slots)
-        fits = not self.waiting and self.used + weight <= self.slots
-        if not fits and len(self.waiting) >= self.most:
-            self.log.append((job, "QUEUE_FULL", at))
-            return
-        self.waiting.append((job, weight, at))
-        self._start_those_that_fit(at)
-
-    def release(self, job: int, at: int) -> None:
-        self.expire(at)
-        self.used -= self.running.pop(job, 0)
-        self._start_those_that_fit(at)
-
-    def cancel(self, job: int, at: int) -> None:
-        self.expire(at)
-        for ticket in [w for w in self.waiting if w[0] == job]:
-            self._leave(ticket, "CANCELLED", at)
-
-    def load(self) -> int:
-        """Free slots count as taken while anyone waits: a new job could not use them."""
-        return (self.slots if self.waiting else self.used) + len(self.waiting)
-
-
-def queue_replay(log: DataFrame, slots: int = 3, most: int = 8, wait_ms: int = 120_000) -> DataFrame:
-    """queue, job, outcome, at_ms of a log (queue, t_ms, seq, op, job, weight), one queue after the other in its order."""
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, queue = None, Queue(slots, most, wait_ms)
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                if r.queue != name:
-                    name, queue = r.queue, Queue(slots, most, wait_ms)
-                if r.op == "acquire":
-                    queue.acquire(r.job, r.weight, r.t_ms)
-                elif r.op == "release":
-                    queue.release(r.job, r.t_ms)
-                else:
-                    queue.cancel(r.job, r.t_ms)
-                rows += [(name, *x) for x in queue.log]
-                queue.log.clear()
-            yield pd.DataFrame(rows, columns=["queue", "job", "outcome", "at_ms"])
-
-    dealt = log.select("queue", "t_ms", "seq", "op", "job", "weight").repartition("queue").sortWithinPartitions("queue", "t_ms", "seq")
-    return dealt.mapInPandas(fold, "queue string, job long, outcome string, at_ms long")
+    # a watermark begins at 0 and holds what is not after it to be late
+    timed = events.withColumn("_at", F.timestamp_millis(F.col("ts_ms") + 1)).withWatermark("_at", f"{window_ms} milliseconds")
+    return timed.groupBy("user_id").applyInPandasWithState(fold, _DECISION, "active int, count int, began long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def positions(waiting: DataFrame, queue: str, at: str, ties: str, seconds: int = 60) -> DataFrame:
+    """waiting with its position, from 1, in its queue by time and ties. Events are counted by queue and stretch of time; an
+    event's position is its rank in its stretch and the count of those before, so a long queue is ranked in many tasks."""
+    stretch = waiting.withColumn("_stretch", F.floor(F.unix_seconds(F.col(at).cast("timestamp")) / seconds))
+    counts = stretch.groupBy(queue, "_stretch").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(queue).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col(queue).alias("_queue"), F.col("_stretch").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranked = stretch.withColumn("_rank", F.row_number().over(Window.partitionBy(queue, "_stretch").orderBy(at, ties)))
+    joined = ranked.join(starts, F.col(queue).eqNullSafe(F.col("_queue")) & F.col("_stretch").eqNullSafe(F.col("_of")))
+    return joined.select(*waiting.columns, (F.col("_before") + F.col("_rank")).alias("position"))
