@@ -2,7 +2,11 @@
 
 Rejected by the quality classifier, documents go; boilerplate lines of their site go from the rest; of documents that
 link by five-word shingles at a Jaccard similarity of 0.8 or more, one of each group stays; secrets are masked; the
-texts are packed into sequences of 4096 tokens. All stages but the last return the columns of documents.
+texts are packed into sequences of 4096 tokens. All stages but the last return the columns of documents, whatever further
+columns there are and whatever their names.
+
+Defined results. Null text counts as empty in every stage and stays null where a stage keeps it. Null or repeated doc_ids
+are kept apart by their texts. An empty table gives an empty result. Ties go to the least doc_id.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from veilspark.llm.ngram_join import near_components
 from veilspark.llm.packing import packed_documents
 from veilspark.llm.quality_classifier import quality_scores
 from veilspark.llm.secrets import mask_secrets
-from veilspark.llm.shared import read_table, staged
+from veilspark.llm.shared import forget, free_names, read_table, small_batches, staged
 
 SIMILARITY, SHINGLE = 80, 5
 
@@ -30,7 +34,9 @@ def _sized(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents that the co-trained classifier rejects go."""
-    return quality_scores(docs, read_table(spark, sf_dir, "labels")).filter("_kept").select(*docs.columns)
+    small_batches(spark)
+    score, kept = free_names(docs.columns, "score", "kept")
+    return quality_scores(docs, read_table(spark, sf_dir, "labels"), score_col=score, kept_col=kept).filter(F.col(kept)).select(*docs.columns)
 
 
 def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,17 +54,19 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     keeps its own. Rows without a doc_id go if
     they link with one that has it, and otherwise stay.
     """
+    small_batches(spark)
     found = near_components(docs, SIMILARITY, SHINGLE, marks=True).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     stays = found.filter(alone).select("doc_id", "mark").unionByName(found.filter(~alone).groupBy("label", "doc_id").agg(F.min("mark").alias("mark")).drop("label"))
-    stays = stays.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+    own, its_mark, twice = free_names(docs.columns, "id", "mark", "several")
+    stays = stays.select(F.col("doc_id").alias(own), F.col("mark").alias(its_mark))
     mark = F.xxhash64(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
-    kept = docs.join(stays, docs["doc_id"].eqNullSafe(F.col("_id")) & (mark == F.col("_mark")), "left_semi")
+    kept = docs.join(stays, docs["doc_id"].eqNullSafe(F.col(own)) & (mark == F.col(its_mark)), "left_semi")
     # usually every doc_id is there once; only rows of the others are compared as wholes
-    several = staged(docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("several")), "repeated-ids")
+    several = staged(docs.select("doc_id").groupBy("doc_id").count().filter((F.col("count") > 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(twice)), "repeated-ids")
     if several.isEmpty():
         return kept
-    again = kept["doc_id"] == F.col("several")
+    again = kept["doc_id"] == F.col(twice)
     return kept.join(several, again, "left_anti").unionByName(kept.join(several, again, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
@@ -69,6 +77,7 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: pieces of sequences."""
+    small_batches(spark)
     return packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -79,9 +88,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """The last stage's rows. Each stage is written, read again by the next one and deleted once that is written."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = staged(docs, f"pipeline-{name}")
+            if before is not None:
+                forget(before)
+            before = docs
     return docs
