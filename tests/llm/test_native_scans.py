@@ -62,6 +62,23 @@ def test_masking(spark):
     assert got == {1: "a [SECRET] b [SECRET]' c", 2: None, 3: "clean"}
 
 
+def test_masking_keeps_columns_of_any_name(spark):
+    names = ["_text", "_free", "_random", "_base", "_spans", "_assign", "_HEX", "__spans", "spans"]
+    docs = spark.createDataFrame([(1, "a token=abcdefg b", *names)], ["doc_id", "text", *names])
+    got = secrets.mask_secrets(docs, table=secrets.ratio_table(secrets.labelled_samples()))
+    assert got.columns == docs.columns and tuple(got.collect()[0]) == (1, "a [SECRET] b", *names)
+
+
+def test_lines_keep_columns_of_any_name(spark):
+    names = ["_bad", "_HOST", "_salt", "_of", "_kept", "host", "line", "pages"]
+    rows = [(k, "a", f"menu\nonly {k}", *names, "old") for k in range(40)]
+    docs = spark.createDataFrame(rows, ["doc_id", "source", "text", *names, "N_lines"])
+    for most in (10**6, -1):
+        got = line_dedup.drop_boilerplate(docs, broadcast_lines=most)
+        assert got.columns == ["doc_id", "source", "text", *names, "n_lines", "n_dropped"]
+        assert sorted(map(tuple, got.collect())) == [(k, "a", f"only {k}", *names, 2, 1) for k in range(40)]
+
+
 def brute_lines(rows, ratio, least):
     pages, seen = defaultdict(int), defaultdict(set)
     for k, (_, host, text) in enumerate(rows):
@@ -131,4 +148,18 @@ def test_licenses_against_brute_force(spark):
     got = sorted(tuple(r) for r in licenses.license_matches(docs).collect())
     assert got == sorted((k, *m) for k, t in enumerate(texts) for m in brute_licenses(t, licenses.TEMPLATES))
     assert licenses.license_matches(docs.limit(0)).collect() == []
-    assert licenses.license_matches(docs, {"o'wn": "a b c d e f"}).collect() == []
+    assert licenses.license_matches(docs, {"o'wn": "a b c d e f"}).collect() == [] and licenses.license_matches(docs, {}).collect() == []
+
+
+def test_licenses_of_repeated_rows_and_many_templates(spark):
+    rng = random.Random(1)
+    templates = {f"t{k}": " ".join(f"w{rng.randrange(300)}" for _ in range(rng.choice([5, 7, 9, 12, 20, 60, 200]))) for k in range(300)}
+    texts = [f"before {t} after and more words" for t in list(templates.values())[::7]] + [" ".join(list(templates.values())[:4])]
+    docs = spark.createDataFrame([(None if k % 5 == 0 else k, t, "x", 1) for k, t in enumerate(texts)] * 2, "doc_id long, text string, band string, k int")
+    got = sorted((tuple(r) for r in licenses.license_matches(docs, templates).collect()), key=str)
+    assert got == sorted([(None if k % 5 == 0 else k, *m) for k, t in enumerate(texts) for m in brute_licenses(t, templates)] * 2, key=str)
+
+
+def test_unchanged_windows_always_meet(spark):
+    names, bands = licenses.catalogue(spark, licenses.TEMPLATES)
+    assert {w for *_, w in bands} == {1, 4, 8} and {k for _, k, _ in bands} == set(range(len(names)))

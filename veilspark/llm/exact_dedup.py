@@ -28,6 +28,8 @@ from veilspark.llm.shared import lower_ascii, slices, staged, whole_text
 FANOUT = 16
 #: Bytes of distinct text that one table may hold before it spills.
 TABLE_BYTES = 96 << 20
+#: Rows of a result that a task holds.
+FLUSH_ROWS = 50_000
 
 
 class ContentTable:
@@ -148,7 +150,7 @@ def _local_groups(budget: int):
             for name, v in zip(out, (None, base + gid, False, True, key, len(members), top), strict=True):
                 out[name].append(v)
             held += len(key)
-            if held > 8 << 20 or len(out["gid"]) > 50_000:
+            if held > 8 << 20 or len(out["gid"]) > FLUSH_ROWS:
                 yield flush()
                 start()
                 held = 0
@@ -178,13 +180,21 @@ def _global_groups(budget: int):
                 for g, t, c, d in zip(gid, text, n, top, strict=True):
                     yield t, [[g], c, d, g]
 
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+
+        def flush(out: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["gid", "keep_id", "group_size", "winner", "text_sha256"])
+
         out: list[list] = [[], [], [], [], []]
         for key, (gids, n, top, winner) in grace_fold(rows(), _merge_global, budget):
             sha = hashlib.sha256(key).hexdigest()
             for column, v in zip(out, (gids, [top] * len(gids), [n] * len(gids), [winner] * len(gids), [sha] * len(gids)), strict=True):
                 column.extend(v)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["gid", "keep_id", "group_size", "winner", "text_sha256"])
+            if len(out[0]) >= FLUSH_ROWS:
+                yield flush(out)
+                out = [[], [], [], [], []]
+        if out[0]:
+            yield flush(out)
 
     return run
 

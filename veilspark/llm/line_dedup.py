@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.shared import SPACE, staged
+from veilspark.llm.shared import SPACE, free_names, staged
 
 #: A line on more than this share of a host's pages is boilerplate.
 RATIO = 0.08
@@ -59,20 +59,23 @@ def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text
     return counts.join(pages, F.col("h").eqNullSafe(F.col("host"))).filter(F.col("n") > ratio * F.col("pages")).select("host", "line", "n", "pages")
 
 
-def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_lines: int = BROADCAST_LINES, by_content: bool = False) -> DataFrame:
-    """docs with boilerplate lines gone from the text, and n_lines and n_dropped added (under these names)."""
+def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_lines: int = BROADCAST_LINES, by_content: bool = False, lines_col: str = "n_lines", dropped_col: str = "n_dropped") -> DataFrame:
+    """docs with boilerplate lines gone from the text, and how many lines it had (lines_col) and lost (dropped_col) added;
+    columns of docs under these two names are replaced, all others stay as they are."""
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in (lines_col.lower(), dropped_col.lower())))
+    bad, host, salt, of, kept_col = free_names([*docs.columns, lines_col, dropped_col], "bad", "host", "salt", "of", "kept")
     found = staged(boilerplate(docs, host_col, text_col, ratio, min_pages, by_content), "boilerplate")
     small = found.count() <= broadcast_lines
-    per_host = found.groupBy("host").agg(F.collect_set("line").alias("_bad")).withColumnRenamed("host", "_host")
-    match = F.col(host_col).eqNullSafe(F.col("_host"))
+    per_host = found.groupBy(F.col("host").alias(host)).agg(F.collect_set("line").alias(bad))
+    match = F.col(host_col).eqNullSafe(F.col(host))
     if small:
         joined = docs.join(F.broadcast(per_host), match, "left")
     else:
-        salted = docs.withColumn("_salt", F.pmod(F.xxhash64(text_col), F.lit(SALTS)))
-        copies = per_host.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = salted.join(copies, match & (F.col("_salt") == F.col("_of")), "left").drop("_salt", "_of")
+        salted = docs.withColumn(salt, F.pmod(F.xxhash64(text_col), F.lit(SALTS)))
+        copies = per_host.withColumn(of, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = salted.join(copies, match & (F.col(salt) == F.col(of)), "left").drop(salt, of)
     lines = _lines(F.col(text_col))
-    kept = F.when(F.col("_bad").isNull(), lines).otherwise(F.filter(lines, lambda x: ~(_has_word(x) & F.array_contains(F.col("_bad"), _key(x)))))
-    out = joined.withColumn("_kept", kept).withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-    out = out.withColumn("n_dropped", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("_kept")).cast("long"))
-    return out.withColumn(text_col, F.array_join("_kept", "\n")).drop("_kept", "_bad", "_host")
+    kept = F.when(F.col(bad).isNull(), lines).otherwise(F.filter(lines, lambda x: ~(_has_word(x) & F.array_contains(F.col(bad), _key(x)))))
+    out = joined.withColumn(kept_col, kept).withColumn(lines_col, F.coalesce(F.size(lines), F.lit(0)).cast("long"))
+    out = out.withColumn(dropped_col, F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.col(lines_col) - F.size(kept_col)).cast("long"))
+    return out.withColumn(text_col, F.array_join(kept_col, "\n")).drop(kept_col, bad, host)

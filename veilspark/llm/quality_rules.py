@@ -1,9 +1,11 @@
 """Quality rules as a short-circuit cascade.
 
 Each rule rejects a text by whole-number arithmetic over counts that a `Measured` text computes when first asked. On a
-bounded sample the executors time every rule and note what it rejects; the driver then orders the rules greedily by
-rejections per second among the texts that the rules before leave. The cascade stops at a text's first failed rule, so
-most rejected texts never pay for the dear counts. The verdict does not depend on the order.
+bounded sample the executors time every rule, words split anew for each, and note what it rejects; the driver then orders
+the rules greedily by rejections per second among the texts that the rules before leave. The cascade stops at a text's
+first failed rule, so most rejected texts never pay for the dear counts. Where the counts themselves are asked for, as in
+the registered query, all texts pay for those and the cascade saves the other rules only. The verdict does not depend on
+the order.
 
 Defined results. Null text has no words and fails. Null or repeated doc_ids give a row each. An empty table gives an
 empty result, and the rules keep their given order.
@@ -89,10 +91,13 @@ class Measured:
             return 0
         number = {w: k for k, w in enumerate(dict.fromkeys(self.words))}
         ids, size = np.fromiter(map(number.__getitem__, self.words), np.int64, self.n_words), len(number)
-        code = (ids[:n] * size + ids[1 : n + 1]) * size + ids[2 : n + 2]
-        if size >= 6000:  # five numbers no longer fit 63 bits: rank the first three
-            code = np.unique(code, return_inverse=True)[1]
-        code = (code * size + ids[3 : n + 3]) * size + ids[4:]
+        code, most = ids[:n], size
+        for k in range(1, 5):
+            if most * size >= 1 << 62:  # a further number would not fit: rank what is there, at most n values
+                code = np.unique(code, return_inverse=True)[1]
+                most = n
+            code = code * size + ids[k : k + n]
+            most *= size
         _, where, times = np.unique(code, return_inverse=True, return_counts=True)
         if len(times) == n:
             return 0

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.shared import whole_text
+from veilspark.llm.shared import free_names, whole_text
 
 #: The base patterns. A match counts if the given group has at least so many characters.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -129,21 +129,26 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kind, s["rank"]), s["start"], s["end"])), ",")
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text", table: np.ndarray | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with _base and _spans added: arrays of (start, rank, end), rank being the kind's place in KINDS."""
+_HELPERS = ("text", "free", "random", "base", "spans", *(k for k, *_ in BASE))
+
+
+def find_secrets(docs: DataFrame, text_col: str = "text", table: np.ndarray | None = None, threshold: float = THRESHOLD, prefix: str = "_") -> DataFrame:
+    """docs with the columns base and spans, each behind the prefix, added: arrays of (start, rank, end), rank being the
+    kind's place in KINDS; and an array for each base kind. Columns of docs under these names are replaced."""
     if table is None:
         table = ratio_table(labelled_samples(), corpus_pairs(docs, text_col))
-    text = F.col("_text")
-    df = docs.withColumn("_text", whole_text(text_col))
+    name = {k: prefix + k for k in _HELPERS}
+    text, base = F.col(name["text"]), F.col(name["base"])
+    df = docs.withColumn(name["text"], whole_text(text_col))
     # hex and access: a failing match takes its whole run, so asking for the length in the pattern finds the same
     shapes = [ASSIGN, r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"]
     for rank, ((kind, _, group, least), pattern) in enumerate(zip(BASE, shapes, strict=True)):
-        df = df.withColumn(f"_{kind}", _located(text, pattern, group, least, rank))
-    df = df.withColumn("_base", F.array_sort(F.concat(*(F.col(f"_{k}") for k, *_ in BASE))))
-    free = F.filter(_located(text, TOKEN, 0, 20, len(BASE)), lambda s: ~F.exists(F.col("_base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    df = df.withColumn("_free", free).withColumn("_random", _random_tokens(table, threshold, F.col("_free"), text))
-    df = df.withColumn("_spans", F.when(F.size("_random") == 0, F.col("_base")).otherwise(F.array_sort(F.concat("_base", "_random"))))
-    return df.drop("_text", "_free", "_random")
+        df = df.withColumn(name[kind], _located(text, pattern, group, least, rank))
+    df = df.withColumn(name["base"], F.array_sort(F.concat(*(F.col(name[k]) for k, *_ in BASE))))
+    free = F.filter(_located(text, TOKEN, 0, 20, len(BASE)), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    df = df.withColumn(name["free"], free).withColumn(name["random"], _random_tokens(table, threshold, F.col(name["free"]), text))
+    df = df.withColumn(name["spans"], F.when(F.size(name["random"]) == 0, base).otherwise(F.array_sort(F.concat(base, F.col(name["random"])))))
+    return df.drop(name["text"], name["free"], name["random"])
 
 
 def secret_report(docs: DataFrame, **more) -> DataFrame:
@@ -156,9 +161,11 @@ def secret_report(docs: DataFrame, **more) -> DataFrame:
 
 
 def mask_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", **more) -> DataFrame:
-    """docs with every span of the text, overlapping ones as one, replaced by the mark."""
-    found = find_secrets(docs, text_col, **more)
-    text = F.col(text_col)
+    """docs with every span of the text, overlapping ones as one, replaced by the mark; all other columns as they are,
+    whatever their names."""
+    prefix = free_names(docs.columns, *_HELPERS)[0].removesuffix(_HELPERS[0])
+    found = find_secrets(docs, text_col, prefix=prefix, **more)
+    text, spans = F.col(text_col), F.col(prefix + "spans")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -166,8 +173,8 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]"
         inside = s["start"] < acc["at"]  # carries on the span before
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(begun).alias("out"))
 
-    masked = F.aggregate(F.col("_spans"), zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("_spans") > 0, masked).otherwise(text)).select(*docs.columns)
+    masked = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, masked).otherwise(text)).select(*docs.columns)
 
 
 def mean_ratio(table: np.ndarray, token: str) -> float:
