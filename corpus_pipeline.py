@@ -44,7 +44,8 @@ def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Copies are still there at this stage, so a page is a distinct text: else a copied document would lose all its lines.
     """
-    return _sized(docs, drop_boilerplate(docs, by_content=True))
+    lines, dropped = free_names(docs.columns, "lines", "dropped")
+    return _sized(docs, drop_boilerplate(docs, by_content=True, lines_col=lines, dropped_col=dropped))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
