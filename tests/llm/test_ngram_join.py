@@ -65,6 +65,38 @@ def test_components_against_brute_force(spark, percent, size, common, width):
     assert sorted(got, key=str) == sorted(brute(rows, percent, size), key=str)
 
 
+def family(seed, n, words=120):
+    """Near copies of one text at distances around the threshold, two versions of it, and texts that share a passage."""
+    rng = random.Random(seed)
+    origin = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    other = [*origin[: words // 2], *(f"v{k}" for k in range(words // 6)), *origin[words // 2 :]]
+    texts = []
+    for k in range(n):
+        copy = list(origin if k % 3 else other)
+        for _ in range(rng.randrange(0, 7)):
+            copy[rng.randrange(len(copy))] = rng.choice([f"e{rng.randrange(5)}", f"new{rng.random()}"])
+        texts.append(" ".join(copy))
+    return texts + [" ".join([*origin[:90], *(f"own{k}_{j}" for j in range(rng.randrange(5, 30)))]) for k in range(n // 3)]
+
+
+@pytest.mark.parametrize(("percent", "size", "few"), [(80, 5, 2), (90, 3, 2), (80, 5, 8)])
+def test_large_entries_against_brute_force(spark, percent, size, few):
+    rows = list(enumerate(family(few + percent, 70)))
+    got = [tuple(r) for r in ngram_join.near_components(spark.createDataFrame(rows, "doc_id long, text string"), percent, size, few=few).collect()]
+    want = brute(rows, percent, size)
+    assert sorted(got) == sorted(want) and len({c for *_, c in want}) > 3
+
+
+def test_sets_that_share_a_hash_stay_apart(spark):
+    texts = ["a b c d e", "f g h i j", "a b c d e", "k l m n o"]
+    nodes = {ngram_join.hashes_of(ngram_join.Words().shingles(t.encode(), 3)) for t in texts}
+    facts = spark.createDataFrame([(k, k, 7, again, 3) for k, (_, again) in enumerate(sorted(nodes))], "doc_id long, mark long, node long, again long, n long")
+    join = ngram_join.JaccardJoin(spark.createDataFrame([(1, "x")], "doc_id long, text string"), 90, 3, "doc_id", "text", 16)
+    assert {r.node for r in join.with_nodes(facts).collect()} == {again for _, again in nodes} and join.twice == {7}
+    first, second = sorted(nodes)[0]
+    assert ngram_join.node_of(ngram_join.Words().shingles(b"a b c d e", 3), frozenset([ngram_join.hashes_of(ngram_join.Words().shingles(b"a b c d e", 3))[0]])) in {again for _, again in nodes} and first != second
+
+
 def test_empty_table(spark):
     assert ngram_join.near_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

@@ -1,5 +1,6 @@
 import corpus_pipeline as cp
 import numpy as np
+from pyspark.sql import functions as F
 from tests.llm.test_native_scans import brute_lines, brute_secrets
 from tests.llm.test_ngram_join import brute, corpus
 
@@ -73,6 +74,54 @@ def test_co_training_teaches_the_poorer_view():
     assert right > 0.97
 
 
+def plain_score(model, kinds, text, values):
+    """A document's score by loops: places counted word by word, views summed number by number."""
+    places = qc.WordPlaces()
+    data = (text or "").encode()
+    x = list(qc.measures(qc.Measured(data)))
+    words = [places[w] for w in data.split()]
+    x += [(words.count(k) / max(1, len(words))) ** 0.5 for k in range(qc.WORD_PLACES)]
+    low = data.lower()
+    grams = [((a * 961 + b * 31 + c) * 2654435761 % 2**32) >> 26 for a, b, c in zip(low, low[1:], low[2:], strict=False)]
+    x += [(grams.count(k) / max(1, len(grams))) ** 0.5 for k in range(qc.TRIGRAM_PLACES)]
+    at, numbers = qc.meta_features(values, kinds)
+    meta = [0.0] * (qc.PLACES * len(kinds)) + numbers
+    for k in at:
+        meta[k] = 1.0
+    odds = -model.base
+    for view, f in ((model.text, x), (model.meta, meta)):
+        z = sum((v - m) / s * w for v, m, s, w in zip(f, view.mean, view.scale, view.weights, strict=False)) + view.weights[-1]
+        odds += min(20, max(-20, view.slope * z + view.shift))
+    return 1 / (1 + np.exp(-odds))
+
+
+def test_classifier_against_plain_loops(spark, sf):
+    docs, labels = (cp.read_table(spark, sf, t) for t in ("documents", "labels"))
+    model = qc.train(docs, labels, list(qc.META))
+    again = qc.train(docs.repartition(7), labels.repartition(3), list(qc.META))
+    assert np.allclose(model.text.weights, again.text.weights) and np.allclose(model.meta.weights, again.meta.weights)
+    got = qc.quality_scores(docs, labels, model=model, score_col="s", kept_col="k").collect()
+    assert got
+    for r in got[:60]:
+        want = plain_score(model, [False, False, True], r.text, (r.lang, r.source, float(r.n_chars)))
+        assert abs(r.s - want) < 1e-6 and r.k == (want >= qc.KEEP)
+
+
+def test_stages_keep_columns_of_any_name_and_take_empty_tables(spark, sf):
+    names = ["_x", "_m0", "_Score", "_kept", "_base", "_spans", "_bad", "_host", "_id", "_mark", "several", "_several", "count", "label", "node", "n_lines"]
+    docs = cp.read_table(spark, sf, "documents").limit(60)
+    for n in names:
+        docs = docs.withColumn(n, F.lit(n))
+    docs = cp.staged(docs.unionByName(docs.limit(3)).unionByName(docs.limit(1).withColumn("text", F.lit(None).cast("string")).withColumn("doc_id", F.lit(None).cast("long"))), "test")
+    for name, stage in cp.STAGES[:-1]:
+        got = stage(spark, docs, sf)
+        assert got.columns == docs.columns, name
+        rows = got.collect()
+        assert rows and all(r[n] == n for r in rows for n in names), name
+        assert stage(spark, docs.limit(0), sf).collect() == []
+    assert cp.STAGES[-1][1](spark, docs.limit(0), sf).collect() == []
+
+
 def test_classifier_edges(spark):
     docs = spark.createDataFrame([(1, None, None, None, "e"), (None, "", "en", 3, "e"), (3, "x " * 60_000, "en", 4, "e"), (3, "x", "fr", None, "e")], "doc_id long, text string, lang string, n_chars long, quality string")
     none = spark.createDataFrame([(1, 1), (1, 0), (3, None)], "doc_id long, quality int")

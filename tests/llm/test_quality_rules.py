@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 
+from veilspark.llm import quality_rules
 from veilspark.llm.quality_rules import BASE, MORE, Rule, cascade_order, quality_verdicts
 
 TEXTS = [
@@ -48,3 +49,9 @@ def test_own_rules(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "bb")], "doc_id long, text string")
     got = quality_verdicts(docs, [Rule("short", lambda m: len(m.data) < 2)], counts=False)
     assert sorted(map(tuple, got.collect())) == [(1, False), (2, True)]
+
+
+def test_repeated_windows_in_a_vast_vocabulary():
+    n = 3_000_000
+    words = [b"%d" % k for k in range(n)]
+    assert quality_rules.Measured(b" ".join([*words, *words[100:107]])).n_repeat_words == 14

@@ -23,7 +23,8 @@ def test_scratch_deletes_what_is_not_kept(spark):
 
 
 def test_shared_folder_is_the_clusters(spark):
-    assert shared.shared_dir(spark) == spark.sparkContext.getCheckpointDir()
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    assert shared.shared_dir(spark) == (named or spark.sparkContext.getCheckpointDir())
 
 
 def test_staged_tables_are_read_back_and_can_be_forgotten(spark):

@@ -106,6 +106,20 @@ def test_packing_covers_every_id_once(spark):
     assert packing.packed_documents(docs.limit(0), WORD).collect() == []
 
 
+def test_packing_of_repeated_rows_null_ids_and_other_columns(spark):
+    t = load(WORD)
+    texts = ["one two", None, "", "three " * 50]
+    rows = [(k or None, x, "c") for k, x in enumerate(texts)] * 2
+    got = packing.packed_documents(spark.createDataFrame(rows, "doc_id long, text string, length string"), WORD).collect()
+    want = [(d, len(t.encode(x or "", add_special_tokens=False).ids) + 1) for d, x, _ in rows]
+    assert sorted(((r.doc_id, r.doc_tokens) for r in got), key=str) == sorted(want, key=str)
+    packs = defaultdict(list)
+    for r in got:
+        packs[r.sequence_id].append((r.offset, r.length))
+    for p in packs.values():
+        assert [at for at, _ in sorted(p)] == [sum(n for _, n in sorted(p)[:k]) for k in range(len(p))]
+
+
 def test_packing_many_lengths_pads_little(spark):
     rng = random.Random(2)
     texts = ["same length here"] * 700 + [" ".join("ab cd".split() * rng.randrange(1, 60)) for _ in range(900)]

@@ -1,18 +1,23 @@
 """N-gram Jaccard self-join by token-combination prefixes, and its components.
 
-A document is its set of word shingles, hashed to 64 bits. Documents with equal sets form one node (its hash of 64 bits;
-with n nodes, some two differing sets share one with a chance of n^2 / 2^65). Tokens are ordered from rare to frequent
-by a sketch that counts the shingles of all documents. With threshold t, a partner misses at most d = n - ceil(t n) of a
+A document is its set of word shingles, hashed to 64 bits. Documents with equal sets form one node, its hash of 64 bits;
+where two differing sets meet in one, a second hash tells, and their nodes become that one. Tokens are ordered from rare
+to frequent by a sketch that counts the shingles of all documents. With threshold t, a partner misses at most d = n - ceil(t n) of a
 set's n tokens. Rare tokens are indexed singly. Frequent ones fall into classes of k = 2 or 3, dealt by hash into small
 groups, and are indexed by every combination of k tokens of a group. The prefix is extended until no choice of d missing
 tokens could break all its entries: a single costs one missing token, a group of c tokens c - k + 1. The prefix that
 ends first in the common order lies within the other, so two documents that link share an entry.
 
-Entries that two or more nodes share lead to candidates without listing a group's pairs. First each node is tested with
-its entry's leader, the node with the fewest rare tokens; links join nodes to components. Only entries that still hold
-several components go on: nodes outside the leader's component meet the entry's nodes of other components. Sizes, and
-parities of token counts over 256 bits that bound the symmetric difference from below, discard candidates exactly in
-the join condition; the others are verified on their whole sets.
+Entries that two or more nodes share lead to candidates without listing a large group's pairs. First each node is tested
+with its entry's leader, the node with the fewest rare tokens; links join nodes to components. Only entries that still
+hold several components go on. In an entry of at most FEW nodes, nodes of differing components meet, at most FEW / 2
+rows an entry. In a larger one every node x is described by what sets it apart from the leader, D(x) = x ^ leader, since
+x ^ y = D(x) ^ D(y). With threshold t of 100, x and y link exactly if S(x) + S(y) <= 2 (100 + t) |D(x) & D(y)|, where
+S(x) = (100 + t) |D(x)| - (100 - t) |x|. Where the left side is not positive both link to the entry's node of least S, so
+that pair is enough; else they share a token of D, and prefixes of D over the common order, as long as S asks for, find
+the pair. What members of a family of copies have in common is not in D, so it brings nobody together. Sizes, and
+parities of token counts over 256 bits that bound the symmetric difference from below, discard candidates exactly; the
+others are verified on their whole sets.
 
 Defined results. Null, empty or blank text gives an empty set that links with nothing. Fewer words than a shingle make
 one shingle of the whole sequence. Repeated rows, doc_ids that repeat with other texts, and null doc_ids are fine: each
@@ -26,17 +31,19 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.components import connected_components
-from veilspark.llm.shared import bound_batches, forget, staged, whole_text
+from veilspark.llm.shared import forget, scratch, slices, staged, whole_text
 
 #: Rows of a broadcast id list at most; beyond, the join shuffles.
 BROADCAST_IDS = 500_000
+#: Nodes of an entry up to which those of differing components meet pair by pair. What sets a node apart from a leader is
+#: tens to hundreds of tokens, a row each, so that for fewer nodes the pairs are fewer rows.
+FEW = 64
 CHUNK = 1 << 14
 _M = np.uint64
 
@@ -52,7 +59,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Words:
     """Hashes of words, remembered up to a bound."""
 
-    def __init__(self, entries: int = 1 << 19):
+    def __init__(self, entries: int = 1 << 18):
         class Known(dict):
             def __missing__(self, word: bytes) -> int:
                 if len(self) >= entries:
@@ -77,8 +84,18 @@ class Words:
         return np.unique(code)
 
 
-def node_of(tokens: np.ndarray) -> int | None:
-    return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63) if len(tokens) else None
+def hashes_of(tokens: np.ndarray) -> tuple[int | None, int | None]:
+    """Two hashes of a set, each of 64 bits; none of an empty set."""
+    if not len(tokens):
+        return None, None
+    first, second = divmod(xxhash.xxh3_128_intdigest(tokens.tobytes()), 1 << 64)
+    return first - (1 << 63), second - (1 << 63)
+
+
+def node_of(tokens: np.ndarray, twice: frozenset = frozenset()) -> int | None:
+    """The first hash, or the second where differing sets share the first (twice)."""
+    first, second = hashes_of(tokens)
+    return second if first in twice else first
 
 
 def parities(tokens: np.ndarray) -> np.ndarray:
@@ -86,42 +103,44 @@ def parities(tokens: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount((tokens & _M(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view("<i8")
 
 
-_FACTS = "doc_id long, mark long, node long, n long, p0 long, p1 long, p2 long, p3 long, chunk int, counts binary"
+_FACTS = "doc_id long, mark long, node long, again long, n long, p0 long, p1 long, p2 long, p3 long, chunk int, counts binary"
 
 
 def _facts(size: int, width: int):
     """A row of facts for each document, and the task's counts of tokens by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, nothing = Words(), np.zeros(1 << width, np.int64), np.zeros(0, np.uint64)
-        for batch in batches:
+        words, counts, nothing = Words(), np.zeros(1 << width, np.uint32), np.zeros(0, np.uint64)  # counts of a task
+        names = [f.split()[0] for f in _FACTS.split(", ")]
+        for batch in slices(batches):
             sets = [words.shingles(data, size) for data in batch.column(1).to_pylist()]
-            counts += np.bincount((np.concatenate([nothing, *sets]) >> _M(64 - width)).astype(np.int64), minlength=1 << width)
-            rows = [(node_of(t), len(t), *parities(t).tolist()) for t in sets]
-            columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] or [pa.array([], pa.int64())] * 6
+            buckets, times = np.unique(np.concatenate([nothing, *sets]) >> _M(64 - width), return_counts=True)
+            counts[buckets.astype(np.int64)] += times.astype(np.uint32)
+            rows = [(*hashes_of(t), len(t), *parities(t).tolist()) for t in sets]
+            columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
             empty = [pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns, *empty], ["doc_id", "mark", "node", "n", "p0", "p1", "p2", "p3", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns, *empty], names)
         used = [k for k in range(0, 1 << width, CHUNK) if counts[k : k + CHUNK].any()]
         data = [zlib.compress(counts[k : k + CHUNK].astype("<i8").tobytes(), 1) for k in used]
-        yield pa.RecordBatch.from_arrays([*[pa.nulls(len(used), pa.int64())] * 8, pa.array([k // CHUNK for k in used], pa.int32()), pa.array(data, pa.binary())], ["doc_id", "mark", "node", "n", "p0", "p1", "p2", "p3", "chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(len(used), pa.int64())] * 9, pa.array([k // CHUNK for k in used], pa.int32()), pa.array(data, pa.binary())], names)
 
     return run
 
 
-def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
+def _summed(part: pa.Table) -> pa.Table:
     total = np.zeros(CHUNK, np.int64)
-    for data in pdf["counts"]:
+    for data in part.column("counts").to_pylist():
         total += np.frombuffer(zlib.decompress(data), "<i8")
-    return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "counts": [zlib.compress(total.astype("<i8").tobytes(), 1)]})
+    return pa.table({"chunk": pa.array([part.column("chunk")[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(total.astype("<i8").tobytes(), 1)], pa.binary())})
 
 
 def levels(counted: DataFrame, width: int) -> tuple[np.ndarray, float]:
     """Half-octave of each bucket's count, one byte a bucket, and the mean count. Summed in two steps of salted tasks."""
     salted = counted.withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(32)))
     schema = "chunk int, counts binary"
-    once = salted.groupBy("chunk", "salt").applyInPandas(_summed, schema)
+    once = salted.groupBy("chunk", "salt").applyInArrow(_summed, schema)
     out, total = np.zeros(1 << width, np.uint8), 0
-    for r in once.groupBy("chunk").applyInPandas(_summed, schema).collect():  # 2 ** width counts, compressed
+    for r in once.groupBy("chunk").applyInArrow(_summed, schema).collect():  # 2 ** width counts, compressed
         c = np.frombuffer(zlib.decompress(r["counts"]), "<i8")
         out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = _level(c)
         total += int(c.sum())
@@ -143,6 +162,12 @@ class Prefixes:
         self.frequent = self.rare + 10
         self.step = np.log(100 / percent)
 
+    def ordered(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens from rare to frequent, and their levels."""
+        level = self.table[(tokens >> self.shift).astype(np.int64)]
+        order = np.lexsort((_mixed(tokens), level))
+        return tokens[order], level[order]
+
     def missing(self, n: int) -> int:
         return n + (-self.percent * n) // 100
 
@@ -158,16 +183,15 @@ class Prefixes:
     def entries(self, tokens: np.ndarray) -> tuple[np.ndarray, int]:
         """Keys of the set's entries, and how many of its tokens are rare."""
         n = len(tokens)
-        level = self.table[(tokens >> self.shift).astype(np.int64)]
+        tokens, level = self.ordered(tokens)
         need = self.missing(n) + 1
-        order = np.lexsort((_mixed(tokens), level))
         rare = int((level <= self.rare).sum())
         if rare >= need:
-            return _mixed(tokens[order[:need]]), rare
+            return _mixed(tokens[:need]), rare
         keys = []
         own = self.size_level(n)
         for at in sorted({own, self.size_level(max(n, 100 * n // self.percent))}):
-            keys.append(self._with_groups(tokens[order], level[order], need, at))
+            keys.append(self._with_groups(tokens, level, need, at))
         return np.unique(np.concatenate(keys)), rare
 
     def _with_groups(self, tokens: np.ndarray, level: np.ndarray, need: int, at: int) -> np.ndarray:
@@ -199,14 +223,14 @@ class Prefixes:
         return np.concatenate(out)
 
 
-def _postings(size: int, prefixes):
+def _postings(size: int, prefixes, twice: frozenset):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, p, seen = Words(), prefixes.value, set()
-        for batch in batches:
+        for batch in slices(batches):
             keys, nodes, ranks = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for data in batch.column(0).to_pylist():
                 tokens = words.shingles(data, size)
-                node = node_of(tokens)
+                node = node_of(tokens, twice)
                 if len(tokens) < 2 or node in seen:  # a set of one token links with equal sets only
                     continue
                 if len(seen) > 1 << 18:
@@ -221,12 +245,41 @@ def _postings(size: int, prefixes):
     return run
 
 
-def _sets(size: int):
+def _sets(size: int, twice: frozenset):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for batch in batches:
+        for batch in slices(batches):
             tokens = [words.shingles(x, size) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(t) for t in tokens], pa.int64()), pa.array([t.view(np.int64) for t in tokens], pa.list_(pa.int64()))], ["node", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(t, twice) for t in tokens], pa.int64()), pa.array([t.view(np.int64) for t in tokens], pa.list_(pa.int64()))], ["node", "tokens"])
+
+    return run
+
+
+_APART = "leader long, node long, label long, outside boolean, n long, p0 long, p1 long, p2 long, p3 long, d long, s long, place long, token long, within boolean"
+
+
+def _differences(prefixes):
+    """For each node of an entry (leader, node, label, outside, size and parities, its tokens, the leader's): rows of the
+    tokens that set it apart from the leader, in order. Nodes outside the leader's component give all, the others their prefix (within)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = prefixes.value
+        more, less = 100 + p.percent, 100 - p.percent
+        for batch in slices(batches):
+            keys, columns = [], []
+            for k, (outside, x, base) in enumerate(zip(batch.column(3).to_pylist(), batch.column(9), batch.column(10), strict=True)):
+                x, base = (a.values.to_numpy(zero_copy_only=False).view(np.uint64) for a in (x, base))
+                tokens = p.ordered(np.setxor1d(x, base, assume_unique=True))[0]
+                d = len(tokens)
+                s = more * d - less * len(x)
+                # a partner outside has S > less * |leader|, so at least so many tokens of D are in common
+                common = max(1, -(-(s + less * len(base) + 1) // (2 * more)))
+                length = d if outside else d - common + 1
+                keys.append(np.full(length, k))
+                columns.append((np.full(length, d), np.full(length, s), np.arange(1, length + 1), tokens[:length].view(np.int64), np.arange(1, length + 1) <= d - common + 1))
+            if keys:
+                of = batch.select(list(range(9))).take(pa.array(np.concatenate(keys)))
+                yield pa.RecordBatch.from_arrays([*of.columns, *(pa.array(np.concatenate(c)) for c in zip(*columns, strict=True))], [f.split()[0] for f in _APART.split(", ")])
 
     return run
 
@@ -234,34 +287,57 @@ def _sets(size: int):
 class JaccardJoin:
     """The join's steps over one table, each staged where it is used more than once."""
 
-    def __init__(self, docs: DataFrame, percent: int, size: int, id_col: str, text_col: str, width: int | None):
-        bound_batches(docs)
-        self.percent, self.size = percent, size
+    def __init__(self, docs: DataFrame, percent: int, size: int, id_col: str, text_col: str, width: int | None, few: int = FEW):
+        self.percent, self.size, self.few = percent, size, few
         data = F.encode(whole_text(text_col), "UTF-8")
         self.rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), data.alias("text"), F.xxhash64(data).alias("mark"))
-        if width is None:  # about four buckets a document; one byte a bucket is broadcast, 64 MB at most
-            width = min(26, max(16, (4 * max(docs.count(), 1) - 1).bit_length()))
+        if width is None:  # about four buckets a document; one byte a bucket is broadcast, 16 MB at most
+            width = min(24, max(16, (4 * max(docs.count(), 1) - 1).bit_length()))
         self.width = width
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """(doc_id, node, n of each row), (a, b: linked nodes that span each component)."""
         facts = staged(self.rows.mapInArrow(_facts(self.size, self.width), _FACTS), "ngram-facts")
-        self.facts = facts.filter("chunk is null").drop("chunk", "counts")
+        self.facts = self.with_nodes(facts.filter("chunk is null").drop("chunk", "counts"))
         table, mean = levels(facts.filter("chunk is not null").select("chunk", "counts"), self.width)
-        prefixes = self.rows.sparkSession.sparkContext.broadcast(Prefixes(self.percent, table, mean))
-        posted = staged(self.rows.select("text").mapInArrow(_postings(self.size, prefixes), "key long, node long, rare long"), "ngram-entries")
-        several = posted.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
-        shared = staged(posted.join(several, "key", "left_semi").distinct(), "ngram-shared")
-        forget(posted)
+        self.prefixes = self.rows.sparkSession.sparkContext.broadcast(Prefixes(self.percent, table, mean))
+        with scratch():  # entries and sets go as soon as pairs are known
+            first, pairs = self.candidates(self.shared_entries())
+        with scratch():
+            second = self.verified(pairs, self.sets(pairs))
+        return self.facts, first.unionByName(second)
+
+    def candidates(self, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(links with leaders, pairs that are left to verify)."""
         known = self.facts.join(shared.select("node").distinct(), "node", "left_semi")
-        self.nodes = staged(known.groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("rep"), *(F.first(c).alias(c) for c in ("n", "p0", "p1", "p2", "p3"))), "ngram-nodes")
-        lead = shared.groupBy("key").agg(F.min(F.struct("rare", "node")).alias("lead")).select("key", F.col("lead.node").alias("leader"))
-        shared = staged(shared.select("key", "node").join(lead, "key"), "ngram-led")
-        pairs = shared.filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        first = self.verified(self.plausible(pairs))
+        self.nodes = staged(known.groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("rep"), *(F.first(c).alias(c) for c in ("n", "p0", "p1", "p2", "p3"))), "ngram-nodes", keep=True)
+        others = shared.filter("node <> leader")
+        families = staged(others.filter(F.col("size") > self.few).select("leader", "node").distinct(), "ngram-families")
+        pairs = staged(self.plausible(others.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()), "ngram-pairs")
+        sets = self.sets(pairs, families.select(F.col("leader").alias("a"), F.col("node").alias("b")))
+        first = self.verified(pairs, sets)
         labels = connected_components(first)
-        second = self.verified(self.rest(shared, labels))
-        return self.facts, first.unionByName(second)
+        again = self.within_few(self.labelled(shared.filter(F.col("size") <= self.few), labels))
+        apart = self.plausible(self.apart(self.labelled(families, labels), sets))
+        return first, staged(again.unionByName(apart).distinct(), "ngram-pairs", keep=True)
+
+    def with_nodes(self, facts: DataFrame) -> DataFrame:
+        """facts with nodes that tell differing sets apart, whose first hashes may be equal."""
+        both = facts.filter("node is not null").groupBy("node").agg(F.min("again").alias("lo"), F.max("again").alias("hi"))
+        self.twice = frozenset(r["node"] for r in both.filter("lo < hi").collect())  # of n sets, about n ** 2 / 2 ** 65
+        if self.twice:
+            facts = facts.withColumn("node", F.when(F.col("node").isin(*self.twice), F.col("again")).otherwise(F.col("node")))
+        return facts.drop("again")
+
+    def shared_entries(self) -> DataFrame:
+        """key, node, leader, size: the entries that several nodes hold, and how many."""
+        with scratch():
+            posted = staged(self.rows.select("text").mapInArrow(_postings(self.size, self.prefixes, self.twice), "key long, node long, rare long"), "ngram-entries")
+            several = posted.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
+            shared = staged(posted.join(several, "key", "left_semi").distinct(), "ngram-shared")
+            forget(posted)
+            lead = shared.groupBy("key").agg(F.min(F.struct("rare", "node")).alias("lead"), F.count(F.lit(1)).alias("size")).select("key", F.col("lead.node").alias("leader"), "size")
+            return staged(shared.select("key", "node").join(lead, "key"), "ngram-led", keep=True)
 
     def _passes(self, x: str, y: str) -> Column:
         """Neither sizes nor parities rule the pair out."""
@@ -275,13 +351,16 @@ class JaccardJoin:
     def plausible(self, pairs: DataFrame) -> DataFrame:
         return pairs.join(self._side("a"), "a").join(self._side("b"), "b").filter(self._passes("a_", "b_")).select("a", "b")
 
-    def rest(self, shared: DataFrame, labels: DataFrame) -> DataFrame:
-        """Candidates of entries that still hold several components."""
+    def labelled(self, entries: DataFrame, labels: DataFrame) -> DataFrame:
+        """Entries with the components of their node (label) and leader (top)."""
         label = labels.select("node", "label")
-        led = shared.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
         top = labels.select(F.col("node").alias("leader"), F.col("label").alias("top"))
-        led = led.join(top, "leader", "left").withColumn("top", F.coalesce("top", "leader"))
-        open_keys = led.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
+        both = entries.join(label, "node", "left").join(top, "leader", "left")
+        return both.withColumn("label", F.coalesce("label", "node")).withColumn("top", F.coalesce("top", "leader"))
+
+    def within_few(self, led: DataFrame) -> DataFrame:
+        """Candidates of small entries that still hold several components."""
+        open_keys = led.filter("label <> top").select("key").distinct()
         open_ = staged(led.join(open_keys, "key", "left_semi").join(self.nodes.drop("rep"), "node"), "ngram-open")
         columns = ["node", "label", "n", "p0", "p1", "p2", "p3"]
         a = open_.filter("label <> top").select(F.col("key").alias("a_key"), *(F.col(c).alias(f"a_{c}") for c in columns))
@@ -290,33 +369,55 @@ class JaccardJoin:
         pairs = a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("a_label") != F.col("b_label")) & once & self._passes("a_", "b_"))
         return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose whole sets reach the threshold."""
-        pairs = staged(pairs, "ngram-pairs")
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    def apart(self, families: DataFrame, sets: DataFrame) -> DataFrame:
+        """Candidates of large entries, by what sets their nodes apart from the leader."""
+        facts = ["n", "p0", "p1", "p2", "p3"]
+        led = families.withColumn("outside", F.col("label") != F.col("top"))
+        led = led.join(led.filter("outside").select("leader").distinct(), "leader", "left_semi")
+        led = led.join(self.nodes.drop("rep"), "node").join(sets, "node").join(sets.select(F.col("node").alias("leader"), F.col("tokens").alias("base")), "leader")
+        rows = staged(led.select("leader", "node", "label", "outside", *facts, "tokens", "base").mapInArrow(_differences(self.prefixes), _APART), "ngram-apart")
+        a = rows.filter("outside").select("leader", "token", *(F.col(c).alias(f"a_{c}") for c in ("node", "label", "d", "s", "place", *facts)))
+        b = rows.filter("within").select("leader", "token", *(F.col(c).alias(f"b_{c}") for c in ("node", "label", "d", "s", "place", *facts)))
+        common = F.ceil((F.col("a_s") + F.col("b_s")) / (2 * (100 + self.percent)))
+        near = (F.col("a_label") != F.col("b_label")) & (F.col("a_place") + common <= F.col("a_d") + 1) & (F.col("b_place") + common <= F.col("b_d") + 1)
+        met = a.join(b, ["leader", "token"]).filter(near & self._passes("a_", "b_"))
+        # each node's first row; the node of least S stands for all whose difference is small enough without a common token
+        once = rows.filter("place = 1")
+        least = once.groupBy("leader").agg(F.min(F.struct("s", "node", "label")).alias("m"))
+        sure = once.filter("outside").join(least, "leader").filter("label <> m.label AND s + m.s <= 0").select(F.col("node").alias("a_node"), F.col("m.node").alias("b_node"))
+        return met.select("a_node", "b_node").unionByName(sure).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+
+    def sets(self, pairs: DataFrame, *more: DataFrame) -> DataFrame:
+        """node, tokens of the nodes in the pairs, read from one row's text each."""
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+        for p in more:
+            wanted = wanted.unionByName(p.select(F.col("a").alias("node"))).unionByName(p.select(F.col("b").alias("node")))
         # one row stands for a node; only rows that are equal as wholes could come twice, which repeats a link
-        ids = staged(self.nodes.join(wanted, "node", "left_semi").select("rep.doc_id", "rep.mark"), "ngram-wanted")
+        ids = staged(self.nodes.join(wanted.distinct(), "node", "left_semi").select("rep.doc_id", "rep.mark"), "ngram-wanted")
         few = ids.count() <= BROADCAST_IDS
         match = self.rows["doc_id"].eqNullSafe(ids["doc_id"]) & (self.rows["mark"] == ids["mark"])
         texts = self.rows.join(F.broadcast(ids) if few else ids, match, "left_semi").select("text")
-        sets = staged(texts.mapInArrow(_sets(self.size), "node long, tokens array<long>"), "ngram-sets")
+        return staged(texts.mapInArrow(_sets(self.size, self.twice), "node long, tokens array<long>"), "ngram-sets")
+
+    def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs whose whole sets reach the threshold."""
         left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         linked = pairs.join(left, "a").join(right, "b").filter(100 * both >= self.percent * (F.size("x") + F.size("y") - both))
-        links = staged(linked.select("a", "b").distinct(), "ngram-links")
-        forget(sets)
-        return links
+        return staged(linked.select("a", "b").distinct(), "ngram-links", keep=True)
 
 
-def near_components(docs: DataFrame, percent: int = 90, size: int = 3, id_col: str = "doc_id", text_col: str = "text", width: int | None = None, marks: bool = False) -> DataFrame:
+def near_components(docs: DataFrame, percent: int = 90, size: int = 3, id_col: str = "doc_id", text_col: str = "text", width: int | None = None, marks: bool = False, few: int = FEW) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs; links are 100 * intersection >= percent * union. With marks
     also mark, a hash of the row's text, and label, the least node of its component (null without shingles)."""
-    facts, links = JaccardJoin(docs, percent, size, id_col, text_col, width).run()
-    labels = connected_components(links)
-    least = facts.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    # a component's least doc_id; nodes without links are their own
-    labelled = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    top = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    ids = labelled.select("node", "label").join(top, "label").select("node", "component_id", "label")
-    return facts.join(ids, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *["mark", "label"] * marks)
+    with scratch():
+        facts, links = JaccardJoin(docs, percent, size, id_col, text_col, width, few).run()
+        labels = connected_components(links)
+        least = facts.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+        # a component's least doc_id; nodes without links are their own
+        labelled = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        top = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
+        ids = labelled.select("node", "label").join(top, "label").select("node", "component_id", "label")
+        out = facts.join(ids, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *["mark", "label"] * marks)
+        return staged(out, "ngram-components", keep=True)

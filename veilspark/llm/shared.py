@@ -86,10 +86,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of so many rows, without a copy; batches without rows give nothing."""
+    """The batches in parts of so many rows, without a copy; batches without rows give nothing. What a part took goes back
+    to the system, so that a worker that is used again does not keep its largest batch."""
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+            pa.default_memory_pool().release_unused()
 
 
 def free_names(columns: list[str], *names: str) -> list[str]:
