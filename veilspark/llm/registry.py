@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from veilspark.llm.alignment import align_texts
 from veilspark.llm.bpe import encode_texts
 from veilspark.llm.exact_dedup import exact_duplicates
 from veilspark.llm.licenses import TEMPLATES, license_matches
@@ -15,6 +16,7 @@ from veilspark.llm.ngram_join import near_components
 from veilspark.llm.packing import packed_documents
 from veilspark.llm.quality_classifier import quality_scores
 from veilspark.llm.quality_rules import quality_verdicts
+from veilspark.llm.rankfold import fold_texts
 from veilspark.llm.secrets import secret_report
 from veilspark.llm.shared import read_table, small_batches
 from veilspark.llm.toxicity import toxicity_scores
@@ -153,7 +155,15 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least ON least.a =
 """
 
 
-OPERATORS = [op1_secret_scan, op2_quality_rules, op3_packing, op4_quality_classifier, op5_line_dedup, op6_toxicity, op7_licenses, op8_exact_dedup, op9_bpe, op10_ngram_join]
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_texts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold_texts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+OPERATORS = [op1_secret_scan, op2_quality_rules, op3_packing, op4_quality_classifier, op5_line_dedup, op6_toxicity, op7_licenses, op8_exact_dedup, op9_bpe, op10_ngram_join, op12_alignment, op13_byte_bpe]
 
 
 def _tuned(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
