@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from veilspark.llm.alignment import align_texts
 from veilspark.llm.bpe import encode_texts
 from veilspark.llm.exact_dedup import exact_duplicates
+from veilspark.llm.lexical_search import TERM, ranked_search
 from veilspark.llm.licenses import TEMPLATES, license_matches
 from veilspark.llm.line_dedup import MIN_PAGES, RATIO, drop_boilerplate
 from veilspark.llm.ngram_join import near_components
@@ -155,6 +156,32 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least ON least.a =
 """
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+#: Every document that shares a term with an item, scored without an index.
+OP11_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}') AS w FROM documents
+), stats AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_tokens FROM d WHERE len(w) > 0
+), post AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term
+), dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term
+), q AS (
+  SELECT DISTINCT k, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}')) AS term
+  FROM (SELECT row_number() OVER () AS k, item_id, text FROM benchmark)
+), weighed AS (
+  SELECT k, item_id, term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS weight FROM q JOIN dfs USING (term), stats
+), scored AS (
+  SELECT k, item_id, r, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(w) * n_docs) // n_tokens)))) AS BIGINT) AS score
+  FROM weighed JOIN post USING (term) JOIN d USING (r), stats GROUP BY k, item_id, r, doc_id
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id ASC NULLS LAST, r) AS rank FROM scored WHERE score > 0
+) WHERE rank <= 10
+"""
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_texts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -163,7 +190,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold_texts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-OPERATORS = [op1_secret_scan, op2_quality_rules, op3_packing, op4_quality_classifier, op5_line_dedup, op6_toxicity, op7_licenses, op8_exact_dedup, op9_bpe, op10_ngram_join, op12_alignment, op13_byte_bpe]
+OPERATORS = [op1_secret_scan, op2_quality_rules, op3_packing, op4_quality_classifier, op5_line_dedup, op6_toxicity, op7_licenses, op8_exact_dedup, op9_bpe, op10_ngram_join, op11_ranked_search, op12_alignment, op13_byte_bpe]
 
 
 def _tuned(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -179,4 +206,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL, "op5_line_dedup": OP5_SQL, "op7_licenses": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op10_ngram_join": OP10_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op5_line_dedup": OP5_SQL, "op7_licenses": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op10_ngram_join": OP10_SQL, "op11_ranked_search": OP11_SQL}
