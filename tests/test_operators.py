@@ -10,7 +10,8 @@ from veilspark.functions.text import compact, norm, readings, rounded
 from veilspark.operators import images, outline, redact, zones
 from veilspark.operators.search import search, with_hits
 from veilspark.sources import patterns
-from veilspark.streaming.limits import Client, positions, rate_limited, rate_limited_stream
+from veilspark.streaming import limits
+from veilspark.streaming.limits import positions, rate_limited, rate_limited_stream
 
 
 def test_first_category_wins_and_every_occurrence_counts(spark):
@@ -103,11 +104,50 @@ def test_policies(spark):
     assert tuple(row) == (12, 5, 5, "recommended", True, False, 2, True, True, False)
 
 
-def test_client_window_starts_at_the_first_request():
-    c = Client()
-    assert [c.request(t, 9, 2, 1000)[:2] for t in (500, 600, 1499)] == [(True, None), (True, None), (False, "RATE")]
-    assert c.request(1499, 9, 2, 1000)[2] == 1 and c.request(1500, 9, 2, 1000)[0]
-    assert c.request(1600, 3, 60, 1000)[1] == "CONCURRENT" and not c.idle(9999, 1000)
+def plain_limits(rows, per_window, window_ms, concurrent):
+    """Requests (event_id, client, at, end) one after the other."""
+    out, state = [], {}
+    for event_id, client, at, end in sorted((r for r in rows if r[2] is not None), key=lambda r: (r[2], r[0])):
+        began, n, ends = state.get(client, (None, 0, []))
+        if began is None or at >= began + window_ms:
+            began, n = at, 0
+        ends = [e for e in ends if e > at]
+        reason = "CONCURRENT" if len(ends) >= concurrent else "RATE" if n >= per_window else None
+        wait = {"CONCURRENT": 10, "RATE": max(1, -((at - began - window_ms) // 1000)), None: None}[reason]
+        if reason is None:
+            n, ends = n + 1, [*ends, max(end if end is not None else at, at)]
+        state[client] = began, n, ends
+        out.append((event_id, client, reason is None, reason, wait))
+    return sorted(out)
+
+
+def drawn_requests(n: int, hold: float, seed: int = 4) -> list:
+    """A third of all from one client; ties, nulls, ends before the begin."""
+    rng = random.Random(seed)
+    rows = [(k, 0 if k % 3 == 0 else rng.choice([1, 2, 3, None]), int(rng.random() * n * 700) // 50 * 50) for k in range(n)]
+    return [(*r, r[2] + int(rng.expovariate(1 / hold)) if k % 17 else (None if k % 2 else r[2] - 5)) for k, r in enumerate(rows)] + [(n, 1, None, 5)]
+
+
+@pytest.mark.parametrize(("per_window", "window_ms", "concurrent", "hold"), [(4, 20_000, 2, 3_000), (60, 600_000, 3, 20_000), (1, 1_000, 1, 500), (3, 15_000, 9, 1)])
+def test_limits_equal_one_after_the_other(spark, per_window, window_ms, concurrent, hold):
+    rows = drawn_requests(300, hold)
+    events = spark.createDataFrame(rows, "event_id long, user_id long, ts_ms long, end_ms long").repartition(3)
+    got = sorted(tuple(r) for r in rate_limited(events, per_window, window_ms, concurrent).collect())
+    want = plain_limits(rows, per_window, window_ms, concurrent)
+    assert got == want
+    if hold == 3_000:
+        assert {r[3] for r in want} == {None, "RATE", "CONCURRENT"}
+    instant = sorted(tuple(r) for r in rate_limited(events.drop("end_ms"), per_window, window_ms, concurrent).collect())
+    assert instant == plain_limits([(*r[:3], r[2]) for r in rows], per_window, window_ms, concurrent)
+
+
+def test_a_hot_client_is_many_groups(spark):
+    rows = drawn_requests(600, 900)
+    events = spark.createDataFrame([(r[0], 0, r[2], r[3]) for r in rows if r[2] is not None], "event_id long, client long, at long, until long")
+    placed = limits.in_windows(events.withColumn("until", F.greatest(F.coalesce("until", "at"), "at")), 20_000)
+    periods = limits.busy_periods(placed)
+    assert periods.select("stretch").distinct().count() > 15 and periods.groupBy("period").count().agg(F.max("count")).first()[0] < 60
+    assert rate_limited(spark.createDataFrame([], "event_id long, user_id long, ts_ms long, end_ms long")).count() == 0
 
 
 def test_stream_and_batch_decide_alike(spark, tmp_path):
@@ -194,6 +234,22 @@ def test_compact_terms_in_any_reading(spark):
     assert redact.strings_with_terms(strings, spark.createDataFrame([(1, "- z")], "doc_id long, term string")).collect() == []
 
 
+def test_readings_are_what_python_decodes(spark):
+    rng = random.Random(9)
+    raw = [b"", b"abc", b"\xff", b"\xef\xbb\xbfmark", "wide é🙂".encode("utf-16"), "big 🙂".encode("utf-16-be"), "little é".encode("utf-16-le"), b"\xd8\x00\x00a", b"\x00a\xdc\x00", b"odd\x00", b"\xfe\xff\x00"]
+    raw += [bytes(rng.choice([0, 0x41, 0xD8, 0xDC, 0xC3, 0xA9, 0xFF, 0xFE]) for _ in range(rng.randrange(1, 9))) for _ in range(200)]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in [*raw, None]], "data binary").select(readings("data")).collect()]
+    for data, found in zip(raw, got, strict=False):
+        want = [data.decode("latin-1"), data.decode("latin-1").replace("\0", "")]
+        for charset in ["utf-8-sig", *["utf-16"] * (data[:2] in (b"\xfe\xff", b"\xff\xfe")), *["utf-16-be", "utf-16-le"] * (len(data) % 2 == 0 and 0 in data)]:
+            try:
+                want.append(data.decode(charset))
+            except UnicodeDecodeError:
+                pass
+        assert set(found) == set(want) and len(found) == len(set(found)), data
+    assert got[-1] is None
+
+
 def test_images_are_matched_as_one_by_one(spark):
     rng = random.Random(3)
     rows = [(f, x, 100, rng.choice([50, 60]), 8, rng.randrange(2)) for f in range(40) for x in range(rng.randrange(2, 12))]

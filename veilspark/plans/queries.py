@@ -222,14 +222,6 @@ def graph_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph_reach(fx.words(spark, sf_dir))
 
 
-@query(
-    f"WITH RECURSIVE {fx.WORDS_SQL}, edges AS (SELECT doc_id, pos // 2 AS src, CASE WHEN pos % 9 = 4 THEN 'Parent' ELSE 'Kids' END AS key, pos AS dst FROM words UNION ALL SELECT doc_id, pos, 'Kids', pos // 3 FROM words), reach AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS node FROM edges UNION SELECT e.doc_id, e.dst FROM reach r JOIN edges e ON e.doc_id = r.doc_id AND e.src = r.node WHERE e.key <> 'Parent') SELECT doc_id, count(*) AS n_reached, sum(node)::BIGINT AS node_sum FROM reach GROUP BY doc_id"
-)
-def graph_reach_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same; both names are in use."""
-    return _graph_reach(fx.words(spark, sf_dir))
-
-
 def _graph_reach(words: DataFrame) -> DataFrame:
     down = words.select("doc_id", F.floor(F.col("pos") / 2).alias("src"), F.when(F.col("pos") % 9 == 4, "Parent").otherwise("Kids").alias("key"), F.col("pos").cast("long").alias("dst"))
     back = words.select("doc_id", F.col("pos").cast("long").alias("src"), F.lit("Kids").alias("key"), F.floor(F.col("pos") / 3).alias("dst"))
@@ -244,14 +236,25 @@ def ratelimit_fixed_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_limited(events, per_window=2).select("event_id", "user_id", "admitted", "retry_s")
 
 
-@query("SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS position FROM events")
-def queue_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _positions(table(spark, sf_dir, "events"))
+_LATER = "s.began IS NULL OR e.t - s.began >= 21600000"
+
+
+@query(
+    "WITH RECURSIVE e AS (SELECT event_id, user_id // 10 AS c, epoch_ms(ts) AS t, epoch_ms(ts) + CAST(floor(value * 50000) AS BIGINT) AS until, row_number() OVER (PARTITION BY user_id // 10 ORDER BY epoch_ms(ts), event_id) AS k FROM events),"
+    " s AS (SELECT c, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS t, CAST(NULL AS BIGINT) AS began, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS places, CAST(NULL AS VARCHAR) AS reason FROM (SELECT DISTINCT c FROM e) UNION ALL"
+    " SELECT c, k, event_id, t, began, n + (reason IS NULL)::BIGINT, CASE WHEN reason IS NULL THEN list_append(held, until) ELSE held END, reason FROM (SELECT *, CASE WHEN len(held) >= 3 THEN 'CONCURRENT' WHEN n >= 4 THEN 'RATE' END AS reason FROM ("
+    f" SELECT e.c, e.k, e.event_id, e.t, e.until, CASE WHEN {_LATER} THEN e.t ELSE s.began END AS began, CASE WHEN {_LATER} THEN 0 ELSE s.n END AS n, list_filter(s.places, lambda u: u > e.t) AS held FROM s JOIN e ON e.c = s.c AND e.k = s.k + 1)))"
+    " SELECT event_id, c AS user_id, reason IS NULL AS admitted, reason, CASE reason WHEN 'RATE' THEN greatest(1, ceil((began + 21600000 - t) / 1000.0))::BIGINT WHEN 'CONCURRENT' THEN 10 END AS retry_s FROM s WHERE k > 0"
+)
+def ratelimit_concurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that hold their place until they end, in windows of six hours; ten users are a client."""
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    events = table(spark, sf_dir, "events").select("event_id", F.floor(F.col("user_id") / 10).alias("user_id"), at.alias("ts_ms"), (at + F.floor(F.col("value") * 50_000)).alias("end_ms"))
+    return rate_limited(events, per_window=4, window_ms=21_600_000)
 
 
 @query("SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS position FROM events")
-def queue_position_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same; both names are in use."""
+def queue_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _positions(table(spark, sf_dir, "events"))
 
 
@@ -263,9 +266,9 @@ def _positions(waiting: DataFrame) -> DataFrame:
 def ttl_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files strictly older than a quarter of an hour go, as of the last event."""
     files = table(spark, sf_dir, "events").select("event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
-    now = files.agg(F.max("ms")).collect()[0][0]  # one number
-    old = F.lit(now) - F.col("ms") > 900_000
-    return files.groupBy("event_type").agg(F.count_if(old).alias("swept"), F.count_if(~old).alias("kept"))
+    last = files.agg(F.max("ms").alias("now"), F.lit(1).alias("one"))  # one row
+    old = F.col("now") - F.col("ms") > 900_000
+    return files.withColumn("one", F.lit(1)).join(F.broadcast(last), "one").groupBy("event_type").agg(F.count_if(old).alias("swept"), F.count_if(~old).alias("kept"))
 
 
 @query(
