@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import policy
 from veilspark.functions.text import compact, norm, readings, rounded
-from veilspark.operators import images, outline, redact, zones
+from veilspark.operators import fills, frontier, grid, images, outline, redact, zones
 from veilspark.operators.search import search, with_hits
 from veilspark.sources import patterns
 from veilspark.streaming import limits
@@ -75,7 +75,7 @@ def test_outline_children_rise(spark):
 
 def test_graph_too_deep_fails(spark):
     edges = spark.createDataFrame([(1, k, "Kids", k + 1) for k in range(20)] + [(2, 0, "Kids", 1), (2, 1, "Parent", 5), (2, 1, "Kids", 0)], "doc_id long, src long, key string, dst long")
-    got = {(r.doc_id, r.node) for r in outline.reachable(edges, max_depth=10).collect()}
+    got = {(r.doc_id, r.node) for r in frontier.reachable(edges, max_depth=10).collect()}
     assert got == {(1, None), (2, 0), (2, 1)}
 
 
@@ -293,3 +293,103 @@ def test_sinks_and_lenient_reads(spark, tmp_path):
 def test_rounding_follows_the_binary_value(spark):
     got = spark.createDataFrame([(0.35,), (0.25,), (2.5,), (None,)], "x double").select(rounded(F.col("x"), 1).alias("r")).collect()
     assert [r.r for r in got] == [0.3, 0.2, 2.5, None]
+
+
+def drawn_rects(rng, n, top=400):
+    return [(k, 1, k % 2, x := rng.randrange(100), y := rng.randrange(top), x + rng.randrange(0, 25), y + rng.randrange(0, 20)) for k in range(n)]
+
+
+def test_grid_joins_are_plain_overlaps(spark):
+    rng = random.Random(2)
+    a, b = drawn_rects(rng, 150), drawn_rects(rng, 120)
+    schema = "seqno int, doc_id long, page int, x0 int, y0 int, x1 int, y1 int"
+    left, right = spark.createDataFrame(a, schema), spark.createDataFrame([*b, (999, 1, None, 0, 0, 9, 9)], schema)
+    full = lambda r: r[3] < r[5] and r[4] < r[6]
+    want = sorted((p[0], q[0]) for p in a for q in b if p[2] == q[2] and full(p) and full(q) and max(p[3], q[3]) < min(p[5], q[5]) and max(p[4], q[4]) < min(p[6], q[6]))
+    for side in (7, 50, 1000):
+        assert sorted((r.l_seqno, r.r_seqno) for r in grid.overlapping(left, right, ["doc_id", "page"], side).collect()) == want
+
+
+def test_many_words_and_zones_do_not_make_their_product(spark):
+    words = spark.range(10_000).selectExpr("1L AS doc_id", "0 AS page", "cast(id AS int) AS pos", "'w' AS word", "cast(id % 100 * 10 AS int) AS x0", "cast(id div 100 * 10 AS int) AS y0", "cast(id % 100 * 10 + 8 AS int) AS x1", "cast(id div 100 * 10 + 8 AS int) AS y1")
+    areas = spark.range(1000).selectExpr("1L AS doc_id", "0 AS page", "id AS zone_id", "cast(id % 40 * 25 AS int) AS x0", "cast(id div 40 * 40 AS int) AS y0", "cast(id % 40 * 25 + 20 AS int) AS x1", "cast(id div 40 * 40 + 30 AS int) AS y1")
+    cut = areas.select("zone_id", F.explode(grid.cells(*(F.col(c) for c in grid.CORNERS), grid.CELL)).alias("c"))
+    at = words.select(grid.cell_of((F.col("x0") + F.col("x1")) / 2, grid.CELL).alias("cx"), grid.cell_of((F.col("y0") + F.col("y1")) / 2, grid.CELL).alias("cy"))
+    met = at.join(cut.select("c.*"), ["cx", "cy"]).count()  # what the join compares: of 10,000,000 pairs
+    assert met < 150_000
+    got = zones.text_under_zones(words, areas)
+    inside = lambda v, lo, hi: lo <= v <= hi
+    first = sum(inside(i % 100 * 10 + 4, 0, 20) and inside(i // 100 * 10 + 4, 0, 30) for i in range(10_000))
+    assert got.count() == 1000 and len(got.filter("zone_id = 0").first()["text"].split()) == first
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_fills_in_paint_order_one_after_the_other(spark, seed):
+    rng = random.Random(seed)
+    log = [(k, 1, 0, rng.choice(["fill-text", "fill-path", "ignore-text"]), x := rng.randrange(120), y := rng.randrange(60), x + rng.randrange(0, 20), y + rng.randrange(0, 12)) for k in range(70)]
+    areas = [(1, 0, 0, 0, 50, 40), (1, 0, 70, 20, 90, 60)]
+    paths = [(r[0], 1, 0, *r[4:]) for r in log if r[3] == "fill-path"]
+    paths += [(r[0], 1, 0, r[4] + 3, r[5] + 20, r[6] + 6, r[7] + 25) for r in log if r[3] == "fill-path" and r[0] % 5 == 0]
+    cross = lambda p, q: p[0] < p[2] and q[0] < q[2] and p[1] < p[3] and q[1] < q[3] and max(p[0], q[0]) < min(p[2], q[2]) and max(p[1], q[1]) < min(p[3], q[3])
+    rects = {}
+    for r in paths:
+        rects.setdefault(r[0], []).append(r[3:])
+    chosen = [k for k in sorted(rects) if any(cross(r, z[2:]) for r in rects[k] for z in areas)]
+    shows = [r for r in log if r[3] != "ignore-text" and not any(z[2] <= r[4] and z[3] <= r[5] and r[6] <= z[4] and r[7] <= z[5] for z in areas)]
+    hid_nothing, want = set(), []
+    for k in chosen:
+        on = [r[0] for r in shows if r[0] != k and any(cross(x, r[4:]) for x in rects[k])]
+        over = any(j < k and j not in hid_nothing for j in on)
+        if not over:
+            hid_nothing.add(k)
+        want.append((k, over, over and any(j > k for j in on)))
+    df = lambda rows, names: spark.createDataFrame(rows, names)
+    box = "x0 int, y0 int, x1 int, y1 int"
+    got = fills.touched_fills(df(log, f"seqno int, doc_id long, page int, kind string, {box}"), df(paths, f"seqno int, doc_id long, page int, {box}"), df(areas, f"doc_id long, page int, {box}"), 16)
+    assert sorted((r.seqno, r.over, r.later) for r in got.collect()) == want and len({w[1:] for w in want}) > 1
+
+
+def test_traversal_spreads_one_document_and_fails_closed(spark):
+    rng = random.Random(6)
+    n = 400
+    edges = [(1, rng.randrange(n), rng.choice(["Kids", "Parent", "A"]), rng.randrange(n)) for _ in range(700)] + [(1, None, "A", 3), (2, 0, "A", 0), (3, 5, "A", 6)] + [(4, k, "A", k + 1) for k in range(12)]
+    table = spark.createDataFrame(edges, "doc_id long, src long, key string, dst long")
+    seen, at, depth = {0: 0}, [0], 0
+    while at:
+        depth += 1
+        at = list({d for doc, s, key, d in edges if doc == 1 and s in at and key != "Parent" and d not in seen})
+        seen.update(dict.fromkeys(at, depth))
+    got = frontier.reachable(table)
+    assert {(r.node, r.depth) for r in got.filter("doc_id = 1").collect()} == set(seen.items())
+    assert {(r.doc_id, r.node) for r in got.filter("doc_id in (2, 3)").collect()} == {(2, 0), (3, 0)} and got.filter("doc_id = 4").count() == 13
+    short = frontier.reachable(table.filter("doc_id > 1"), max_depth=9)
+    assert {(r.doc_id, r.node) for r in short.collect()} == {(2, 0), (3, 0), (4, None)}
+    strings = spark.createDataFrame([(2, 0, "x"), (3, 0, "y"), (3, 9, "x"), (4, 0, "x"), (5, 1, "x")], "doc_id long, node long, text string")
+    done = {(r.doc_id, r.node): (r.text, r.blank) for r in frontier.blanked(strings, strings.filter("text = 'x'"), short).collect()}
+    assert done == {(2, 0): ("", True), (3, 0): ("y", False), (3, 9): ("x", False), (4, 0): (None, None), (5, 1): ("x", False)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan
+
+
+def test_name_trees_keep_their_order(spark):
+    rng = random.Random(5)
+    nodes = [(1, 0, None, 0)] + [(1, k, rng.randrange(k), rng.randrange(100) * 50 + k) for k in range(1, 40)] + [(1, 99, 98, 0), (2, 0, None, 0)]
+    entries = [(1, rng.randrange(40), p) for p in range(120)] + [(1, 99, 1), (2, 0, 5)]
+    entries = list({(d, n, p): None for d, n, p in entries})
+    gone = {e for e in entries if e[2] % 7 == 0 and e[0] == 1}
+    kids = {}
+    for d, k, parent, nth in nodes:
+        kids.setdefault((d, parent), []).append((nth, k))
+
+    def walk(node):
+        for _, k in sorted(kids.get((1, node), [])):
+            yield from walk(k)
+        yield from sorted((n, p) for d, n, p in entries if d == 1 and n == node and (d, n, p) not in gone)
+
+    want = [(1, k + 1, n, p, True) for k, (n, p) in enumerate(walk(0))] + [(2, None, 0, 5, False)]
+    df = spark.createDataFrame
+    tree, named = df(nodes, "doc_id long, node long, parent long, nth long"), df(entries, "doc_id long, node long, place long")
+    got = frontier.flattened(tree, named, df(sorted(gone), "doc_id long, node long, place long"))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
+    deep = frontier.flattened(tree, named, named.limit(0), max_depth=1)
+    assert {tuple(r) for r in deep.collect()} == {(1, None, None, None, None), (2, None, 0, 5, False)}

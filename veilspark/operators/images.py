@@ -9,13 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilspark.operators.stage import free_names
+
 SIZE = ["width", "height", "bits"]
 
 
 def ambiguous(images: DataFrame) -> DataFrame:
     """The images that share their size with another one of the file, so that the size does not tell them apart."""
     same = Window.partitionBy("file", *SIZE)
-    return images.withColumn("_n", F.count(F.lit(1)).over(same)).filter("_n > 1").drop("_n")
+    (n,) = free_names(images.columns, "n")
+    return images.withColumn(n, F.count(F.lit(1)).over(same)).filter(F.col(n) > 1).drop(n)
 
 
 def without_masks(images: DataFrame) -> DataFrame:

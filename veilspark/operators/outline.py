@@ -1,14 +1,10 @@
-"""Order-dependent structures: outlines and object graphs, one document at a time."""
+"""Outlines whose levels depend on their order, one document at a time."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Keys that lead upward and are not followed; depth beyond which a document fails.
-UPWARD, MAX_DEPTH = {"Parent", "P"}, 10_000
-
 
 def relevelled(outline: DataFrame, removed: Column) -> DataFrame:
     """doc_id, pos, title, level without removed rows; the children of those rise to their nearest kept ancestor.
@@ -27,22 +23,3 @@ def relevelled(outline: DataFrame, removed: Column) -> DataFrame:
 
     folded = F.aggregate("rows", zero, step, lambda acc: acc["out"])
     return per_doc.select("doc_id", F.explode(folded).alias("e")).select("doc_id", "e.*")
-
-
-def reachable(edges: DataFrame, root: int = 0, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """doc_id, node, depth for every object that the root reaches, each once and never upward. edges: doc_id, src, key,
-    dst. A document that is too deep gives one row with node and depth null: it fails, it is not cut short."""
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        down = pdf[~pdf["key"].isin(UPWARD)].groupby("src")["dst"].apply(list).to_dict()
-        depth, frontier = {root: 0}, [root]
-        while frontier:
-            nxt = dict.fromkeys(d for s in frontier for d in down.get(s, ()) if d not in depth)
-            level = depth[frontier[0]] + 1
-            if nxt and level > max_depth:
-                return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "node": [None], "depth": [None]})
-            depth.update(dict.fromkeys(nxt, level))
-            frontier = list(nxt)
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "node": list(depth), "depth": list(depth.values())})
-
-    return edges.groupBy("doc_id").applyInPandas(walk, "doc_id long, node long, depth long")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.text import DASHES, compact, norm
+from veilspark.operators.stage import free_names
 
 #: The category of zones drawn by hand, whose text is no term; the least length of a term.
 BY_HAND, LEAST_TERM = "Censura Manual", 3
@@ -70,12 +71,13 @@ def with_masks(found: DataFrame, masks: str = "masked") -> DataFrame:
 
 def masked(docs: DataFrame, spans: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """docs with the spans (keys, start, end) masked."""
-    names = [f"_key_{k}" for k in range(len(keys))]
-    per_key = spans.groupBy(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True))).agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
-    several = docs.join(per_key, _same(keys, names), "left_semi").groupBy(*keys).count().filter("count > 1")
-    per_key = per_key.join(several.select(*(F.col(k).alias(f"_s{k}") for k in keys), F.lit(True).alias("_several")), _same([f"_s{k}" for k in keys], names), "left")
+    own, many, *names = free_names(docs.columns, "spans", "several", *(f"key_{k}" for k in range(len(keys))))
+    per_key = spans.groupBy(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True))).agg(F.collect_set(F.struct("start", "end")).alias(own))
+    twins = docs.join(per_key, _same(keys, names), "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias(many)).filter(F.col(many) > 1)
+    twin = [f"{n}_twin" for n in names]
+    per_key = per_key.join(twins.select(*(F.col(k).alias(n) for k, n in zip(keys, twin, strict=True)), F.lit(True).alias(many)), _same(twin, names), "left")
     joined = docs.join(per_key, _same(keys, names), "left")
-    text = F.when(F.col("_several"), F.lit(None).cast("string")).otherwise(masked_text(F.col("text"), F.col("_spans")))
+    text = F.when(F.col(many), F.lit(None).cast("string")).otherwise(masked_text(F.col("text"), F.col(own)))
     return joined.withColumn("text", text).select(*docs.columns)
 
 
@@ -106,11 +108,13 @@ def strings_with_terms(strings: DataFrame, terms: DataFrame, ours: list[str] | N
     """The strings (doc_id, place, text) that contain a term when neither counts white space and dashes. Texts that the tool
     itself wrote (ours) do not count. Where bytes can be read in several ways, each reading is a string of the place."""
     own = [re.sub(rf"[\s{DASHES}]+", "", x.casefold()) for x in ours or []]
-    dense = strings.withColumn("_dense", compact(F.col("text"))).filter((F.col("_dense") != "") & ~F.col("_dense").isin(*own) if own else F.col("_dense") != "")
-    # the terms of a document are few; gathered, they meet each string once
-    per_doc = compact_terms(terms).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("term").alias("_terms"))
-    hit = F.exists("_terms", lambda t: F.contains(F.col("_dense"), t))
-    return dense.join(per_doc, F.col("doc_id") == F.col("_doc")).filter(hit).select(*strings.columns).distinct()
+    doc, held, dense = free_names(strings.columns, "doc", "terms", "dense")
+    # the terms of a document are few; gathered, they meet each string once, and only strings that meet any are normalised
+    per_doc = compact_terms(terms).groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list("term").alias(held))
+    joined = strings.filter(F.col("text").isNotNull()).join(per_doc, F.col("doc_id") == F.col(doc)).withColumn(dense, compact(F.col("text")))
+    joined = joined.filter((F.col(dense) != "") & ~F.col(dense).isin(*own) if own else F.col(dense) != "")
+    hit = F.exists(held, lambda t: F.contains(F.col(dense), t))
+    return joined.filter(hit).select(*strings.columns).distinct()
 
 
 def hidden_term_words(hidden: DataFrame, terms: DataFrame) -> DataFrame:
@@ -148,7 +152,8 @@ def _every(line: Column, term: Column, most: Column) -> Column:
 
 def leaks_in(places: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, kind for places (doc_id, kind, text) that are never seen, where any occurrence of a term is a leak."""
-    normal = places.select("doc_id", "kind", norm(F.col("text")).alias("text"))
+    near = places.select("doc_id", "kind", "text").join(terms.select("doc_id").distinct(), "doc_id", "left_semi")
+    normal = near.select("doc_id", "kind", norm(F.col("text")).alias("text"))
     return normal.join(terms, "doc_id").filter(F.contains("text", F.col("term"))).select("doc_id", "kind").distinct()
 
 

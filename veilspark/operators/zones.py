@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilspark.operators.grid import CORNERS, points_inside
+from veilspark.operators.stage import free_names
+
 KEYS = ["doc_id", "page"]
 
 
@@ -28,10 +31,12 @@ def touches(margin: float = 0) -> Column:
 
 
 def text_under_zones(words: DataFrame, zones: DataFrame) -> DataFrame:
-    """doc_id, page, zone_id, text: the words whose centre lies in the zone, in page order."""
-    inside = words.join(_zone_side(zones), _same_page() & centre_inside())
+    """doc_id, page, zone_id, text: the words whose centre lies in the zone, in page order. Words and zones meet by cells of a
+    grid, so that a page of many of both does not make their product."""
+    centre = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    inside = points_inside(words, *centre, zones.select(*KEYS, "zone_id", *CORNERS), KEYS)
     ordered = F.array_sort(F.collect_list(F.struct("pos", "word")))
-    return inside.groupBy(*KEYS, "zone_id").agg(F.array_join(F.transform(ordered, lambda w: w["word"]), " ").alias("text"))
+    return inside.groupBy(*KEYS, F.col("z_zone_id").alias("zone_id")).agg(F.array_join(F.transform(ordered, lambda w: w["word"]), " ").alias("text"))
 
 
 def words_outside(words: DataFrame, zones: DataFrame, margin: float = 1) -> DataFrame:
@@ -50,11 +55,12 @@ def chars_inside(words: DataFrame, zones: DataFrame) -> DataFrame:
 
 def multiset_minus(left: DataFrame, right: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """left's rows without as many rows of each key as right has, the first in the given order going first."""
-    everything = left.withColumn("_right", F.lit(0)).unionByName(right.select(*keys, F.lit(1).alias("_right")), allowMissingColumns=True)
+    side, n, times = free_names([*left.columns, *right.columns], "right", "n", "times")
+    everything = left.withColumn(side, F.lit(0)).unionByName(right.select(*keys, F.lit(1).alias(side)), allowMissingColumns=True)
     same = Window.partitionBy(*keys)
     # one shuffle: left's rows come first in each key, and right's are counted beside them
-    numbered = everything.withColumn("_n", F.row_number().over(same.orderBy("_right", *order))).withColumn("_times", F.sum("_right").over(same))
-    return numbered.filter((F.col("_right") == 0) & (F.col("_n") > F.col("_times"))).select(*left.columns)
+    numbered = everything.withColumn(n, F.row_number().over(same.orderBy(side, *order))).withColumn(times, F.sum(side).over(same))
+    return numbered.filter((F.col(side) == 0) & (F.col(n) > F.col(times))).select(*left.columns)
 
 
 def pages_with_loss(before: DataFrame, after: DataFrame, zones: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import policy
 from veilspark.functions.text import norm, rounded
-from veilspark.operators import images, outline, redact, structures, zones
+from veilspark.operators import images, redact, structures, zones
+from veilspark.operators.fills import touched_fills
+from veilspark.operators.frontier import blanked, flattened, reachable
 from veilspark.plans import fixtures as fx
 from veilspark.plans.fixtures import table
 from veilspark.plans.queries import _places, _with_hits, query
@@ -101,10 +103,61 @@ def subtree_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether any string that the root reaches holds a term."""
     strings, place = fx.strings(spark, sf_dir), F.col("place").cast("long")
     edges = strings.select("doc_id", F.floor(place / 2).alias("src"), F.when(place % 5 == 3, "Parent").otherwise("Kids").alias("key"), place.alias("dst"))
-    inside = outline.reachable(edges).join(strings.select("doc_id", place.alias("node"), F.contains(norm(F.col("text")), F.lit("than")).alias("hit")), ["doc_id", "node"])
+    inside = reachable(edges).join(strings.select("doc_id", place.alias("node"), F.contains(norm(F.col("text")), F.lit("than")).alias("hit")), ["doc_id", "node"])
     return inside.groupBy("doc_id").agg(F.bool_or("hit").alias("has_term"), F.count(F.lit(1)).alias("n_strings"))
 
 
+@query(
+    f"WITH RECURSIVE {fx.STRINGS_SQL}, edges AS (SELECT doc_id, place // 2 AS src, CASE WHEN place % 5 = 3 THEN 'Parent' ELSE 'Kids' END AS key, place AS dst FROM strings), reach AS (SELECT DISTINCT doc_id, CAST(1 AS BIGINT) AS node FROM strings UNION SELECT e.doc_id, e.dst FROM reach r JOIN edges e ON e.doc_id = r.doc_id AND e.src = r.node WHERE e.key <> 'Parent')"
+    f" SELECT s.doc_id, place AS node, r.node IS NOT NULL AND contains({fx.NORM_SQL.format('text')}, 'than') AS blank, CASE WHEN blank THEN '' ELSE md5(text) END AS text FROM strings s LEFT JOIN reach r ON s.doc_id = r.doc_id AND s.place = r.node"
+)
+def subtree_blanked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings below object 1 that hold a term become empty; all others stay."""
+    strings, place = fx.strings(spark, sf_dir), F.col("place").cast("long")
+    edges = strings.select("doc_id", F.floor(place / 2).alias("src"), F.when(place % 5 == 3, "Parent").otherwise("Kids").alias("key"), place.alias("dst"))
+    roots = strings.select("doc_id").distinct().withColumn("node", F.lit(1).cast("long"))
+    own = strings.select("doc_id", place.alias("node"), "text")
+    done = blanked(own, own.filter(F.contains(norm(F.col("text")), F.lit("than"))), reachable(edges, roots=roots))
+    return done.select("doc_id", "node", "blank", F.when(F.col("blank"), "").otherwise(F.md5("text")).alias("text"))
+
+
+@query(
+    f"WITH RECURSIVE lines AS (SELECT doc_id, i - 1 AS i, contains({fx.NORM_SQL.format('l[i]')}, 'than') AS gone FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),"
+    " nodes AS (SELECT DISTINCT doc_id, i // 3 AS node, CASE WHEN i >= 3 THEN (i // 3 - 1) // 2 END AS parent, 1 - (i // 3 + 1) % 2 AS nth FROM lines),"
+    " tree AS (SELECT doc_id, node, CAST([] AS BIGINT[]) AS path FROM nodes WHERE parent IS NULL UNION ALL SELECT n.doc_id, n.node, list_append(t.path, n.nth) FROM tree t JOIN nodes n ON n.doc_id = t.doc_id AND n.parent = t.node),"
+    " rewritten AS (SELECT doc_id, bool_or(gone) AS rewritten FROM lines GROUP BY doc_id)"
+    " SELECT doc_id, node, i % 3 AS place, rewritten, CASE WHEN rewritten THEN row_number() OVER (PARTITION BY doc_id ORDER BY list_concat(path, [4611686018427387904, i % 3])) END AS position"
+    " FROM lines JOIN rewritten USING (doc_id) JOIN tree t USING (doc_id) WHERE t.node = i // 3 AND NOT gone"
+)
+def name_tree_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of name trees in the tree's order, those with a term left out; a text's lines are three to a node."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    node = F.floor(F.col("i") / 3)
+    entries = lines.select("doc_id", node.alias("node"), (F.col("i") % 3).alias("place"), F.contains(norm(F.col("line")), F.lit("than")).alias("gone"))
+    nodes = entries.select("doc_id", "node").distinct().select("doc_id", "node", F.when(F.col("node") > 0, F.floor((F.col("node") - 1) / 2)).alias("parent"), (1 - (F.col("node") + 1) % 2).alias("nth"))
+    return flattened(nodes, entries, entries.filter("gone"))
+
+
+_FILLS = (
+    f"WITH RECURSIVE {fx.WORDS_SQL}, log AS (SELECT doc_id, pos, pos * 37 % 100 AS x0, pos * 37 % 100 + 8 + pos % 9 AS x1, pos // 10 * 10 + pos * 7 % 25 AS y0, pos // 10 * 10 + pos * 7 % 25 + 6 + pos % 5 AS y1 FROM words),"
+    " pages AS (SELECT doc_id, max(y1) AS y1 FROM log GROUP BY doc_id), fills AS (SELECT * FROM log WHERE pos % 4 = 1 AND x0 < 60), shown AS (SELECT * FROM log WHERE pos % 11 <> 5 AND x1 > 60),"
+    " meets AS (SELECT f.doc_id, f.pos AS fill, s.pos AS entry FROM fills f JOIN shown s ON f.doc_id = s.doc_id AND f.x0 < s.x1 AND s.x0 < f.x1 AND f.y0 < s.y1 AND s.y0 < f.y1 AND f.pos <> s.pos),"
+    " over AS (SELECT m.doc_id, m.fill FROM meets m WHERE entry < fill AND NOT EXISTS (SELECT 1 FROM fills f WHERE f.doc_id = m.doc_id AND f.pos = m.entry) UNION SELECT m.doc_id, m.fill FROM over o JOIN meets m ON m.doc_id = o.doc_id AND m.entry = o.fill AND m.entry < m.fill)"
+    " SELECT f.doc_id, 0 AS page, f.pos AS seqno, o.fill IS NOT NULL AS over, o.fill IS NOT NULL AND EXISTS (SELECT 1 FROM meets m WHERE m.doc_id = f.doc_id AND m.fill = f.pos AND m.entry > f.pos) AS later FROM fills f LEFT JOIN over o ON o.doc_id = f.doc_id AND o.fill = f.pos"
+)
+
+
+@query(_FILLS)
+def fills_paint_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fills that touch a zone over the left part of a page, by what they hid: every word is painted somewhere near its line."""
+    pos = F.col("pos")
+    x0, y0 = pos * 37 % 100, F.floor(pos / 10) * 10 + pos * 7 % 25
+    kind = F.when(pos % 11 == 5, "ignore-text").when(pos % 4 == 1, "fill-path").otherwise("fill-text")
+    log = fx.words(spark, sf_dir).select("doc_id", "page", pos.alias("seqno"), kind.alias("kind"), x0.alias("x0"), y0.alias("y0"), (x0 + 8 + pos % 9).alias("x1"), (y0 + 6 + pos % 5).alias("y1"))
+    zones_ = log.groupBy("doc_id", "page").agg(F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.lit(60).alias("x1"), F.max("y1").alias("y1"))
+    return touched_fills(log, log.filter("seqno % 4 = 1"), zones_)
+
+
 @query(f"WITH {fx.IMAGES_SQL} SELECT file, xref FROM images QUALIFY count(*) OVER (PARTITION BY file, width, height, bits) > 1")
 def image_ambiguous_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.ambiguous(fx.images(spark, sf_dir)).select("file", "xref")

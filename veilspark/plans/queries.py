@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilspark.functions import policy
 from veilspark.functions.text import compact, norm, process_error, rounded
 from veilspark.operators import outline, redact, zones
+from veilspark.operators.frontier import reachable
 from veilspark.operators.once import computed_once
 from veilspark.operators.search import deduplicated, search, with_hits
 from veilspark.plans import fixtures as fx
@@ -219,13 +220,10 @@ def outline_relevel(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def graph_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects that the root reaches in a cyclic graph over a text's words, upward links not followed."""
-    return _graph_reach(fx.words(spark, sf_dir))
-
-
-def _graph_reach(words: DataFrame) -> DataFrame:
+    words = fx.words(spark, sf_dir)
     down = words.select("doc_id", F.floor(F.col("pos") / 2).alias("src"), F.when(F.col("pos") % 9 == 4, "Parent").otherwise("Kids").alias("key"), F.col("pos").cast("long").alias("dst"))
     back = words.select("doc_id", F.col("pos").cast("long").alias("src"), F.lit("Kids").alias("key"), F.floor(F.col("pos") / 3).alias("dst"))
-    return outline.reachable(down.unionByName(back)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_reached"), F.sum("node").alias("node_sum"))
+    return reachable(down.unionByName(back)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_reached"), F.sum("node").alias("node_sum"))
 
 
 @query(
@@ -255,11 +253,7 @@ def ratelimit_concurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS position FROM events")
 def queue_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _positions(table(spark, sf_dir, "events"))
-
-
-def _positions(waiting: DataFrame) -> DataFrame:
-    return positions(waiting.select("event_id", "event_type", "ts"), "event_type", "ts", "event_id").drop("ts")
+    return positions(table(spark, sf_dir, "events").select("event_id", "event_type", "ts"), "event_type", "ts", "event_id").drop("ts")
 
 
 @query("SELECT event_type, count(*) FILTER (age > 900000) AS swept, count(*) FILTER (age <= 900000) AS kept FROM (SELECT event_type, (SELECT max(epoch_ms(ts)) FROM events) - epoch_ms(ts) AS age FROM events) GROUP BY event_type")
