@@ -49,13 +49,19 @@ class BytesTokens:
         self.bytes_of = [bytes(letters[c] for c in x) if x is not None and all(c in letters for c in x) else (x or "").encode() for x in names]
         self.cache = UnitIds(self.tokenizer, BYTE_UNIT, list)
 
-    def encode(self, text: str) -> list[int]:
-        if not known_text().fullmatch(text):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        ids: list[int] = []
-        for part in self.cache.of_units(self.cache.units(text)):
-            ids += part
-        return ids
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text; all their new units are encoded at once."""
+        known, out = known_text().fullmatch, []
+        units = [self.cache.units(t) if known(t) else None for t in texts]
+        ids = iter(self.cache.of_units([u for each in units if each for u in each]))
+        for text, each in zip(texts, units, strict=True):
+            if each is None:
+                out.append(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            elif len(each) == 1:
+                out.append(next(ids))
+            else:
+                out.append([i for _ in each for i in next(ids)])
+        return out
 
 
 class PieceTokens:
@@ -100,7 +106,7 @@ class Aligner:
     def aligned(self, parts: list[str]) -> list[tuple | None]:
         """(n_a, n_b, n_groups, pairs of its links, groups as text) of each part, a text or word with its space before it; null where a
         tokenizer does not give it back. All parts' bytes are one array, since a part's end is a cut of both."""
-        ids_a, ids_b = [self.a.encode(p) for p in parts], self.b.model.encode([p[1:] for p in parts], num_threads=1)
+        ids_a, ids_b = self.a.encode(parts), self.b.model.encode([p[1:] for p in parts], num_threads=1)
         same = lambda t, ids, p: b"".join([t.bytes_of[i] for i in ids]) == p.encode()
         sound = [same(self.a, x, p) and same(self.b, y, p) for x, y, p in zip(ids_a, ids_b, parts, strict=True)]
         ids_a, ids_b = ([x for x, good in zip(ids, sound, strict=True) if good] for ids in (ids_a, ids_b))
