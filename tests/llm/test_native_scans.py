@@ -1,8 +1,11 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from veilspark.llm import licenses, line_dedup, secrets
 
 NAMES = [k for k, *_ in secrets.BASE]
@@ -163,3 +166,23 @@ def test_licenses_of_repeated_rows_and_many_templates(spark):
 def test_unchanged_windows_always_meet(spark):
     names, bands = licenses.catalogue(spark, licenses.TEMPLATES)
     assert {w for *_, w in bands} == {1, 4, 8} and {k for _, k, _ in bands} == set(range(len(names)))
+
+
+def test_long_tokens_and_long_lists_of_keys(spark):
+    rng = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    drawn = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    table = secrets.ratio_table(secrets.labelled_samples())
+    texts = [drawn(300_000), " ".join(drawn(40) for _ in range(2_000)), "é" + " ".join(f"token={drawn(30)}" for _ in range(1_500)) + " plain end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    begun = time.perf_counter()
+    found = {r["doc_id"]: r for r in secrets.secret_report(docs, table=table).collect()}
+    masked = {r["doc_id"]: r["text"] for r in secrets.mask_secrets(docs.withColumn("a.b", F.lit(1)), table=table).collect()}
+    assert time.perf_counter() - begun < 60  # a square of these lengths takes hours
+    for k, text in enumerate(texts):
+        at, parts = 0, []
+        for start, end in sorted((int(x.split(":")[1]), int(x.split(":")[2])) for x in found[k]["spans"].split(",")):
+            parts += [text[at:start], "[SECRET]"] if start >= at else []
+            at = max(at, end)
+        assert masked[k] == "".join(parts) + text[at:]
+    assert found[0]["n_random"] == 1 and found[1]["n_random"] == 2_000 and found[2]["n_assign"] == 1_500 and found[2]["n_random"] == 0

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.shared import free_names, whole_text
+from veilspark.llm.shared import free_names, quoted_name, whole_text
 
 #: The base patterns. A match counts if the given group has at least so many characters.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -96,32 +96,89 @@ def ratio_table(samples: Iterable[tuple[str, int]], ordinary_pairs: np.ndarray |
     return np.log(given[1]) - np.log(given[0])
 
 
+class Growing:
+    """A list that a fold adds to: a part of at most CHUNK elements grows, full parts are put aside, so that a long list is not copied
+    whole for every element."""
+
+    CHUNK = 200
+
+    def __init__(self, kind: str):
+        self.kind = kind
+
+    def empty(self) -> list[Column]:
+        return [F.expr(f"cast(array() as array<{self.kind}>)").alias("part"), F.expr(f"cast(array() as array<array<{self.kind}>>)").alias("full")]
+
+    def added(self, acc: Column, more: Column, adds: Column | None = None) -> list[Column]:
+        """part and full with the array `more` (few elements), where `adds` holds."""
+        over, adds = F.size(acc["part"]) >= self.CHUNK, F.lit(True) if adds is None else adds
+        part = F.when(~adds, acc["part"]).when(over, more).otherwise(F.concat(acc["part"], more))
+        return [part.alias("part"), F.when(adds & over, F.concat(acc["full"], F.array(acc["part"]))).otherwise(acc["full"]).alias("full")]
+
+    @staticmethod
+    def all(acc: Column) -> Column:
+        return F.concat(F.flatten(acc["full"]), acc["part"])
+
+
+_SPAN_LIST, _TEXT_LIST = Growing("struct<start:int,rank:int,end:int>"), Growing("string")
+
+
 def _located(text: Column, pattern: str, group: int, least: int, rank: int) -> Column:
     """Spans of the pattern's matches, left to right: the gaps between matches give the positions."""
     gaps, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     tested = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     rows = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), whole.alias("m"), tested.alias("g"))
-    none = F.expr(f"cast(array() as {_SPANS})")
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), *_SPAN_LIST.empty())
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["m"])
         span = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.length(x["g"]) >= least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        return F.struct(end.alias("at"), *_SPAN_LIST.added(acc, span, F.length(x["g"]) >= least))
 
-    return F.when(text.rlike(pattern), F.aggregate(rows, zero, step, lambda acc: acc["out"])).otherwise(none)
+    return F.when(text.rlike(pattern), F.aggregate(rows, zero, step, Growing.all)).otherwise(F.expr(f"cast(array() as {_SPANS})"))
 
 
-def _random_tokens(table: np.ndarray, threshold: float, spans: Column, text: Column) -> Column:
+def _random_flags(table: np.ndarray, threshold: float, text: Column) -> Column:
+    """Whether each match of TOKEN is random. A token is cut into codes once, and its pairs are looked up in them."""
     values = F.split(F.lit(",".join(f"{v:.4f}" for v in table.ravel())), ",").cast("array<double>")
 
-    def mean(token: Column) -> Column:
-        pair = lambda i: F.ascii(F.substring(token, i, 1)) * 128 + F.ascii(F.substring(token, i + 1, 1))
-        total = F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda acc, i: acc + F.get(values, pair(i)))
-        return total / (F.length(token) - 1)
+    def judged(codes: Column) -> Column:
+        ratios = F.zip_with(codes, F.slice(codes, F.lit(2), F.size(codes)), lambda a, b: F.coalesce(F.get(values, a * 128 + b), F.lit(0.0)))
+        return F.aggregate(ratios, F.lit(0.0), lambda acc, v: acc + v) / (F.size(codes) - 1) > threshold
+
+    codes = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.transform(F.split(t, ""), F.ascii))
+    return F.transform(codes, judged)
+
 
-    return F.filter(spans, lambda s: mean(F.substring(text, s["start"] + 1, s["end"] - s["start"])) > threshold)
+def _apart(tokens: Column, base: Column) -> Column:
+    """The tokens that meet no base span. Both are in order of their starts: going on, the furthest end of the base spans so far
+    tells of those that begin before a token's end; they stand before a token that begins where they do, or inside it."""
+    bound = F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(0).alias("token"), b["start"].alias("start"), b["end"].alias("end")))
+    # a token is judged at its end, when all base spans that begin before it are known
+    ends = F.transform(tokens, lambda t: F.struct((t["end"] - 1).alias("at"), F.lit(1).alias("token"), t["start"].alias("start"), t["end"].alias("end")))
+    zero = F.struct(F.lit(-1).alias("far"), *_SPAN_LIST.empty())
+
+    def step(acc: Column, x: Column) -> Column:
+        free = (x["token"] == 1) & (acc["far"] <= x["start"])
+        span = F.array(F.struct(x["start"].alias("start"), F.lit(len(BASE)).alias("rank"), x["end"].alias("end")))
+        return F.struct(F.when(x["token"] == 0, F.greatest(acc["far"], x["end"])).otherwise(acc["far"]).alias("far"), *_SPAN_LIST.added(acc, span, free))
+
+    return F.aggregate(F.array_sort(F.concat(bound, ends)), zero, step, Growing.all)
+
+
+#: Code points of a piece that a text is cut into before parts of it are taken, so that no part is sought from its begin.
+PIECE = 4096
+
+
+def _pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def _between(pieces: Column, start: Column, end: Column) -> Column:
+    """The text from start to end, from its pieces."""
+    first, last = F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
+    part = lambda k: F.substring(F.get(pieces, k), F.greatest(start - k * PIECE, F.lit(0)) + 1, F.least(end - k * PIECE, F.lit(PIECE)) - F.greatest(start - k * PIECE, F.lit(0)))
+    return F.when(start < end, F.array_join(F.transform(F.sequence(first, last), part), "")).otherwise(F.lit(""))
 
 
 def _joined(spans: Column) -> Column:
@@ -129,7 +186,7 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kind, s["rank"]), s["start"], s["end"])), ",")
 
 
-_HELPERS = ("text", "free", "random", "base", "spans", *(k for k, *_ in BASE))
+_HELPERS = ("text", "flags", "free", "random", "base", "spans", *(k for k, *_ in BASE))
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", table: np.ndarray | None = None, threshold: float = THRESHOLD, prefix: str = "_") -> DataFrame:
@@ -145,10 +202,13 @@ def find_secrets(docs: DataFrame, text_col: str = "text", table: np.ndarray | No
     for rank, ((kind, _, group, least), pattern) in enumerate(zip(BASE, shapes, strict=True)):
         df = df.withColumn(name[kind], _located(text, pattern, group, least, rank))
     df = df.withColumn(name["base"], F.array_sort(F.concat(*(F.col(name[k]) for k, *_ in BASE))))
-    free = F.filter(_located(text, TOKEN, 0, 20, len(BASE)), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    df = df.withColumn(name["free"], free).withColumn(name["random"], _random_tokens(table, threshold, F.col(name["free"]), text))
+    # a match of TOKEN has 20 characters or more, so all are spans, in the order of their flags
+    flagged = F.zip_with(_located(text, TOKEN, 0, 20, len(BASE)), name["flags"], lambda s, random: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), random.alias("random")))
+    tokens = F.transform(F.filter(flagged, lambda x: x["random"]), lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end")))
+    df = df.withColumn(name["flags"], _random_flags(table, threshold, text)).withColumn(name["free"], tokens)
+    df = df.withColumn(name["random"], F.when(F.size(name["free"]) == 0, F.col(name["free"])).otherwise(_apart(F.col(name["free"]), base)))
     df = df.withColumn(name["spans"], F.when(F.size(name["random"]) == 0, base).otherwise(F.array_sort(F.concat(base, F.col(name["random"])))))
-    return df.drop(name["text"], name["free"], name["random"])
+    return df.drop(name["text"], name["flags"], name["free"], name["random"])
 
 
 def secret_report(docs: DataFrame, **more) -> DataFrame:
@@ -165,16 +225,21 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]"
     whatever their names."""
     prefix = free_names(docs.columns, *_HELPERS)[0].removesuffix(_HELPERS[0])
     found = find_secrets(docs, text_col, prefix=prefix, **more)
-    text, spans = F.col(text_col), F.col(prefix + "spans")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    text, spans = F.col(quoted_name(text_col)), F.col(prefix + "spans")
+
+    def masked(pieces: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), *_TEXT_LIST.empty())
+
+        def step(acc: Column, s: Column) -> Column:
+            more = F.array(_between(pieces, acc["at"], s["start"]), F.lit(mark))
+            apart = s["start"] >= acc["at"]  # else it carries on the span before
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), *_TEXT_LIST.added(acc, more, apart))
 
-    def step(acc: Column, s: Column) -> Column:
-        begun = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        inside = s["start"] < acc["at"]  # carries on the span before
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(begun).alias("out"))
+        return F.aggregate(spans, zero, step, lambda acc: F.concat(F.array_join(Growing.all(acc), ""), _between(pieces, acc["at"], F.length(text))))
 
-    masked = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size(spans) > 0, masked).otherwise(text)).select(*docs.columns)
+    # the element of an array of one is computed once
+    whole = F.get(F.transform(F.array(_pieces(text)), masked), 0)
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, whole).otherwise(text)).select(*map(quoted_name, docs.columns))
 
 
 def mean_ratio(table: np.ndarray, token: str) -> float:

@@ -102,6 +102,11 @@ def free_names(columns: list[str], *names: str) -> list[str]:
     return [prefix + n for n in names]
 
 
+def quoted_name(column: str) -> str:
+    """A column's name as an expression, whatever it holds."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -113,7 +118,7 @@ def lower_ascii(col: Column) -> Column:
 
 def whole_text(name: str = "text") -> Column:
     """The text, with null as empty."""
-    return F.coalesce(F.col(name), F.lit(""))
+    return F.coalesce(F.col(quoted_name(name)), F.lit(""))
 
 
 def hash_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
