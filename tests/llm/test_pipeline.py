@@ -128,3 +128,12 @@ def test_classifier_edges(spark):
     rows = qc.quality_scores(docs, none).collect()
     assert len(rows) == 4 and all(r._score == 0.5 and r._kept for r in rows)
     assert qc.quality_scores(docs.limit(0), none).collect() == []
+
+
+def test_stages_keep_columns_whose_names_need_quotes(spark, sf):
+    docs = cp.read_table(spark, sf, "documents").limit(40).selectExpr("*", "doc_id AS `a.b`", "1 AS `c d`")
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        assert out.filter("`a.b` <> doc_id").count() == 0
+    assert cp.STAGES[-1][1](spark, docs, sf).count() >= 40

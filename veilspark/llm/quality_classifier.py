@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilspark.llm.quality_rules import Measured
-from veilspark.llm.shared import free_names, slices, whole_text
+from veilspark.llm.shared import free_names, quoted_name, slices, whole_text
 
 SAMPLE, POOL, ROUNDS = 8000, 4000, 4
 #: Log odds beyond the base rate from which a pseudo-label is confident, and new labels of each kind in a round.
@@ -243,7 +243,9 @@ def quality_scores(
         places, m = WordPlaces(), shared.value
         for batch in slices(batches):
             values = m.scores(*of([batch.column(n + k).to_pylist() for k in range(1 + len(columns))], places)) if m else np.full(batch.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(values, pa.float64()), pa.array(values >= keep, pa.bool_())], [*batch.schema.names[:n], score_col, kept_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(values, pa.float64()), pa.array(values >= keep, pa.bool_())], [*own, score_col, kept_col])
 
     out = T.StructType([*(types[c] for c in own), T.StructField(score_col, T.DoubleType()), T.StructField(kept_col, T.BooleanType())])
-    return docs.select(*own, *_inputs(docs, columns)).mapInArrow(run, out)
+    # under plain names: mapInArrow looks its columns up by name, unquoted
+    plain = free_names(docs.columns, *(f"c{k}" for k in range(n)))
+    return docs.select(*(F.col(quoted_name(c)).alias(p) for c, p in zip(own, plain, strict=True)), *_inputs(docs, columns)).mapInArrow(run, out)
