@@ -20,7 +20,7 @@ from veilspark.llm.ngram_join import near_components
 from veilspark.llm.packing import packed_documents
 from veilspark.llm.quality_classifier import quality_scores
 from veilspark.llm.secrets import mask_secrets
-from veilspark.llm.shared import forget, free_names, read_table, small_batches, staged
+from veilspark.llm.shared import forget, free_names, quoted_name, read_table, small_batches, staged
 
 SIMILARITY, SHINGLE = 80, 5
 
@@ -29,14 +29,14 @@ def _sized(before: DataFrame, after: DataFrame) -> DataFrame:
     """The columns of before, n_chars following the text."""
     if "n_chars" in before.columns:
         after = after.withColumn("n_chars", F.length("text").cast("long"))
-    return after.select(*before.columns)
+    return after.select(*map(quoted_name, before.columns))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents that the co-trained classifier rejects go."""
     small_batches(spark)
     score, kept = free_names(docs.columns, "score", "kept")
-    return quality_scores(docs, read_table(spark, sf_dir, "labels"), score_col=score, kept_col=kept).filter(F.col(kept)).select(*docs.columns)
+    return quality_scores(docs, read_table(spark, sf_dir, "labels"), score_col=score, kept_col=kept).filter(F.col(kept)).select(*map(quoted_name, docs.columns))
 
 
 def drop_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
