@@ -11,10 +11,10 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.functions.text import DASHES, compact, norm
+from veilspark.functions.text import DASHES, compact, norm, norm_all
 from veilspark.operators.stage import free_names
 
 #: The category of zones drawn by hand, whose text is no term; the least length of a term.
@@ -191,25 +191,40 @@ def apply(docs: DataFrame, items: DataFrame, places: DataFrame | None = None) ->
     (doc_id, kind, text) are what a reader does not see; a term there is a leak, while a visible occurrence that nobody
     chose is not. Reports hold kinds of leaks, never terms. doc_id is a key of docs.
     """
-    at = items.join(docs.select("doc_id", F.col("text").alias("page_text")), "doc_id")
-    checked = at.withColumn("error", span_error(F.col("start"), F.col("end"), F.col("page_text")))
-    good = checked.filter("error IS NULL")
-    done = masked(docs.select("doc_id", "text"), good.select("doc_id", "start", "end"))
-    leaks = leaks_under(done, good)
+    # a document's items and places are gathered once and meet it in one join each; all else happens in its row
+    item = F.struct("id", "category", "text", "start", "end")
+    held = items.select("doc_id", item.alias("item")).groupBy("doc_id").agg(F.collect_list("item").alias("items"))
+    rows = docs.select("doc_id", F.col("text").alias("page")).withColumn("twins", F.count(F.lit(1)).over(Window.partitionBy("doc_id"))).join(held, "doc_id", "left")
+    rows = rows.withColumn("items", F.coalesce("items", F.expr(f"cast(array() as array<{held.schema['items'].dataType.elementType.simpleString()}>)")))
+    page = F.col("page")
+    checked = F.transform("items", lambda i: F.struct(i.alias("item"), span_error(i["start"], i["end"], page).alias("error")))
+    rows = rows.withColumn("checked", checked).withColumn("good", F.transform(F.filter("checked", lambda c: c["error"].isNull()), lambda c: c["item"]))
+    spans = F.array_distinct(F.transform("good", lambda g: F.struct(g["start"].cast("int").alias("start"), g["end"].cast("int").alias("end"))))
+    rows = rows.withColumn("spans", spans)
+    whose = (F.col("twins") > 1) & (F.size("spans") > 0)  # nobody can tell whose spans they are
+    rows = rows.withColumn("text", F.when(whose, F.lit(None).cast("string")).otherwise(masked_text(page, F.col("spans"))))
+    seen = F.when(left_under(F.col("text"), F.col("spans")), F.array(F.lit("page_text"))).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("kinds", seen)
     if places is not None:
-        under = good.select("doc_id", F.substring("page_text", F.col("start") + 1, F.col("end") - F.col("start")).alias("text"))
-        leaks = leaks.unionByName(leaks_in(places, all_terms(items, under)))
-    kinds = leaks.groupBy("doc_id").agg(F.sort_array(F.collect_set("kind")).alias("leaks"))
-    fails = F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("id", "error"))))
-    counts = checked.groupBy("doc_id").agg(F.count_if(F.col("error").isNull()).alias("applied"), fails.alias("failed"))
-    joined = done.join(kinds, "doc_id", "left").join(counts, "doc_id", "left")
-    verified, failed = F.col("leaks").isNull(), F.coalesce("failed", F.array().cast("array<struct<id:string,error:string>>"))
+        chosen = F.transform(F.filter("items", lambda i: ~i["category"].eqNullSafe(F.lit(BY_HAND))), lambda i: i["text"])
+        under = F.transform("good", lambda g: F.substring(page, g["start"].cast("int") + 1, (g["end"] - g["start"]).cast("int")))
+        rows = rows.withColumn("raw", F.array_distinct(F.concat(chosen, under)))
+        rows = rows.withColumn("terms", F.filter(norm_all(F.col("raw")), lambda t: F.length(t) >= LEAST_TERM))
+        beside = places.groupBy("doc_id").agg(F.collect_list("kind").alias("place_kinds"), F.collect_list(F.coalesce("text", F.lit(""))).alias("place_texts"))
+        rows = rows.join(beside, "doc_id", "left")
+        # only documents with terms have their places normalised
+        rows = rows.withColumn("normal", norm_all(F.when(F.size("terms") > 0, F.col("place_texts"))))
+        hit = F.filter(F.arrays_zip("place_kinds", "normal"), lambda p: F.exists("terms", lambda t: F.contains(p["normal"], t)))
+        rows = rows.withColumn("kinds", F.concat("kinds", F.coalesce(F.transform(hit, lambda p: p["place_kinds"]), F.array().cast("array<string>"))))
+    leaks = F.sort_array(F.array_distinct("kinds"))
+    failed = F.array_sort(F.transform(F.filter("checked", lambda c: c["error"].isNotNull()), lambda c: F.struct(c["item"]["id"].alias("id"), c["error"].alias("error"))))
+    verified = F.size("kinds") == 0
     # masking keeps offsets, so no word outside a zone can be lost
     report = F.struct(
-        verified.alias("success"), verified.alias("verified"), F.coalesce("leaks", F.array().cast("array<string>")).alias("leaks"),
-        F.coalesce("applied", F.lit(0)).alias("applied"), failed.alias("failed"), F.array().cast("array<int>").alias("text_loss_pages"),
+        verified.alias("success"), verified.alias("verified"), leaks.alias("leaks"), F.size("good").cast("long").alias("applied"),
+        failed.cast("array<struct<id:string,error:string>>").alias("failed"), F.array().cast("array<int>").alias("text_loss_pages"),
     )
-    return joined.select("doc_id", F.when(verified & (F.size(failed) == 0), F.col("text")).alias("text"), report.alias("report"))
+    return rows.select("doc_id", F.when(verified & (F.size(failed) == 0), F.col("text")).alias("text"), report.alias("report"))
 
 
 def failed_messages(reports: DataFrame) -> DataFrame:

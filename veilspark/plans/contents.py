@@ -68,11 +68,14 @@ def hidden_term_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings as items, some of them with a span that can't be masked, and a zone drawn by hand on every text."""
     found = _with_hits(spark, sf_dir)
-    each = found.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.ord", "h.category", "h.value", F.explode("h.starts").alias("at"))
-    bad = F.col("at") % 23 == 7
-    hits = each.select("doc_id", F.concat_ws("-", "doc_id", "ord", "at").alias("id"), "category", F.col("value").alias("text"), F.when(bad, -1).otherwise(F.col("at")).alias("start"), (F.col("at") + F.length("value")).alias("end"))
-    hand = found.select("doc_id", F.concat_ws("-", "doc_id", F.lit("hand")).alias("id"), F.lit(redact.BY_HAND).alias("category"), F.lit("label").alias("text"), F.lit(0).alias("start"), F.least(F.lit(9), F.length("text")).alias("end"))
-    return hits.unionByName(hand)
+
+    def item(kind, category, text, start, end):
+        return F.struct(F.concat_ws("-", "doc_id", *kind).alias("id"), category.alias("category"), text.alias("text"), start.alias("start"), end.alias("end"))
+
+    hits = F.transform("hits", lambda h: F.transform(h["starts"], lambda at: item((h["ord"], at), h["category"], h["value"], F.when(at % 23 == 7, -1).otherwise(at), at + F.length(h["value"]))))
+    hand = item((F.lit("hand"),), F.lit(redact.BY_HAND), F.lit("label"), F.lit(0), F.least(F.lit(9), F.length("text")))
+    every = F.concat(F.flatten(hits), F.when(F.col("text").isNotNull(), F.array(hand)).otherwise(F.array().cast("array<struct<id:string,category:string,text:string,start:int,end:int>>")))
+    return found.select("doc_id", F.explode(every).alias("i")).select("doc_id", "i.*")
 
 
 @query(
