@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import policy
 from veilspark.functions.text import compact, norm, readings, rounded
-from veilspark.operators import fills, frontier, grid, images, outline, redact, zones
+from veilspark.functions.paths import path_rects
+from veilspark.operators import areas, fills, frontier, grid, images, markers, outline, redact, zones
 from veilspark.operators.search import search, with_hits
 from veilspark.sources import patterns
 from veilspark.streaming import limits
@@ -393,3 +394,46 @@ def test_name_trees_keep_their_order(spark):
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
     deep = frontier.flattened(tree, named, named.limit(0), max_depth=1)
     assert {tuple(r) for r in deep.collect()} == {(1, None, None, None, None), (2, None, 0, 5, False)}
+
+
+def test_areas_of_a_match_over_two_lines(spark):
+    docs = spark.createDataFrame([(1, 0, "see the cat\nand the cat the cat"), (1, 1, "nothing"), (2, 0, None)], "doc_id long, page int, text string")
+    boxes = [(1, 0, k, x0, y0, x0 + 8, y0 + 8) for k, (x0, y0) in enumerate([(0, 0), (10, 0), (20, 0), (0, 10), (10, 10), (0, 20), (10, 20), (20, 20)])]
+    words = spark.createDataFrame(boxes, "doc_id long, page int, pos int, x0 int, y0 int, x1 int, y1 int")
+    found = with_hits(docs, [(0, "cat", "the cat")])
+    rows = sorted((r.k, r.x0, r.y0, r.x1, r.y1, r.context) for r in areas.areas(found, words).collect())
+    around = ["...see the cat and the cat the cat..."] * 3
+    # the second occurrence ends one line and begins the next: four areas, three occurrences
+    assert rows == [(0, 10, 0, 28, 8, around[0]), (1, 10, 10, 18, 18, around[1]), (2, 0, 20, 8, 28, around[2]), (3, 10, 20, 28, 28, "......")]
+    assert [(r.page, r.pos, r.word) for r in areas.page_words(docs).filter("page = 1").collect()] == [(1, 0, "nothing")] and areas.areas(found.limit(0), words).count() == 0
+
+
+def test_markers_round_trip_and_withhold(spark):
+    ids = [0, 1, 255, 256, 65_536, 2**32 - 1]
+    rows = spark.createDataFrame([(i,) for i in ids], "id long").select("id", markers.marker(F.col("id")).alias("m"))
+    for r in rows.collect():
+        row = b"PdCq" + r.id.to_bytes(4, "big")
+        assert bytes(r.m) == row + bytes(255 - b for b in row)
+    both = rows.select("id", markers.marker_id(F.col("m")).alias("a"), markers.marker_id(F.unhex(F.translate(F.hex("m"), "0123456789ABCDEF", "FEDCBA9876543210"))).alias("b"), markers.marker_id(F.concat("m", F.unhex(F.lit("00")))).alias("c"))
+    assert all(r.id == r.a == r.b and r.c is None for r in both.collect())
+    code = lambda i: (row := b"PdCq" + i.to_bytes(4, "big")) + bytes(255 - b for b in row)
+    images_ = [(1, 7, True, 64, 2, code(3)), (1, 8, True, 64, 2, b"own mask"), (2, 7, True, 64, 2, code(4)), (3, 7, True, 64, 2, code(9)), (4, 7, True, 64, 2, code(3)), (5, 1, True, 63, 2, code(3)), (6, 1, True, 64, 2, None)]
+    given = spark.createDataFrame(images_, "file long, xref long, mask boolean, width int, height int, data binary")
+    originals = spark.createDataFrame([(f, 3, True) for f in range(1, 7)] + [(2, 4, False)], "file long, xref long, image boolean")
+    streams = spark.createDataFrame([(4, b"q " + code(3)), (1, b"\\x05\\x06\\x44\\x37"), (1, None)], "file long, data binary")
+    done, failed = markers.restored(given, originals, streams)
+    assert [tuple(r) for r in done.collect()] == [(1, 7, 3)]
+    assert sorted(map(tuple, failed.collect())) == [(2, "marker names no image"), (3, "marker names no image"), (4, "marker left")]
+
+
+def test_paths_of_rectangles(spark):
+    cases = [
+        ([("re", [(0, 0), (5, 4)])], [(0, 0, 5, 4)]), ([("re", [(0, 0), (5, 4)]), ("re", [(1, 1), (2, 2)])], [(0, 0, 5, 4), (1, 1, 2, 2)]), ([("qu", [(0, 0), (5, 0), (0, 4), (5, 4)])], [(0, 0, 5, 4)]),
+        ([("qu", [(0, 0), (5, 0), (1, 4), (5, 4)])], None), ([("l", [(0, 0), (5, 0)]), ("l", [(5, 0), (5, 4)]), ("l", [(5, 4), (0, 4)])], [(0, 0, 5, 4)]), ([("l", [(0, 0), (5, 0)]), ("l", [(5, 0), (5, 4)])], None),
+        ([("l", [(0, 0), (5, 4)])] * 3, None), ([("re", [(0, 0), (5, 4)]), ("l", [(0, 0), (5, 0)])], None), ([], None), (None, None), ([("qu", [(0, 0), (5, 0.0001), (0, 4), (5, 4)])], [(0, 0, 5, 4)]),
+    ]
+    rows = [(k, None if p is None else [(op, [(float(x), float(y)) for x, y in points]) for op, points in p]) for k, (p, _) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "k int, items array<struct<op:string,points:array<struct<x:double,y:double>>>>")
+    got = {r.k: r.r for r in df.select("k", path_rects(F.col("items")).alias("r")).collect()}
+    for k, (_, want) in enumerate(cases):
+        assert (None if got[k] is None else [tuple(map(round, x)) for x in got[k]]) == want, k

@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions import policy
+from veilspark.functions.paths import path_rects
 from veilspark.functions.text import norm, rounded
-from veilspark.operators import images, redact, structures, zones
+from veilspark.operators import areas, images, markers, redact, structures, zones
 from veilspark.operators.fills import touched_fills
 from veilspark.operators.frontier import blanked, flattened, reachable
+from veilspark.operators.search import with_hits
 from veilspark.plans import fixtures as fx
 from veilspark.plans.fixtures import table
 from veilspark.plans.queries import _places, _with_hits, query
+from veilspark.sources.patterns import load_patterns, valid_patterns
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,6 +164,24 @@ def fills_paint_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return touched_fills(log, log.filter("seqno % 4 = 1"), zones_)
 
 
+_CONTEXT = "'...' || regexp_replace(replace(substring(text, greatest(start - 30, 0)::BIGINT + 1, (start + length(value) + 30 - greatest(start - 30, 0))::BIGINT), chr(10), ' '), '^\\s+|\\s+$', '', 'g') || '...'"
+_UNTIL = rf"len(regexp_extract_all(substring(text, 1, ({{0}})::BIGINT), '{fx.WORD}')) - 1"
+
+
+@query(
+    f"WITH {fx.WORDS_SQL}, {fx.findings_sql(fx.PHRASES)}, spans AS (SELECT *, {_UNTIL.format('start + 1')} AS first, {_UNTIL.format('start + length(value)')} AS last, {_CONTEXT} AS context FROM findings),"
+    " lines AS (SELECT s.doc_id, page, category, value, nth, y0, min(x0) AS x0, max(x1) AS x1, max(y1) AS y1 FROM spans s JOIN words w ON w.doc_id = s.doc_id AND w.pos BETWEEN first AND last GROUP BY ALL),"
+    " numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, value ORDER BY nth, y0) - 1 AS k FROM lines)"
+    " SELECT n.doc_id, page, n.category, n.value, k, x0, y0, x1, y1, coalesce(context, '......') AS context FROM numbered n LEFT JOIN spans s ON s.doc_id = n.doc_id AND s.value = n.value AND s.nth = n.k"
+    " QUALIFY row_number() OVER (PARTITION BY n.doc_id, page, n.value, x0, y0, x1, y1 ORDER BY k) = 1"
+)
+def search_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings with page and rectangles; ten words are a line."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("page"), "text")
+    found = with_hits(docs, valid_patterns(spark, load_patterns(fx.PHRASES))[0])
+    return areas.areas(found, fx.words(spark, sf_dir)).select("doc_id", "page", "category", "value", "k", "x0", "y0", "x1", "y1", "context")
+
+
 @query(f"WITH {fx.IMAGES_SQL} SELECT file, xref FROM images QUALIFY count(*) OVER (PARTITION BY file, width, height, bits) > 1")
 def image_ambiguous_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.ambiguous(fx.images(spark, sf_dir)).select("file", "xref")
@@ -224,3 +245,46 @@ def missing_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_orderkey, l_linenumber, CAST(printf('%.1f', l_quantity / 20) AS DOUBLE) AS x, CAST(printf('%.1f', l_extendedprice / 7) AS DOUBLE) AS y FROM lineitem")
 def coordinate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", rounded(F.col("l_quantity") / 20, 1).alias("x"), rounded(F.col("l_extendedprice") / 7, 1).alias("y"))
+
+
+@query(
+    "WITH i AS (SELECT l_orderkey AS file, l_linenumber AS xref, l_partkey AS p, CASE WHEN l_partkey % 97 = 0 THEN 99 ELSE 8 - l_linenumber END AS id FROM lineitem), o AS (SELECT l_orderkey AS file, 8 - l_linenumber AS xref, l_suppkey % 7 <> 3 AS image FROM lineitem),"
+    " m AS (SELECT i.file, i.xref, i.id, coalesce(o.image, false) AS fits FROM i LEFT JOIN o ON o.file = i.file AND o.xref = i.id WHERE p % 3 = 0),"
+    " bad AS (SELECT file FROM m WHERE NOT fits UNION SELECT l_orderkey FROM lineitem WHERE l_partkey % 211 = 5)"
+    " SELECT file, xref, CAST(id AS BIGINT) AS original, '50644371' || printf('%08X', id) || translate('50644371' || printf('%08X', id), '0123456789ABCDEF', 'FEDCBA9876543210') AS marker FROM m WHERE file NOT IN (SELECT file FROM bad)"
+)
+def marker_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers replaced by their originals; files with a marker that names no image, or with one left in a stream, are withheld."""
+    line, part = F.col("l_linenumber"), F.col("l_partkey")
+    lines = table(spark, sf_dir, "lineitem")
+    code = markers.marker(F.when(part % 97 == 0, 99).otherwise(8 - line))
+    upside_down = F.unhex(F.translate(F.hex(code), "0123456789ABCDEF", "FEDCBA9876543210"))
+    data = F.when(part % 3 != 0, F.encode(F.lit("a mask of its own"), "UTF-8")).when(part % 5 == 0, upside_down).otherwise(code)
+    held = lines.select(F.col("l_orderkey").alias("file"), line.alias("xref"), F.lit(True).alias("mask"), F.lit(markers.WIDTH).alias("width"), F.lit(markers.HEIGHT).alias("height"), data.alias("data"))
+    originals = lines.select(F.col("l_orderkey").alias("file"), (8 - line).alias("xref"), (F.col("l_suppkey") % 7 != 3).alias("image"))
+    stream = F.when(part % 211 == 5, F.concat(F.encode(F.lit("q "), "UTF-8"), markers.marker(line))).otherwise(F.encode(F.lit("q Q"), "UTF-8"))
+    done, _ = markers.restored(held, originals, lines.select(F.col("l_orderkey").alias("file"), stream.alias("data")))
+    return done.select("file", "xref", "original", F.hex(markers.marker(F.col("original"))).alias("marker"))
+
+
+@query(
+    "WITH r AS (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey % 6 AS kind, CAST(l_partkey % 50 AS DOUBLE) AS x, CAST(l_suppkey % 40 AS DOUBLE) AS y, l_quantity AS w, CAST(l_linenumber AS DOUBLE) AS h FROM lineitem)"
+    " SELECT o AS l_orderkey, n AS l_linenumber, CASE kind WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 5 THEN 1 END AS n_rects, CASE kind WHEN 0 THEN x + w + 5 + w WHEN 1 THEN x + w WHEN 2 THEN x + w WHEN 5 THEN x + w END AS right_edge FROM r"
+)
+def path_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles of paths: two rectangles, a quadrangle, four lines, a slanting quadrangle, curves, three lines."""
+    kind = F.col("l_partkey") % 6
+    x, y = (F.col("l_partkey") % 50).cast("double"), (F.col("l_suppkey") % 40).cast("double")
+    w, h = F.col("l_quantity"), F.col("l_linenumber").cast("double")
+
+    def item(op: str, *points):
+        return F.struct(F.lit(op).alias("op"), F.array(*(F.struct(a.alias("x"), b.alias("y")) for a, b in points)).alias("points"))
+
+    a, b, c, d = (x, y), (x + w, y), (x + w, y + h), (x, y + h)
+    lines = [item("l", a, b), item("l", b, c), item("l", c, d), item("l", d, a)]
+    path = (
+        F.when(kind == 0, F.array(item("re", a, c), item("re", c, (x + w + 5 + w, y + h + h)))).when(kind == 1, F.array(item("qu", a, b, d, c))).when(kind == 2, F.array(*lines))
+        .when(kind == 3, F.array(item("qu", a, b, (x + 0.5, y + h), c))).when(kind == 4, F.array(item("c", a, b, c, d), lines[0])).otherwise(F.array(*lines[:3]))
+    )
+    rects = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", path_rects(path).alias("r"))
+    return rects.select("l_orderkey", "l_linenumber", F.when(F.col("r").isNotNull(), F.size("r")).alias("n_rects"), F.element_at("r", -1)["x1"].alias("right_edge"))

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
+from veilspark.operators.areas import WORD, page_words
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "long_number": r"[0-9]{6,}", "number": r"[0-9]{2,}"}
 #: Zones of every page: id, x0, y0, x1, y1.
 ZONES = [(0, 0, 0, 25, 15), (1, 40, 20, 75, 45)]
@@ -20,9 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, page, pos, word, x0, y0, x1, y1."""
-    split = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("pos", "word"))
+    split = page_words(table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("page"), "text"))
     x0, y0 = (F.col("pos") % 10) * 10, F.floor(F.col("pos") / 10).cast("int") * 10
-    return split.select("doc_id", F.lit(0).alias("page"), "pos", "word", x0.alias("x0"), y0.alias("y0"), (x0 + 8).alias("x1"), (y0 + 8).alias("y1"))
+    return split.select("doc_id", "page", "pos", "word", x0.alias("x0"), y0.alias("y0"), (x0 + 8).alias("x1"), (y0 + 8).alias("y1"))
 
 
 WORDS_SQL = rf"""words AS (
@@ -43,8 +44,10 @@ NORM_SQL = r"trim(regexp_replace(replace(lower(nfc_normalize(coalesce({0}, '')))
 COMPACT_SQL = r"regexp_replace(" + NORM_SQL + r", '[\s\x{{2010}}-\x{{2015}}\x{{2212}}\x{{AD}}-]+', '', 'g')"
 
 #: Findings in SQL: distinct stripped matches in pattern order, the first category keeping a value; then occurrences.
-FINDINGS_SQL = """matched AS (
-  """ + " UNION ALL ".join(f"SELECT doc_id, {k} AS ord, '{c}' AS category, unnest(regexp_extract_all(text, '{p}')) AS value FROM documents" for k, (c, p) in enumerate(PATTERNS.items())) + """
+def findings_sql(patterns: dict[str, str]) -> str:
+    matched = " UNION ALL ".join(f"SELECT doc_id, {k} AS ord, '{c}' AS category, unnest(regexp_extract_all(text, '{p}')) AS value FROM documents" for k, (c, p) in enumerate(patterns.items()))
+    return f"""matched AS (
+  {matched}
 ), won AS (
   SELECT doc_id, value, min(ord) AS ord, arg_min(category, ord) AS category FROM matched WHERE value <> '' GROUP BY doc_id, value
 ), cut AS (
@@ -55,6 +58,11 @@ FINDINGS_SQL = """matched AS (
 )"""
 
 
+FINDINGS_SQL = findings_sql(PATTERNS)
+#: Patterns whose matches are several words, so that some run over a line's end.
+PHRASES = {"phrase": "[A-Z][a-z]+ th[a-z]+ [a-z]+", "pair": "th[a-z]+ [a-z]+", "number": "[0-9]{2,}"}
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four items a document, some of which can't be masked: bad page, inverted, not finite, off the page."""
     d, k = F.col("doc_id"), F.col("k")
