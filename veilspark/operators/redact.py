@@ -157,6 +157,37 @@ def leaks_in(places: DataFrame, terms: DataFrame) -> DataFrame:
     return normal.join(terms, "doc_id").filter(F.contains("text", F.col("term"))).select("doc_id", "kind").distinct()
 
 
+#: The kind of leak that a term in a string is, by where the string stands; anywhere else it is OBJECTS. A location
+#: whose mere presence is a leak; kinds that no string tells.
+DETECTORS = {
+    "hidden_text": "hidden_text", "form_field": "form_fields", "annotation": "annotations", "link": "links", "info": "metadata_info", "xmp": "metadata_xmp", "outline": "outline", "attachment": "attachments",
+}
+OBJECTS, PRESENT, SYNTAX, DEPTH = "pdf_objects", {"form": "form_fields"}, "content_syntax", "nesting_depth"
+
+
+def leaks_by_location(strings: DataFrame, terms: DataFrame, ours: list[str] | None = None, broken: DataFrame | None = None, deep: DataFrame | None = None) -> DataFrame:
+    """doc_id, kind, each once. strings: doc_id, location, text of all that a reader does not see, read once for all kinds; terms:
+    doc_id, term, normalised. Where a location has a kind of its own, a term leaks as it stands; in any other string white
+    space and dashes don't hide it. Values that the tool wrote itself (ours) do not count. broken: doc_id whose content could not be read; deep:
+    doc_id nested too deep to be walked, of which nothing is known to be clean. Null text holds nothing."""
+    per_doc = terms.groupBy(F.col("doc_id").alias("d")).agg(F.collect_set("term").alias("terms"))
+    present = F.array(*(F.lit(x) for x in PRESENT))
+    held = strings.select("doc_id", "location", "text").join(per_doc, F.col("doc_id") == F.col("d"), "left").filter(F.col("d").isNotNull() | F.array_contains(present, F.col("location")))
+    normal = held.withColumn("normal", norm(F.col("text")))
+    dense = lambda c: F.regexp_replace(c, rf"(?U)[\s{DASHES}]+", "")
+    own = F.create_map(*(F.lit(x) for kv in DETECTORS.items() for x in kv))[F.col("location")]
+    sure = F.create_map(*(F.lit(x) for kv in PRESENT.items() for x in kv))[F.col("location")]
+    counts = ~F.coalesce(F.col("text").isin(*(ours or [""])), F.lit(False))
+    plain = F.exists("terms", lambda t: F.contains(F.col("normal"), t))
+    hidden = F.exists(F.filter(F.transform("terms", dense), lambda t: F.length(t) >= LEAST_TERM), lambda t: F.contains(dense(F.col("normal")), t))
+    kind = F.when(sure.isNotNull(), sure).when(counts & own.isNotNull() & plain, own).when(counts & own.isNull() & hidden, F.lit(OBJECTS))
+    found = normal.select("doc_id", kind.alias("kind")).filter("kind is not null")
+    for more, name in ((broken, SYNTAX), (deep, DEPTH)):
+        if more is not None:
+            found = found.unionByName(more.select("doc_id", F.lit(name).alias("kind")))
+    return found.distinct()
+
+
 def report(docs: DataFrame, leaks: DataFrame, failed: DataFrame) -> DataFrame:
     """doc_id, verified, leaks (sorted kinds, never terms), n_failed. failed: doc_id, id, error."""
     kinds = leaks.groupBy("doc_id").agg(F.sort_array(F.collect_set("kind")).alias("leaks"))

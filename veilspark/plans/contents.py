@@ -288,3 +288,25 @@ def path_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rects = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", path_rects(path).alias("r"))
     return rects.select("l_orderkey", "l_linenumber", F.when(F.col("r").isNotNull(), F.size("r")).alias("n_rects"), F.element_at("r", -1)["x1"].alias("right_edge"))
+
+
+_SPOTS = ["hidden_text", "form_field", "annotation", "link", "info", "xmp", "outline", "attachment", "form", "struct", "action", "piece"]
+
+
+@query(
+    f"WITH {fx.FINDINGS_SQL}, {fx.TERMS_SQL}, {fx.STRINGS_SQL}, spots AS (SELECT doc_id, place, {_SPOTS!r}[1 + (place * 7 + doc_id) % 12] AS location, text, {fx.NORM_SQL.format('text')} AS n, {fx.COMPACT_SQL.format('text')} AS c FROM strings),"
+    f" hit AS (SELECT DISTINCT s.doc_id, CASE location WHEN 'form_field' THEN 'form_fields' WHEN 'annotation' THEN 'annotations' WHEN 'link' THEN 'links' WHEN 'info' THEN 'metadata_info' WHEN 'xmp' THEN 'metadata_xmp' WHEN 'attachment' THEN 'attachments' WHEN 'hidden_text' THEN location WHEN 'outline' THEN location ELSE 'pdf_objects' END AS kind"
+    f" FROM spots s JOIN terms t ON s.doc_id = t.doc_id WHERE location <> 'form' AND text IS NOT NULL AND CASE WHEN location IN ('struct', 'action', 'piece') THEN length({fx.COMPACT_SQL.format('term')}) >= 3 AND contains(c, {fx.COMPACT_SQL.format('term')}) ELSE contains(n, term) END),"
+    " every AS (SELECT * FROM hit UNION SELECT doc_id, 'form_fields' FROM spots WHERE location = 'form' AND place % 3 = 0 UNION SELECT doc_id, 'content_syntax' FROM documents WHERE doc_id % 37 = 5 UNION SELECT doc_id, 'nesting_depth' FROM strings WHERE place >= 32)"
+    " SELECT doc_id, string_agg(kind, ',' ORDER BY kind) AS leaks FROM every GROUP BY doc_id"
+)
+def leak_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All kinds of leaks beside the pages: lines of texts stand for strings of twelve locations; objects below the fifth level fail."""
+    strings, place = fx.strings(spark, sf_dir), F.col("place").cast("long")
+    location = F.get(F.array(*map(F.lit, _SPOTS)), ((F.col("place") * 7 + F.col("doc_id")) % len(_SPOTS)).cast("int"))
+    spots = strings.select("doc_id", "place", location.alias("location"), "text").filter("location <> 'form' OR place % 3 = 0")
+    edges = strings.select("doc_id", F.floor(place / 2).alias("src"), F.lit("Kids").alias("key"), place.alias("dst"))
+    deep = reachable(edges, max_depth=5).filter("node is null").select("doc_id")
+    broken = table(spark, sf_dir, "documents").filter("doc_id % 37 = 5").select("doc_id")
+    kinds = redact.leaks_by_location(spots, _terms(spark, sf_dir), fx.OURS, broken, deep)
+    return kinds.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("kind")), ",").alias("leaks"))
