@@ -22,7 +22,7 @@ def texts() -> list:
     return [None, "", "The cat sat on the mat. The cat's mat!", "<|endoftext|> is text", "\x00 null \x00\x00", " " * 300, "-" * 500, *drawn, *long, "a " + long[2] + " b " + long[3]]
 
 
-@pytest.mark.parametrize("cached", [1 << 16, 5])
+@pytest.mark.parametrize("cached", [1 << 17, 5])
 def test_fold_equals_tiktoken(spark, cached):
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(PATH), special_tokens={})
     rows = list(enumerate(texts()))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from veilspark.llm.shared import staged, whole_text
 
 #: Words in the plan's table at most, and bytes of a word that is folded.
-CACHED, FOLD_BYTES = 1 << 16, 128
+CACHED, FOLD_BYTES = 1 << 17, 128
 #: White space as the tokenizer's pattern has it.
 BLANK = r"\t-\r \x85\xA0  -     　"
 #: Letters and numbers that Unicode has gained since the oldest JVM that Spark runs on.
@@ -113,6 +113,8 @@ class Fold:
     def __init__(self, ranks: dict[bytes, int]):
         table = RankMap(ranks)
         self.edge = table.size
+        #: Hexadecimal digits of a packed id.
+        self.width = 4 if table.size <= 1 << 16 else 8
         self.base, self.owner, self.merged = (_ints(a.tolist()) for a in (table.base, table.owner, table.merged))
         self.of_byte = _ints(ranks[bytes([b])] for b in range(256))
         self.hex_of = F.split(F.lit(",".join(table.bytes_of.get(k, b"").hex().upper() for k in range(table.size))), ",")
@@ -149,46 +151,52 @@ class Fold:
         return F.shiftright(entry, PLACE).bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int")
 
     def packed(self, word: Column) -> Column:
-        """The word's ids as little-endian unsigned 32-bit integers, then its decoded bytes, both in hexadecimal."""
+        """The word's ids in hexadecimal, low byte first, a colon, and the text that the ids decode to: a word is whole code
+        points, so its tokens' bytes together are a text."""
 
         def little(i: Column) -> Column:
             h = F.hex(i.cast("long") + F.lit(1 << 32))
-            return F.concat(*(F.substring(h, k, 2) for k in (8, 6, 4, 2)))
+            return F.concat(*(F.substring(h, k, 2) for k in (8, 6, 4, 2)[: self.width // 2]))
 
-        both = F.transform(F.array(self.ids(word)), lambda t: F.concat(F.array_join(F.transform(t, little), ""), F.lit(":"), F.array_join(F.transform(t, lambda i: F.get(self.hex_of, i)), "")))
+        both = F.transform(F.array(self.ids(word)), lambda t: F.concat(F.array_join(F.transform(t, little), ""), F.lit(":"), F.decode(F.unhex(F.array_join(F.transform(t, lambda i: F.get(self.hex_of, i)), "")), "UTF-8")))
         return F.get(both, 0)
 
+    def whole(self, ids: Column) -> Column:
+        """Packed ids of a text as little-endian unsigned 32-bit integers."""
+        return F.unhex(ids if self.width == 8 else F.regexp_replace(ids, "(....)", "$10000"))
+
 
 class Known:
-    """The frequent words' packed values: every word lies in one of two slots that its hash names."""
+    """The frequent words' packed values: every word lies in one of two slots that its hash names. A value ends with its word
+    behind its only colon, which tells whose it is."""
 
     def __init__(self, rows: list):
-        bits = max(8, (3 * len(rows)).bit_length())
+        bits = max(8, (2 * len(rows) - 1).bit_length() if rows else 8)
         self.mask = (1 << bits) - 1
         slots: dict[int, tuple] = {}
         for r in rows:
             entry, at = r, r["h"] & self.mask
-            for _ in range(500):
+            for _ in range(200):
                 entry, slots[at] = slots.get(at), entry
                 if entry is None:
                     break
                 one, two = entry["h"] & self.mask, (entry["h"] >> 32) & self.mask
                 at = two if at == one else one
         # a word that found no slot is folded where it stands
-        self.words, self.values = ("\0".join(slots[k][f] if k in slots else "" for k in range(self.mask + 1)) for f in ("word", "packed"))
+        self.values = "\0".join(slots[k]["packed"] if k in slots else "" for k in range(self.mask + 1))
 
     def pieces(self, words: Column, fold: Fold) -> Column:
-        known, values = (F.split(F.lit(x), "\\x00", -1) for x in (self.words, self.values))
-        hashed = F.transform(words, lambda w: F.struct(w.alias("w"), F.xxhash64(w).alias("h")))
+        values = F.split(F.lit(self.values), "\\x00", -1)
 
-        def piece(x: Column) -> Column:
-            one, two = (s.bitwiseAND(F.lit(self.mask)).cast("int") for s in (x["h"], F.shiftrightunsigned(x["h"], 32)))
-            return F.when(F.get(known, one) == x["w"], F.get(values, one)).when(F.get(known, two) == x["w"], F.get(values, two)).otherwise(fold.packed(x["w"]))
+        def piece(w: Column) -> Column:
+            h, end = F.xxhash64(w), F.concat(F.lit(":"), w)
+            one, two = (F.get(values, s.bitwiseAND(F.lit(self.mask)).cast("int")) for s in (h, F.shiftrightunsigned(h, 32)))
+            return F.when(F.endswith(one, end), one).when(F.endswith(two, end), two).otherwise(fold.packed(w))
 
-        return F.transform(hashed, piece)
+        return F.transform(words, piece)
 
 
-def _long_words(path: str, pattern: str):
+def _long_words(path: str, width: int):
     """Packed values of the words that are too long for the fold, null for the others."""
 
     @F.pandas_udf("array<string>")
@@ -202,7 +210,7 @@ def _long_words(path: str, pattern: str):
             if len(word.encode()) <= FOLD_BYTES:
                 return None
             ids = own.encode_ordinary(word)
-            return f"{np.array(ids, '<u4').tobytes().hex().upper()}:{own.decode_bytes(ids).hex().upper()}"
+            return f"{np.array(ids, '<u4' if width == 8 else '<u2').tobytes().hex().upper()}:{own.decode(ids)}"
 
         for batch in batches:
             yield batch.map(lambda words: [packed(w) for w in words])
@@ -217,14 +225,14 @@ def _frequent(words: DataFrame, fold: Fold, cached: int) -> tuple[list, bool]:
     counted = words.select(F.explode("words").alias("word")).select(F.when(short, F.col("word")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     counts = staged(counted.withColumn("level", F.floor(8 * F.log2("n"))), "fold-counts")
     total, level = 0, 0
-    levels = counts.filter("word is not null").groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("times")).collect()  # eight an octave
+    levels = counts.filter("word is not null").groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()  # eight an octave
     for r in sorted(levels, key=lambda r: -r["level"]):
         total, level = total + r["n"], r["level"]
         if total > cached:
             level += 1
             break
-    often = counts.filter((F.col("level") >= level) & ~F.contains("word", F.lit("\0"))).repartition(16, "word")
-    rows = often.select("word", F.xxhash64("word").alias("h"), fold.packed(F.col("word")).alias("packed")).collect() if levels else []
+    often = counts.filter((F.col("level") >= level) & ~F.contains("word", F.lit("\0")) & ~F.contains("word", F.lit(":"))).repartition(16, "word")
+    rows = often.select(F.xxhash64("word").alias("h"), fold.packed(F.col("word")).alias("packed")).collect() if levels else []
     return rows, not counts.filter("word is null").isEmpty()
 
 
@@ -239,11 +247,12 @@ def fold_texts(docs: DataFrame, path: str, output: str = "digest", id_col: str =
     short = words.filter(~F.exists("words", is_long)) if some_long else words
     done = short.select("doc_id", known.pieces(F.col("words"), fold).alias("pieces"))
     if some_long:
-        both = words.filter(F.exists("words", is_long)).withColumn("long", _long_words(path, SPLIT)(F.col("words")))
+        both = words.filter(F.exists("words", is_long)).withColumn("long", _long_words(path, fold.width)(F.col("words")))
         usual = known.pieces(F.transform("words", lambda w: F.when(is_long(w), F.lit(" ")).otherwise(w)), fold)
         done = done.unionByName(both.select("doc_id", F.zip_with(usual, "long", lambda a, b: F.coalesce(b, a)).alias("pieces")))
-    ids, text = (F.unhex(F.array_join(F.transform("pieces", lambda p: F.substring_index(p, ":", side)), "")) for side in (1, -1))
-    out = done.select("doc_id", ids.alias("ids"), text.alias("decoded"))
+    ids = F.array_join(F.transform("pieces", lambda p: F.substring_index(p, ":", 1)), "")
+    text = F.array_join(F.transform("pieces", lambda p: F.substring(p, F.instr(p, ":") + 1, F.length(p))), "")
+    out = done.select("doc_id", fold.whole(ids).alias("ids"), F.encode(text, "UTF-8").alias("decoded"))
     if output == "bytes":
         return out
     return out.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
