@@ -47,14 +47,14 @@ def test_graph_over_words_beyond_the_200th(spark, tmp_path):
         new = set(down.get(todo.pop(), ())) - reached
         reached |= new
         todo += new
-    got = sorted(map(tuple, registry.queries()["graph_reach_whole"](spark, str(tmp_path)).collect()))
+    got = sorted(map(tuple, registry.queries()["graph_reach"](spark, str(tmp_path)).collect()))
     assert max(reached) > 200 and got == [(1, len(reached), sum(reached)), (2, 1, 0)]
 
 
 def test_every_event_has_a_position(spark, tmp_path):
     rows = [(k, "ab"[k % 2], 100 - k) for k in range(1, 9)]
     spark.createDataFrame(rows, "event_id long, event_type string, ts long").write.parquet(str(tmp_path / "events.parquet"))
-    got = {r.event_id: r.position for r in registry.queries()["queue_position_all"](spark, str(tmp_path)).collect()}
+    got = {r.event_id: r.position for r in registry.queries()["queue_position"](spark, str(tmp_path)).collect()}
     assert got == {8: 1, 6: 2, 4: 3, 2: 4, 7: 1, 5: 2, 3: 3, 1: 4}
 
 
