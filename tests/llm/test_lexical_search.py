@@ -41,6 +41,6 @@ def test_proofs_spare_lower_tiers_and_hold(spark, monkeypatch):
 
 
 def test_empty_tables(spark):
-    docs, items = spark.createDataFrame(corpus(5), "doc_id long, text string"), spark.createDataFrame([(1, "w1")], "item_id int, text string")
+    docs, items = spark.createDataFrame(corpus()[:5], "doc_id long, text string"), spark.createDataFrame([(1, "w1")], "item_id int, text string")
     assert ls.ranked_search(docs.limit(0), items).count() == 0
     assert ls.ranked_search(docs, items.limit(0)).count() == 0

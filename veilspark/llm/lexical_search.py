@@ -142,7 +142,7 @@ def _high(lowest: np.ndarray, docs: int, tokens: int):
         for batch in slices(batches):
             place, terms, s = _arrays(batch, docs, tokens)
             band = s * BANDS // MOST
-            tier = sum((band < lowest[k][terms]).astype(np.int32) for k in range(len(lowest)))
+            tier = sum(((band < lowest[k][terms]).astype(np.int32) for k in range(len(lowest))), np.zeros(len(terms), np.int32))
             keep = np.flatnonzero(tier < len(lowest))
             of = pa.array(place[keep])
             yield pa.RecordBatch.from_arrays([pa.array(tier[keep], pa.int32()), pa.array(terms[keep], pa.int32()), batch.column("row").take(of), batch.column("doc_id").take(of), pa.array(s[keep])], ["tier", "term", "row", "doc_id", "s"])
