@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilspark.functions import policy
 from veilspark.functions.text import compact, norm, readings, rounded
 from veilspark.functions.paths import path_rects
-from veilspark.operators import areas, fills, frontier, grid, images, markers, outline, redact, zones
+from veilspark.operators import areas, fills, frontier, grid, images, markers, outline, redact, verify, zones
 from veilspark.operators.search import search, with_hits
 from veilspark.sources import patterns
 from veilspark.streaming import limits
@@ -437,3 +437,31 @@ def test_paths_of_rectangles(spark):
     got = {r.k: r.r for r in df.select("k", path_rects(F.col("items")).alias("r")).collect()}
     for k, (_, want) in enumerate(cases):
         assert (None if got[k] is None else [tuple(map(round, x)) for x in got[k]]) == want, k
+
+
+def test_verification_gives_the_first_reason(spark):
+    rows = lambda pages: spark.createDataFrame(pages, "file long, page long, has boolean")
+    before = rows([(1, 0, True), (1, 1, False), (2, 0, True), (2, 1, True), (3, 0, True), (4, 0, True), (5, 0, None)])
+    after = rows([(1, 0, True), (1, 1, True), (2, 0, True), (3, 0, False), (4, 0, True), (5, 0, None), (6, 0, True)])
+    locked = spark.createDataFrame([(4,), (7,)], "file long")
+    got = {r.file: r.reason for r in verify.page_reasons(before, after, locked).collect()}
+    assert got == {1: None, 2: verify.DIFFER, 3: verify.EMPTIED, 4: verify.ENCRYPTED, 5: None, 6: verify.DIFFER, 7: verify.ENCRYPTED}
+    has = spark.createDataFrame([(0, None), (1, None), (0, " \n "), (0, "x"), (None, "")], "n int, t string").select(verify.has_content(F.col("n"), F.col("t")).alias("h"))
+    assert [r.h for r in has.collect()] == [False, True, False, True, False]
+    assert verify.missing(before, after, ["file"]).collect()[0].asDict() == {"file": 2, "n_missing": 1}
+
+
+def test_a_request_gets_the_status_of_the_first_check_that_fails(spark):
+    t, f, none = F.lit(True), F.lit(False), F.lit(None).cast("boolean")
+    cases = [((t, t, t, t, f), 403), ((f, t, t, t, f), 413), ((f, f, t, t, f), 429), ((f, f, f, t, f), 503), ((f, f, f, f, f), 400), ((f, f, f, f, none), 400), ((none, none, none, none, t), 200)]
+    row = spark.range(1).select(*(policy.request_status(*c, F.lit(200)).alias(f"s{k}") for k, (c, _) in enumerate(cases))).first()
+    assert list(row) == [want for _, want in cases]
+
+
+def test_leak_kinds_by_location(spark):
+    spots = [(1, "link", "see 12 345"), (1, "link", "see 12345"), (1, "struct", "12-345"), (2, "form", None), (3, "info", "Made by us 12345"), (3, "xmp", None), (4, "outline", "clean"), (5, "piece", "12 345")]
+    strings = spark.createDataFrame(spots, "doc_id long, location string, text string")
+    terms = spark.createDataFrame([(k, "12345") for k in (1, 3, 4)], "doc_id long, term string")
+    deep, broken = spark.createDataFrame([(9,)], "doc_id long"), spark.createDataFrame([(4,), (4,)], "doc_id long")
+    got = sorted(map(tuple, redact.leaks_by_location(strings, terms, ["Made by us 12345"], broken, deep).collect()))
+    assert got == [(1, "links"), (1, "pdf_objects"), (2, "form_fields"), (4, "content_syntax"), (9, "nesting_depth")]

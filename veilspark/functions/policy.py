@@ -145,6 +145,13 @@ def exec_status(exit_code: Column, killed: Column, signal: Column, route: Column
     )
 
 
+def request_status(origin_no: Column, too_large: Column, limited: Column, full: Column, fields_ok: Column, ended: Column) -> Column:
+    """The answer to a request as it goes through the checks, the first that fails telling: 403 for its origin, 413 for its size,
+    429 for its client's limit, 503 where there is no slot, 400 for its fields, then how its process ended (exec_status)."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return F.when(yes(origin_no), 403).when(yes(too_large), 413).when(yes(limited), 429).when(yes(full), 503).when(~yes(fields_ok), 400).otherwise(ended)
+
+
 def recompression(bits: Column, colors: Column, components: Column, encoding: Column, reversible: Column, lossless_size: Column, original_size: Column, flate_size: Column, has_tables: Column) -> Column:
     """How a redacted copy of an image is stored: one bit as G4, few colours and what nothing else fits as flate, JPEG with
     the original's tables (or by quality, if they can't be read), JPEG 2000 as it was: lossless where that is no larger than

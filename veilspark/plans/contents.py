@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilspark.functions import policy
 from veilspark.functions.paths import path_rects
 from veilspark.functions.text import norm, rounded
-from veilspark.operators import areas, images, markers, redact, structures, zones
+from veilspark.operators import areas, images, markers, redact, structures, verify, zones
 from veilspark.operators.fills import touched_fills
 from veilspark.operators.frontier import blanked, flattened, reachable
 from veilspark.operators.search import with_hits
@@ -237,9 +237,8 @@ def zones_with_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_brand, p_size, count(*) AS n_missing FROM (SELECT p_brand, p_size FROM part EXCEPT ALL SELECT p_brand, p_size FROM part WHERE p_partkey % 3 <> 0) GROUP BY p_brand, p_size")
 def missing_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fills that were saved and are not there any more, counting how often each was."""
-    saved = table(spark, sf_dir, "part").select("p_brand", "p_size", "p_partkey")
-    gone = saved.drop("p_partkey").exceptAll(saved.filter("p_partkey % 3 <> 0").drop("p_partkey"))
-    return gone.groupBy("p_brand", "p_size").agg(F.count(F.lit(1)).alias("n_missing"))
+    saved = table(spark, sf_dir, "part")
+    return verify.missing(saved, saved.filter("p_partkey % 3 <> 0"), ["p_brand", "p_size"])
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(printf('%.1f', l_quantity / 20) AS DOUBLE) AS x, CAST(printf('%.1f', l_extendedprice / 7) AS DOUBLE) AS y FROM lineitem")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import policy
 from veilspark.functions.text import compact, norm, process_error, rounded
-from veilspark.operators import outline, redact, zones
+from veilspark.operators import outline, redact, verify, zones
 from veilspark.operators.frontier import reachable
 from veilspark.operators.once import computed_once
 from veilspark.operators.search import deduplicated, search, with_hits
@@ -195,11 +195,8 @@ def item_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_verify_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Input and output pages of each file: as many, and none lost its content. The first reason counts."""
     into = table(spark, sf_dir, "pages").select((F.col("page_id") % 20).alias("file"), F.floor(F.col("page_id") / 20).alias("page"), (F.col("html") != "").alias("has"))
-    out = into.filter("NOT (file = 7 AND page % 5 = 2)").select("file", "page", (F.col("has") & ((F.col("file") + F.col("page")) % 13 != 5)).alias("out_has"), F.lit(1).alias("out"))
-    both = into.withColumn("in", F.lit(1)).join(out, ["file", "page"], "full")
-    emptied = F.coalesce(F.bool_or(F.col("has") & ~F.coalesce("out_has", F.lit(False))), F.lit(False))
-    differ = (F.count("out") != F.count("in")) | (F.count("out") == 0)
-    return both.groupBy("file").agg(F.when(differ, "pages differ").when(emptied, "page emptied").alias("reason"))
+    out = into.filter("NOT (file = 7 AND page % 5 = 2)").withColumn("has", F.col("has") & ((F.col("file") + F.col("page")) % 13 != 5))
+    return verify.page_reasons(into, out)
 
 
 _OUTLINE_SQL = f"rows AS (SELECT doc_id, i - 1 AS pos, l[i] AS title, 1 + ((i - 1) * 7 + doc_id) % 4 AS level, contains({fx.NORM_SQL.format('l[i]')}, 'than') AS gone FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"
@@ -261,7 +258,7 @@ def ttl_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files strictly older than a quarter of an hour go, as of the last event."""
     files = table(spark, sf_dir, "events").select("event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
     last = files.agg(F.max("ms").alias("now"), F.lit(1).alias("one"))  # one row
-    old = F.col("now") - F.col("ms") > 900_000
+    old = verify.expired(F.col("now") - F.col("ms"))
     return files.withColumn("one", F.lit(1)).join(F.broadcast(last), "one").groupBy("event_type").agg(F.count_if(old).alias("swept"), F.count_if(~old).alias("kept"))
 
 

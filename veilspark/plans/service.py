@@ -9,6 +9,7 @@ from veilspark.functions import policy
 from veilspark.functions.text import error_line
 from veilspark.plans.fixtures import table
 from veilspark.plans.queries import query
+from veilspark.streaming.limits import rate_limited
 
 
 def _pick(values: list, by: Column) -> Column:
@@ -79,3 +80,19 @@ def request_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey", policy.env_int(raw, 5).alias("setting"), policy.job_weight(F.floor(F.col("o_totalprice") * 400)).alias("weight"),
         policy.looks_like_pdf(F.encode(data, "UTF-8")).alias("is_pdf"), policy.is_uuid(uuid).alias("is_uuid"), policy.valid_origin(origin).alias("is_origin"),
     )
+
+
+@query(
+    "WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_ms(ts) AS t FROM events), w AS (SELECT user_id, min(t) AS began FROM e GROUP BY user_id UNION ALL SELECT w.user_id, (SELECT min(t) FROM e WHERE e.user_id = w.user_id AND e.t >= w.began + 86400000) AS began FROM w WHERE w.began IS NOT NULL), p AS (SELECT event_id, e.user_id, t, max(began) AS began FROM e JOIN w ON w.user_id = e.user_id AND w.began <= e.t GROUP BY event_id, e.user_id, t),"
+    " r AS (SELECT event_id, row_number() OVER (PARTITION BY user_id, began ORDER BY t, event_id) > 4 AS limited FROM p)"
+    " SELECT event_id, CASE WHEN event_id % 19 = 3 THEN 403 WHEN value > 480 THEN 413 WHEN limited THEN 429 WHEN event_id % 23 = 7 THEN 503 WHEN props NOT LIKE '{%' OR event_id % 29 = 1 THEN 400 WHEN event_id % 6 = 5 THEN 504 WHEN event_id % 6 = 3 THEN 422 WHEN event_id % 6 = 4 THEN 400 WHEN event_id % 6 = 0 THEN 200 ELSE 500 END AS status, CASE WHEN status = 429 THEN user_id END AS who FROM events JOIN r USING (event_id)"
+)
+def request_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches through all checks: origin, size, the client's limit of four a day, a slot, fields, the end of the process."""
+    events, k = table(spark, sf_dir, "events"), F.col("event_id")
+    verdicts = rate_limited(events.select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms")), per_window=4, window_ms=86_400_000)
+    joined = events.join(verdicts.select("event_id", "admitted"), "event_id")
+    code = F.when(k % 6 == 0, 0).when(k % 6 == 3, policy.ENCRYPTED).when(k % 6 == 4, policy.BAD_PATTERNS).otherwise(1)
+    ended = policy.exec_status(code, k % 6 == 5, F.lit("SIGKILL"), F.lit("search"))
+    status = policy.request_status(k % 19 == 3, F.col("value") > 480, ~F.col("admitted"), k % 23 == 7, F.col("props").startswith("{") & (k % 29 != 1), ended)
+    return joined.select("event_id", status.alias("status"), F.when(status == 429, F.col("user_id")).alias("who"))
