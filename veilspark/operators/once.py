@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
+from veilspark.operators.stage import staged
+
 
 def computed_once(df: DataFrame) -> DataFrame:
-    """df, computed once: a checkpoint in the shared folder where the session has one, else kept by the executors, which
-    compute a lost part again."""
-    if df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """df, computed once, in the folder that the cluster shares."""
+    return staged(df, "once")
