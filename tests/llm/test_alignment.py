@@ -5,7 +5,9 @@ import hashlib
 import public_tokenizers
 import pytest
 
+from veilspark.llm import alignment
 from veilspark.llm.alignment import align_texts, brute_alignment
+from veilspark.llm.wordcache import by_ranks
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = [
@@ -33,3 +35,22 @@ def test_repeated_and_null_ids_and_empty_table(spark):
     rows = sorted((r["doc_id"] or 0, r["n_a"], r["count_sum"]) for r in align_texts(docs, A, B).collect())
     assert [r[0] for r in rows] == [0, 1, 1] and rows[1] == rows[2]
     assert align_texts(docs.limit(0), A, B).count() == 0
+
+
+def test_white_space_on_both_sides_of_a_space(spark):
+    texts = ["a\n \nb", "one\t \ttwo", "x \ny", "x\n y", "a\u00a0 \u0085b", "end\n "]
+    want = brute_alignment(texts, A, B)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(map(tuple, align_texts(docs, A, B, "groups").collect()))
+    assert [r[1:] for r in got] == want
+
+
+def test_words_are_merged_by_ranks(monkeypatch):
+    a, words = alignment.Aligner(A, B, by_ranks(A)), [" plain", " words,", " it's", " \u00dfé\u2014x"]
+    want = alignment.Aligner(A, B, False).aligned(words)
+
+    def never(*_, **__):
+        raise AssertionError("the library was called for known code points")
+
+    monkeypatch.setattr(alignment.UnitIds, "of_units", never)
+    assert by_ranks(A) and a.aligned(words) == want

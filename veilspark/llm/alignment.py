@@ -20,15 +20,15 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.bpe import byte_alphabet
 from veilspark.llm.shared import scratch, slices, staged, whole_text
-from veilspark.llm.wordcache import BYTE_UNIT, UnitIds, known_text, load
+from veilspark.llm.wordcache import BYTE_UNIT, NO_CUT, Ranked, UnitIds, by_ranks, byte_alphabet, is_known, load
 
 #: Distinct pairs that a task counts before it hands them on.
 HELD_PAIRS = 1 << 20
@@ -42,26 +42,20 @@ _ROW = "doc_id long, row string, n_a long, n_b long, n_groups long, n_links long
 class BytesTokens:
     """A: a byte-level tokenizer of the tokenizers library."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranked: bool):
         self.tokenizer = load(path, special_as_text=True)
         letters = byte_alphabet()
         names = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.bytes_of = [bytes(letters[c] for c in x) if x is not None and all(c in letters for c in x) else (x or "").encode() for x in names]
         self.cache = UnitIds(self.tokenizer, BYTE_UNIT, list)
+        self.merged = Ranked(path, BYTE_UNIT).encode if ranked else self._units
+
+    def _units(self, text: str) -> list[int]:
+        return [i for ids in self.cache.of_units(self.cache.units(text)) for i in ids]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text; all their new units are encoded at once."""
-        known, out = known_text().fullmatch, []
-        units = [self.cache.units(t) if known(t) else None for t in texts]
-        ids = iter(self.cache.of_units([u for each in units if each for u in each]))
-        for text, each in zip(texts, units, strict=True):
-            if each is None:
-                out.append(self.tokenizer.encode(text, add_special_tokens=False).ids)
-            elif len(each) == 1:
-                out.append(next(ids))
-            else:
-                out.append([i for _ in each for i in next(ids)])
-        return out
+        """The ids of each text."""
+        return [self.merged(t) if is_known(t) else self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 class PieceTokens:
@@ -92,44 +86,59 @@ def aligned(a_lengths: np.ndarray, b_lengths: np.ndarray) -> tuple[np.ndarray, n
 
 
 class Aligner:
-    """Alignments in one Python worker. A space and the characters up to the next one, single spaces only, are a word that
-    both tokenizers cut from its neighbours, so that its alignment is computed once and remembered, up to a bound."""
+    """Alignments in one Python worker. A space and the characters up to the next one, single spaces only, and none with other
+    white space on both sides, are a word that both tokenizers cut from its neighbours, so that its alignment is computed once and remembered, up to a bound."""
 
-    def __init__(self, path_a: str, path_b: str, entries: int = 1 << 18):
-        self.a, self.b = BytesTokens(path_a), PieceTokens(path_b)
+    def __init__(self, path_a: str, path_b: str, ranked: bool, entries: int = 3 << 17):
+        self.a, self.b = BytesTokens(path_a, ranked), PieceTokens(path_b)
         self.len_a, self.len_b = (np.array([len(x) for x in t.bytes_of], np.int64) for t in (self.a, self.b))
         self.words = re.compile(r" [^ ]+").findall
         self.plain = re.compile(rf"(?: [^ {SPACE_MARK}]+)+").fullmatch if self.b.apart else lambda _: None
+        #: An id with each sign that may stand behind it.
+        self.shown = [f"{i}{sign}" for i in range(max(len(self.len_a), len(self.len_b))) for sign in ",|;"]
         self.known: dict[str, tuple | None] = {}
         self.entries = entries
 
     def aligned(self, parts: list[str]) -> list[tuple | None]:
-        """(n_a, n_b, n_groups, pairs of its links, groups as text) of each part, a text or word with its space before it; null where a
+        """(n_a, n_b, n_groups, pairs of its links as bytes, groups as text) of each part, a text or word with its space before it; null where a
         tokenizer does not give it back. All parts' bytes are one array, since a part's end is a cut of both."""
         ids_a, ids_b = self.a.encode(parts), self.b.model.encode([p[1:] for p in parts], num_threads=1)
-        same = lambda t, ids, p: b"".join([t.bytes_of[i] for i in ids]) == p.encode()
-        sound = [same(self.a, x, p) and same(self.b, y, p) for x, y, p in zip(ids_a, ids_b, parts, strict=True)]
+        sound = self.given_back(ids_a, ids_b, parts)
         ids_a, ids_b = ([x for x, good in zip(ids, sound, strict=True) if good] for ids in (ids_a, ids_b))
         if not ids_a:
             return [None] * len(parts)
-        x, y = (np.fromiter((i for ids in each for i in ids), np.int64) for each in (ids_a, ids_b))
+        x, y = (np.fromiter(chain.from_iterable(each), np.int64) for each in (ids_a, ids_b))
         link_a, link_b, first = aligned(self.len_a[x], self.len_b[y])
         pairs = (x[link_a] << 32) | y[link_b]
         groups = np.flatnonzero(first)
-        # where each part begins among A's tokens, links and groups
-        begun = np.cumsum([0, *map(len, ids_a)])
+        # where each part begins among A's and B's tokens, links and groups
+        begun, begun_b = (np.cumsum([0, *map(len, ids)]) for ids in (ids_a, ids_b))
         at_link = np.searchsorted(link_a, begun)
         at_group = np.searchsorted(groups, at_link).tolist()
-        from_a, from_b = [*link_a[groups].tolist(), len(x)], [*link_b[groups].tolist(), len(y)]
-        text_a, text_b = list(map(str, x.tolist())), list(map(str, y.tolist()))
-        each = [",".join(text_a[i:j]) + "|" + ",".join(text_b[k:m]) for i, j, k, m in zip(from_a, from_a[1:], from_b, from_b[1:], strict=False)]
-        at_link = at_link.tolist()
-        done = iter([(len(u), len(v), g2 - g1, pairs[l1:l2], ";".join(each[g1:g2])) for u, v, g1, g2, l1, l2 in zip(ids_a, ids_b, at_group, at_group[1:], at_link, at_link[1:], strict=False)])
+        # a group's A tokens stand before its B tokens, each with the sign behind it
+        from_a, from_b = np.append(link_a[groups], len(x)), np.append(link_b[groups], len(y))
+        order = np.zeros(len(x) + len(y), np.int64)
+        for ids, begin, other, sign in ((x, from_a, from_b[:-1], 1), (y, from_b, from_a[1:], 2)):
+            signs = np.zeros(len(ids), np.int64)
+            signs[begin[1:] - 1] = sign
+            order[np.arange(len(ids)) + np.repeat(other, np.diff(begin))] = 3 * ids + signs
+        shown = [self.shown[k] for k in order.tolist()]
+        at_link, pairs, at_shown = (8 * at_link).tolist(), pairs.tobytes(), (begun + begun_b).tolist()
+        done = iter([(len(u), len(v), g2 - g1, pairs[l1:l2], "".join(shown[s1:s2])[:-1]) for u, v, g1, g2, l1, l2, s1, s2 in zip(ids_a, ids_b, at_group, at_group[1:], at_link, at_link[1:], at_shown, at_shown[1:], strict=False)])
         return [next(done) if good else None for good in sound]
 
+    def given_back(self, ids_a: list[list[int]], ids_b: list[list[int]], parts: list[str]) -> list[bool]:
+        """Whether the bytes of both tokenizers' ids are the part's. Usually all are: then they are compared at once."""
+        whole, lengths = "".join(parts).encode(), [len(p.encode()) for p in parts]
+        sides = ((self.a.bytes_of, ids_a), (self.b.bytes_of, ids_b))
+        if all(b"".join([of[i] for i in chain.from_iterable(ids)]) == whole and [sum([len(of[i]) for i in each]) for each in ids] == lengths for of, ids in sides):
+            return [True] * len(parts)
+        same = lambda of, ids, p: b"".join([of[i] for i in ids]) == p.encode()
+        return [same(self.a.bytes_of, x, p) and same(self.b.bytes_of, y, p) for x, y, p in zip(ids_a, ids_b, parts, strict=True)]
+
     def texts(self, texts: list[str]) -> Iterator[tuple | None]:
         spaced = [" " + t for t in texts]
-        cut = [self.words(t) if self.plain(t) else None for t in spaced]
+        cut = [self.words(t) if self.plain(t) and not NO_CUT.search(t) else None for t in spaced]
         new = list({w for words in cut if words for w in words if w not in self.known})
         if len(self.known) + len(new) > self.entries:
             self.known.clear()
@@ -146,19 +155,19 @@ class Aligner:
                 yield None
                 continue
             n_a, n_b, n_groups, pairs, groups = zip(*found, strict=True)
-            yield sum(n_a), sum(n_b), sum(n_groups), np.concatenate(pairs), ";".join(groups)
+            yield sum(n_a), sum(n_b), sum(n_groups), np.frombuffer(b"".join(pairs), np.int64), ";".join(groups)
 
 
 @cache
-def aligner(path_a: str, path_b: str) -> Aligner:
-    return Aligner(path_a, path_b)
+def aligner(path_a: str, path_b: str, ranked: bool) -> Aligner:
+    return Aligner(path_a, path_b, ranked)
 
 
-def _links(path_a: str, path_b: str, groups: bool):
+def _links(path_a: str, path_b: str, ranked: bool, groups: bool):
     """A row for each text with its links, then rows that hold the task's counts of pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = aligner(path_a, path_b)
+        own = aligner(path_a, path_b, ranked)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         waiting = 0
 
@@ -244,7 +253,7 @@ def align_texts(docs: DataFrame, path_a: str, path_b: str, output: str = "digest
     groups_sha256, with "groups" as their text, `a1,a2|b1;a3|b2,b3`. A link is best if its pair of ids is linked as often as
     any pair with its id of B."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.uuid().alias("row"), whole_text(text_col).alias("text"))
-    found = staged(rows.mapInArrow(_links(path_a, path_b, output == "groups"), _ROW), "align-links")
+    found = staged(rows.mapInArrow(_links(path_a, path_b, by_ranks(path_a), output == "groups"), _ROW), "align-links")
     of_b = F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))
     with scratch():
         sums = found.filter("counted").select(F.explode(F.arrays_zip("pairs", "times")).alias("p")).groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.times").alias("n"))

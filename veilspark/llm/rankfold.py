@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.shared import staged, whole_text
+from veilspark.llm.wordcache import halves
 
 #: Words in the plan's table at most, and bytes of a word that is folded.
 CACHED, FOLD_BYTES = 1 << 16, 128
@@ -67,17 +68,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _halves(token: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    """The token's encoding by the merges before its own."""
-    parts, own = [token[i : i + 1] for i in range(len(token))], ranks[token]
-    while True:
-        found = min(((ranks.get(a + b, own), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))), default=(own, 0))
-        if found[0] >= own:
-            return parts
-        at = found[1]
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-
-
 class RankMap:
     """(left id, right id) to the id of both: row `left` of a sparse table lies at base[left] in one array."""
 
@@ -86,10 +76,10 @@ class RankMap:
         rows: dict[int, list[tuple[int, int]]] = {}
         for token, k in ranks.items():
             if len(token) > 1:
-                halves = _halves(token, ranks)
-                if len(halves) != 2:
+                pair = halves(token, ranks)
+                if len(pair) != 2:
                     raise ValueError(f"token {k} of the rank file is not a merge of two others")
-                rows.setdefault(ranks[halves[0]], []).append((ranks[halves[1]], k))
+                rows.setdefault(ranks[pair[0]], []).append((ranks[pair[1]], k))
         self.bytes_of = {k: t for t, k in ranks.items()}
         self.base = np.zeros(self.size + 1, np.int64)  # the last id stands for a word's edges
         room = max(1 << (4 * sum(map(len, rows.values()))).bit_length(), 2 * self.size)  # so sparse that rows soon find a place
