@@ -9,6 +9,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
+from veilspark.llm import registry
 from veilspark.llm.rankfold import FOLD_BYTES, brute_ids, decode_ids, fold_texts, read_ranks
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -55,3 +56,18 @@ def test_no_python_without_long_words(spark):
     assert "Python" not in plan and "Arrow" not in plan
     assert done.count() == 3 and fold_texts(docs.limit(0), PATH).count() == 0
     assert done.filter(F.col("doc_id").isNull()).count() == 1
+
+
+def test_descriptions_of_the_plan_stay_short(spark, tmp_path):
+    """The driver keeps one for each run: with the tables in them it ran out of heap after some runs."""
+    spark.createDataFrame([(1, "plain words only"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    keys = ("spark.sql.debug.maxToStringFields", "spark.sql.maxPlanStringLength", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        done = registry.queries()["op13_byte_bpe"](spark, str(tmp_path))
+        run = done._jdf.queryExecution()
+        assert len(run.toString()) < 50_000 and len(run.executedPlan().simpleString(1)) < 50_000
+        assert done.count() == 2
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

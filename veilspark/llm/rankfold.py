@@ -179,9 +179,10 @@ class Known:
         values = F.split(F.lit(self.values), "\\x00", -1)
 
         def piece(w: Column) -> Column:
-            h, end = F.xxhash64(w), F.concat(F.lit(":"), w)
-            one, two = (F.get(values, s.bitwiseAND(F.lit(self.mask)).cast("int")) for s in (h, F.shiftrightunsigned(h, 32)))
-            return F.when(F.endswith(one, end), one).when(F.endswith(two, end), two).otherwise(fold.packed(w))
+            end, h = F.concat(F.lit(":"), w), F.xxhash64(w)
+            # one copy of the table in the plan: each is some megabytes for the driver
+            held = F.transform(F.array(h, F.shiftrightunsigned(h, 32)), lambda s: F.get(values, s.bitwiseAND(F.lit(self.mask)).cast("int")))
+            return F.coalesce(F.get(F.filter(held, lambda v: F.endswith(v, end)), 0), fold.packed(w))
 
         return F.transform(words, piece)
 

@@ -19,7 +19,7 @@ from veilspark.llm.quality_classifier import quality_scores
 from veilspark.llm.quality_rules import quality_verdicts
 from veilspark.llm.rankfold import fold_texts
 from veilspark.llm.secrets import secret_report
-from veilspark.llm.shared import read_table, small_batches
+from veilspark.llm.shared import read_table, short_plans, small_batches
 from veilspark.llm.toxicity import toxicity_scores
 
 
@@ -187,6 +187,7 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short_plans(spark)
     return fold_texts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 

@@ -85,6 +85,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(SLICE_ROWS))
 
 
+def short_plans(spark: SparkSession) -> None:
+    """Holds the descriptions of plans short. The driver keeps one of each run and of each change to a running plan; with
+    megabytes of literals in them they fill its memory. Only texts are cut: plans and their metrics stay. Called as small_batches is."""
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1")
+    spark.conf.set("spark.sql.maxPlanStringLength", "20000")
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches in parts of so many rows, without a copy; batches without rows give nothing. What a part took goes back
     to the system, so that a worker that is used again does not keep its largest batch."""
