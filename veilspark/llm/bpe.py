@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.shared import forget, scratch, slices, staged, whole_text
-from veilspark.llm.wordcache import BYTE_UNIT, UnitIds, known_text, load
+from veilspark.llm.wordcache import BYTE_UNIT, NO_CUT, Known, Ranked, UnitIds, by_ranks, byte_alphabet, is_known, load
 
 #: Code points in a leaf. A longer text takes the tree.
 LEAF = 1 << 14
@@ -35,18 +35,10 @@ WINDOW = 8
 SPECIAL = "<|endoftext|>"
 
 
-@cache
-def byte_alphabet() -> dict[str, int]:
-    """The letters that stand for bytes: printable ones for themselves, the others from U+0100 on, in order."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class Codec:
     """Encoding and decoding in one Python worker."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranked: bool = False):
         self.tokenizer = load(path)
         letters = byte_alphabet()
         n = self.tokenizer.get_vocab_size(with_added_tokens=True)
@@ -55,10 +47,37 @@ class Codec:
         self.text_of = [str(i) for i in range(n)]
         self.cache = UnitIds(self.tokenizer, BYTE_UNIT, list)
         self.special, self.kinds = self.tokenizer.token_to_id(SPECIAL), {}
+        self.merged = Ranked(path, BYTE_UNIT).encode if ranked else self._units
+        #: By word with the space before it left out: ids; ids as text and the word that they decode to.
+        self.ids_of, self.digests = Known(lambda word: self.merged(" " + word), 1 << 18), Known(self._digest, 1 << 19)
 
     def encode(self, text: str) -> list[int]:
-        if SPECIAL in text or not known_text().fullmatch(text):
+        if SPECIAL in text or not is_known(text):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
+        if NO_CUT.search(text):
+            return self._units(text)
+        first, *words = text.split(" ")
+        ids = list(self.merged(first))
+        for part in map(self.ids_of.__getitem__, words):
+            ids += part
+        return ids
+
+    def _digest(self, word: str) -> tuple[str, str]:
+        ids = self.merged(" " + word)
+        decoded = self.decode(ids).removeprefix(" ")
+        return ",".join([self.text_of[i] for i in ids]) + ",", word if decoded == word else decoded
+
+    def joined(self, text: str) -> tuple[str, str]:
+        """The text's ids, a comma behind each, and the text that they decode to."""
+        if SPECIAL in text or not is_known(text) or NO_CUT.search(text):
+            ids = self.encode(text)
+            return "".join([self.text_of[i] + "," for i in ids]), self.decode(ids)
+        first, *words = text.split(" ")
+        begun = self.merged(first)
+        ids, texts = zip(("".join([self.text_of[i] + "," for i in begun]), self.decode(begun)), *map(self.digests.__getitem__, words), strict=True)
+        return "".join(ids), " ".join(texts)
+
+    def _units(self, text: str) -> list[int]:
         ids: list[int] = []
         for part in self.cache.of_units(self.cache.units(text)):
             ids += part
@@ -127,8 +146,8 @@ class Codec:
 
 
 @cache
-def codec(path: str) -> Codec:
-    return Codec(path)
+def codec(path: str, ranked: bool = False) -> Codec:
+    return Codec(path, ranked)
 
 
 def digest(c: Codec, ids: list[int]) -> tuple:
@@ -137,6 +156,11 @@ def digest(c: Codec, ids: list[int]) -> tuple:
     return len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(c.decode(ids).encode()).hexdigest()
 
 
+def digest_of_text(c: Codec, text: str) -> tuple:
+    ids, decoded = c.joined(text)
+    return ids.count(","), hashlib.sha256(ids[:-1].encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+
+
 def ids_and_text(c: Codec, ids: list[int]) -> tuple:
     return list(ids), c.decode(ids)
 
@@ -148,11 +172,12 @@ OUTPUTS: dict[str, tuple[str, list, Callable]] = {
 }
 
 
-def _whole(path: str, output: str) -> Callable:
+def _whole(path: str, ranked: bool, output: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, (_, fields, finish) = codec(path), OUTPUTS[output]
+        c, (_, fields, finish) = codec(path, ranked), OUTPUTS[output]
         for batch in slices(batches):
-            rows = [finish(c, c.encode(t)) for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            rows = [digest_of_text(c, t) for t in texts] if output == "digest" else [finish(c, c.encode(t)) for t in texts]
             columns = [pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(fields)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *(n for n, _ in fields)])
 
@@ -186,9 +211,9 @@ def _leaves(leaf: int) -> Callable:
     return run
 
 
-def _encode_leaves(path: str) -> Callable:
+def _encode_leaves(path: str, ranked: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = codec(path, ranked)
         for batch in slices(batches, 64):
             ids = [c.encode(x) for x in batch.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ids, pa.list_(pa.int32()))], ["row", "doc_id", "leaves", "at", "ids"])
@@ -196,11 +221,11 @@ def _encode_leaves(path: str) -> Callable:
     return run
 
 
-def _join_level(path: str) -> Callable:
+def _join_level(path: str, ranked: bool) -> Callable:
     """Joins neighbours; rows come in order, so that two of them at most are held. Whole texts pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, held = codec(path), None
+        c, held = codec(path, ranked), None
         names, kinds = ["row", "doc_id", "leaves", "at", "ids"], [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
 
         def batch_of(rows: list) -> pa.RecordBatch:
@@ -224,11 +249,11 @@ def _join_level(path: str) -> Callable:
     return run
 
 
-def _finished(path: str, output: str) -> Callable:
+def _finished(path: str, ranked: bool, output: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, (_, fields, finish) = codec(path), OUTPUTS[output]
+        c, (_, fields, finish) = codec(path, ranked), OUTPUTS[output]
         for batch in slices(batches, 64):
-            rows = [finish(c, ids) for ids in batch.column(1).to_pylist()]
+            rows = [finish(c, x.values.to_numpy().tolist()) for x in batch.column(1)]
             columns = [pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(fields)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *(n for n, _ in fields)])
 
@@ -242,21 +267,21 @@ def encode_texts(docs: DataFrame, path: str, output: str = "digest", id_col: str
     is shuffled. The others are staged once, so that a row keeps its number when a task runs again. A level's nodes are
     dealt by text and pair; texts that are whole after a level are staged and leave.
     """
-    schema = f"doc_id long, {OUTPUTS[output][0]}"
+    schema, ranked = f"doc_id long, {OUTPUTS[output][0]}", by_ranks(path)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     long = F.length("text") > leaf
-    done = rows.filter(~long).mapInArrow(_whole(path, output), schema)
+    done = rows.filter(~long).mapInArrow(_whole(path, ranked, output), schema)
     with scratch():
         tall = staged(rows.filter(long).select(F.uuid().alias("row"), "doc_id", "text"), "bpe-long")
         leaves = tall.mapInArrow(_leaves(leaf), _NODE + "leaf string").repartition(F.col("row"), F.col("at"))
-        nodes = staged(leaves.mapInArrow(_encode_leaves(path), _NODE + "ids array<int>"), "bpe-nodes")
+        nodes = staged(leaves.mapInArrow(_encode_leaves(path, ranked), _NODE + "ids array<int>"), "bpe-nodes")
         deepest = nodes.agg(F.max("leaves")).collect()[0][0] or 1  # one number
         for level in range(1, (deepest - 1).bit_length() + 1):
             pairs = nodes.repartition(F.col("row"), F.floor(F.col("at") / 2)).sortWithinPartitions("row", "at")
-            before, nodes = nodes, staged(pairs.mapInArrow(_join_level(path), _NODE + "ids array<int>"), "bpe-nodes")
+            before, nodes = nodes, staged(pairs.mapInArrow(_join_level(path, ranked), _NODE + "ids array<int>"), "bpe-nodes")
             forget(before)
             whole = F.col("leaves") <= 1 << level
-            done = done.unionByName(staged(nodes.filter(whole).select("doc_id", "ids").mapInArrow(_finished(path, output), schema), "bpe-done", keep=True))
+            done = done.unionByName(staged(nodes.filter(whole).select("doc_id", "ids").mapInArrow(_finished(path, ranked, output), schema), "bpe-done", keep=True))
             nodes = _and_path(nodes.filter(~whole), nodes)
     return done
 
