@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.llm.shared import slices, staged, whole_text
-from veilspark.llm.wordcache import WORD_UNIT, UnitIds, known_text, load
+from veilspark.llm.wordcache import WORD_UNIT, Known, Ranked, UnitIds, by_ranks, is_known, load
 
 LIMIT = 4096
 END_ID = 2
@@ -37,28 +37,35 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 class Ids:
     """A text's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranked: bool = False):
         self.tokenizer = load(path)
-        self.cache = UnitIds(self.tokenizer, WORD_UNIT, lambda ids: np.array(ids, "<u4").tobytes())
+        if ranked:
+            merges = Ranked(path, WORD_UNIT)
+            number = [i.to_bytes(4, "little") for i in range(max(merges.ids) + 1)]
+            self.known = Known(lambda word: b"".join([number[i] for i in merges.encode(word)]), 1 << 19)
+        else:
+            units = UnitIds(self.tokenizer, WORD_UNIT, lambda ids: np.array(ids, "<u4").tobytes())
+            self.known = Known(lambda word: b"".join(units.of_units(units.units(word))), 1 << 18)
 
     def of(self, text: str) -> bytes:
         # the special tokens' own strings are matched before lower-casing; only the library knows them
-        if "<|" in text or not known_text().fullmatch(text):
+        if "<|" in text or not is_known(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(self.cache.of_units(self.cache.units(text.lower())))
+        # no unit holds white space
+        return b"".join(map(self.known.__getitem__, text.lower().split(" ")))
 
 
 @cache
-def _ids(path: str) -> Ids:
-    return Ids(path)
+def _ids(path: str, ranked: bool) -> Ids:
+    return Ids(path, ranked)
 
 
 def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """One row per piece, in the order of the document; with_ids adds the ids themselves."""
-    end = int(end_id).to_bytes(4, "little")
+    end, ranked = int(end_id).to_bytes(4, "little"), by_ranks(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _ids(path)
+        tokens = _ids(path, ranked)
         for batch in slices(batches):
             out: list[list] = [[], [], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
