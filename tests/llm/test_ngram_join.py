@@ -131,3 +131,25 @@ def test_components_of_chains_and_hubs(spark):
     got = Counter(r.label for r in connected_components(df).collect())
     assert got == {0: 51, 1000: 300, 1999: 2}
     assert connected_components(df.limit(0)).collect() == []
+
+
+def test_near_copies_without_their_leader_meet_once(spark):
+    """A family whose leader links with none of it: the others, near copies of each other, need no pairs among them."""
+    rng = random.Random(4)
+    origin = [f"w{k}" for k in range(300)]
+    copies = [[f"e{rng.random()}" if j in at else w for j, w in enumerate(origin)] for at in [rng.sample(range(230, 300), 2) for _ in range(80)]]
+    texts = [" ".join(origin[:225]), *(" ".join(c) for c in copies)]
+    nodes = [ngram_join.node_of(ngram_join.Words().shingles(t.encode(), 5)) for t in texts]
+    join = ngram_join.JaccardJoin(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 80, 5, "doc_id", "text", 16)
+    join.shared_entries = lambda: spark.createDataFrame([(1, n, nodes[0], len(nodes)) for n in nodes], "key long, node long, leader long, size long")
+    counts, found = [], join.apart
+
+    def counted(families, sets):
+        counts.append((pairs := found(families, sets)).count())
+        return pairs
+
+    join.apart = counted
+    links = join.run()[1]
+    assert counts[0] <= len(nodes)
+    assert {r.node for r in connected_components(links).collect()} == set(nodes[1:])
+    assert connected_components(links).select("label").distinct().count() == 1

@@ -9,13 +9,16 @@ tokens could break all its entries: a single costs one missing token, a group of
 ends first in the common order lies within the other, so two documents that link share an entry.
 
 Entries that two or more nodes share lead to candidates without listing a large group's pairs. First each node is tested
-with its entry's leader, the node with the fewest rare tokens; links join nodes to components. Only entries that still
-hold several components go on. In an entry of at most FEW nodes, nodes of differing components meet, at most FEW / 2
+with its entry's leader, the node with the fewest rare tokens; links join nodes to components. The large entries of a
+leader are its family. A leader may be linked with none of its family while the others are near copies of each other, so
+a second leader follows: a node of the largest component outside is tested with the family, until that links nothing more.
+Only entries that still hold several components go on. In an entry of at most FEW nodes, nodes of differing components meet, at most FEW / 2
 rows an entry. In a larger one every node x is described by what sets it apart from the leader, D(x) = x ^ leader, since
 x ^ y = D(x) ^ D(y). With threshold t of 100, x and y link exactly if S(x) + S(y) <= 2 (100 + t) |D(x) & D(y)|, where
 S(x) = (100 + t) |D(x)| - (100 - t) |x|. Where the left side is not positive both link to the entry's node of least S, so
 that pair is enough; else they share a token of D, and prefixes of D over the common order, as long as S asks for, find
-the pair. What members of a family of copies have in common is not in D, so it brings nobody together. Sizes, and
+the pair. What members of a family of copies have in common is not in D, so it brings nobody together. Nodes that several
+families hold meet in that of their least common leader only. Sizes, and
 parities of token counts over 256 bits that bound the symmetric difference from below, discard candidates exactly; the
 others are verified on their whole sets.
 
@@ -44,6 +47,8 @@ BROADCAST_IDS = 500_000
 #: Nodes of an entry up to which those of differing components meet pair by pair. What sets a node apart from a leader is
 #: tens to hundreds of tokens, a row each, so that for fewer nodes the pairs are fewer rows.
 FEW = 64
+#: Second leaders of a family at most: they only save pairs, what they leave is found without them.
+SECOND = 5
 CHUNK = 1 << 14
 _M = np.uint64
 
@@ -255,11 +260,11 @@ def _sets(size: int, twice: frozenset):
     return run
 
 
-_APART = "leader long, node long, label long, outside boolean, n long, p0 long, p1 long, p2 long, p3 long, d long, s long, place long, token long, within boolean"
+_APART = "leader long, node long, label long, outside boolean, n long, p0 long, p1 long, p2 long, p3 long, leaders array<long>, d long, s long, place long, token long, within boolean"
 
 
 def _differences(prefixes):
-    """For each node of an entry (leader, node, label, outside, size and parities, its tokens, the leader's): rows of the
+    """For each node of an entry (leader, node, label, outside, size and parities, its leaders, its tokens, the leader's): rows of the
     tokens that set it apart from the leader, in order. Nodes outside the leader's component give all, the others their prefix (within)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +272,7 @@ def _differences(prefixes):
         more, less = 100 + p.percent, 100 - p.percent
         for batch in slices(batches):
             keys, columns = [], []
-            for k, (outside, x, base) in enumerate(zip(batch.column(3).to_pylist(), batch.column(9), batch.column(10), strict=True)):
+            for k, (outside, x, base) in enumerate(zip(batch.column(3).to_pylist(), batch.column(10), batch.column(11), strict=True)):
                 x, base = (a.values.to_numpy(zero_copy_only=False).view(np.uint64) for a in (x, base))
                 tokens = p.ordered(np.setxor1d(x, base, assume_unique=True))[0]
                 d = len(tokens)
@@ -278,7 +283,7 @@ def _differences(prefixes):
                 keys.append(np.full(length, k))
                 columns.append((np.full(length, d), np.full(length, s), np.arange(1, length + 1), tokens[:length].view(np.int64), np.arange(1, length + 1) <= d - common + 1))
             if keys:
-                of = batch.select(list(range(9))).take(pa.array(np.concatenate(keys)))
+                of = batch.select(list(range(10))).take(pa.array(np.concatenate(keys)))
                 yield pa.RecordBatch.from_arrays([*of.columns, *(pa.array(np.concatenate(c)) for c in zip(*columns, strict=True))], [f.split()[0] for f in _APART.split(", ")])
 
     return run
@@ -315,8 +320,7 @@ class JaccardJoin:
         families = staged(others.filter(F.col("size") > self.few).select("leader", "node").distinct(), "ngram-families")
         pairs = staged(self.plausible(others.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()), "ngram-pairs")
         sets = self.sets(pairs, families.select(F.col("leader").alias("a"), F.col("node").alias("b")))
-        first = self.verified(pairs, sets)
-        labels = connected_components(first)
+        first, labels = self.led_again(families, sets, self.verified(pairs, sets))
         again = self.within_few(self.labelled(shared.filter(F.col("size") <= self.few), labels))
         apart = self.plausible(self.apart(self.labelled(families, labels), sets))
         return first, staged(again.unionByName(apart).distinct(), "ngram-pairs", keep=True)
@@ -358,6 +362,21 @@ class JaccardJoin:
         both = entries.join(label, "node", "left").join(top, "leader", "left")
         return both.withColumn("label", F.coalesce("label", "node")).withColumn("top", F.coalesce("top", "leader"))
 
+    def led_again(self, families: DataFrame, sets: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(links with those that second leaders of families add, labels by them). A round tests each node of a family once."""
+        labels = connected_components(links)
+        for _ in range(SECOND):
+            led = staged(self.labelled(families, labels), "ngram-second")
+            parts = led.filter("label <> top").groupBy("leader", "label").agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("second"))
+            second = parts.groupBy("leader").agg(F.max(F.struct("nodes", "second", "label")).alias("m")).select("leader", "m.second", F.col("m.label").alias("its_label"))
+            pairs = led.join(second, "leader").filter("label <> its_label").select(F.least("node", "second").alias("a"), F.greatest("node", "second").alias("b")).distinct()
+            more = self.verified(self.plausible(pairs), sets)
+            if more.isEmpty():
+                break
+            links = links.unionByName(more)
+            labels = connected_components(links)
+        return links, labels
+
     def within_few(self, led: DataFrame) -> DataFrame:
         """Candidates of small entries that still hold several components."""
         open_keys = led.filter("label <> top").select("key").distinct()
@@ -373,14 +392,16 @@ class JaccardJoin:
         """Candidates of large entries, by what sets their nodes apart from the leader."""
         facts = ["n", "p0", "p1", "p2", "p3"]
         led = families.withColumn("outside", F.col("label") != F.col("top"))
-        led = led.join(led.filter("outside").select("leader").distinct(), "leader", "left_semi")
-        led = led.join(self.nodes.drop("rep"), "node").join(sets, "node").join(sets.select(F.col("node").alias("leader"), F.col("tokens").alias("base")), "leader")
-        rows = staged(led.select("leader", "node", "label", "outside", *facts, "tokens", "base").mapInArrow(_differences(self.prefixes), _APART), "ngram-apart")
-        a = rows.filter("outside").select("leader", "token", *(F.col(c).alias(f"a_{c}") for c in ("node", "label", "d", "s", "place", *facts)))
-        b = rows.filter("within").select("leader", "token", *(F.col(c).alias(f"b_{c}") for c in ("node", "label", "d", "s", "place", *facts)))
+        led = staged(led.join(led.filter("outside").select("leader").distinct(), "leader", "left_semi"), "ngram-outside")
+        leaders = led.groupBy("node").agg(F.collect_set("leader").alias("leaders"))
+        led = led.join(self.nodes.drop("rep"), "node").join(sets, "node").join(sets.select(F.col("node").alias("leader"), F.col("tokens").alias("base")), "leader").join(leaders, "node")
+        rows = staged(led.select("leader", "node", "label", "outside", *facts, "leaders", "tokens", "base").mapInArrow(_differences(self.prefixes), _APART), "ngram-apart")
+        a = rows.filter("outside").select("leader", "token", *(F.col(c).alias(f"a_{c}") for c in ("node", "label", "d", "s", "place", "leaders", *facts)))
+        b = rows.filter("within").select("leader", "token", *(F.col(c).alias(f"b_{c}") for c in ("node", "label", "d", "s", "place", "leaders", *facts)))
         common = F.ceil((F.col("a_s") + F.col("b_s")) / (2 * (100 + self.percent)))
         near = (F.col("a_label") != F.col("b_label")) & (F.col("a_place") + common <= F.col("a_d") + 1) & (F.col("b_place") + common <= F.col("b_d") + 1)
-        met = a.join(b, ["leader", "token"]).filter(near & self._passes("a_", "b_"))
+        first = F.array_min(F.array_intersect("a_leaders", "b_leaders")) == F.col("leader")
+        met = a.join(b, ["leader", "token"]).filter(near & self._passes("a_", "b_") & first)
         # each node's first row; the node of least S stands for all whose difference is small enough without a common token
         once = rows.filter("place = 1")
         least = once.groupBy("leader").agg(F.min(F.struct("s", "node", "label")).alias("m"))
