@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from veilspark.plans import registry
 
@@ -74,3 +75,27 @@ def test_core_stands_without_the_subpackage(monkeypatch):
         monkeypatch.setattr(importlib, "import_module", refuse)
         names = set(entry.queries())
         assert set(registry.queries()) <= names and "pipeline" not in names and set(entry.oracle_sql()) <= names
+
+
+def test_times_are_rounded_as_in_the_sql(spark, duck, tmp_path):
+    from veilspark.plans import fixtures as fx
+
+    at = [0, 1, 499, 500, 501, 1499, 1500, 1704386464049098, 1704976432019500, 1704976432019999, -1, -499, -500, -501, -1500]
+    got = spark.createDataFrame([(k,) for k in at], "us long").selectExpr("us", "cast(timestamp_micros(us) as timestamp_ntz) AS ts").select("us", fx.epoch_ms(F.col("ts")).alias("ms"))
+    want = duck.sql(f"SELECT us, epoch_ms(make_timestamp(us)) FROM (SELECT unnest({at}) AS us)").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_waits_of_requests_between_milliseconds(spark, tmp_path):
+    # a window begins at 0.0006 s, and the fifth request comes at 1.0004 s: the wait is 21,599.001 s or 21,599.000 s by how both are rounded
+    us = [600, 700, 800, 900, 1_000_400, 1_000_600]
+    rows = [(k, -15, t, 0.0) for k, t in enumerate(us)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, us long, value double").selectExpr("event_id", "user_id", "cast(timestamp_micros(us) as timestamp_ntz) AS ts", "value")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    names = ["event_id", "user_id", "admitted", "reason", "retry_s"]
+    for name in ("ratelimit_concurrent", "ratelimit_fixed_window"):
+        cols = [c for c in names if name == "ratelimit_concurrent" or c != "reason"]
+        want = con.sql(f"SELECT {', '.join(cols)} FROM ({registry.oracle_sql()[name]})").fetchall()
+        assert sorted(map(tuple, registry.queries()[name](spark, str(tmp_path)).select(*cols).collect())) == sorted(want) and any(w[-1] for w in want)

@@ -5,7 +5,7 @@ A document is one page (page 0). Words stand on a grid of ten to a line, in whol
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.operators.areas import WORD, page_words
@@ -19,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def epoch_ms(ts: Column) -> Column:
+    """Milliseconds since the epoch to the nearest, halves away from it, as epoch_ms of the SQL; unix_millis rounds down."""
+    us = F.unix_micros(ts.cast("timestamp"))
+    ms = F.call_function("div", F.abs(us) + 500, F.lit(1000))
+    return F.when(us < 0, -ms).otherwise(ms)
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, page, pos, word, x0, y0, x1, y1."""
     split = page_words(table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("page"), "text"))

@@ -227,7 +227,7 @@ def graph_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     "WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_ms(ts) AS t FROM events), w AS (SELECT user_id, min(t) AS began FROM e GROUP BY user_id UNION ALL SELECT w.user_id, (SELECT min(t) FROM e WHERE e.user_id = w.user_id AND e.t >= w.began + 600000) AS began FROM w WHERE w.began IS NOT NULL), p AS (SELECT event_id, e.user_id, t, max(began) AS began FROM e JOIN w ON w.user_id = e.user_id AND w.began <= e.t GROUP BY event_id, e.user_id, t), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, began ORDER BY t, event_id) AS n FROM p) SELECT event_id, user_id, n <= 2 AS admitted, CASE WHEN n > 2 THEN greatest(1, ceil((began + 600000 - t) / 1000.0))::BIGINT END AS retry_s FROM r"
 )
 def ratelimit_fixed_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", fx.epoch_ms(F.col("ts")).alias("ts_ms"))
     return rate_limited(events, per_window=2).select("event_id", "user_id", "admitted", "retry_s")
 
 
@@ -243,8 +243,8 @@ _LATER = "s.began IS NULL OR e.t - s.began >= 21600000"
 )
 def ratelimit_concurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests that hold their place until they end, in windows of six hours; ten users are a client."""
-    at = F.unix_millis(F.col("ts").cast("timestamp"))
-    events = table(spark, sf_dir, "events").select("event_id", F.floor(F.col("user_id") / 10).alias("user_id"), at.alias("ts_ms"), (at + F.floor(F.col("value") * 50_000)).alias("end_ms"))
+    at = fx.epoch_ms(F.col("ts"))
+    events = table(spark, sf_dir, "events").select("event_id", F.call_function("div", "user_id", F.lit(10)).alias("user_id"), at.alias("ts_ms"), (at + F.floor(F.col("value") * 50_000)).alias("end_ms"))
     return rate_limited(events, per_window=4, window_ms=21_600_000)
 
 
@@ -256,7 +256,7 @@ def queue_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, count(*) FILTER (age > 900000) AS swept, count(*) FILTER (age <= 900000) AS kept FROM (SELECT event_type, (SELECT max(epoch_ms(ts)) FROM events) - epoch_ms(ts) AS age FROM events) GROUP BY event_type")
 def ttl_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files strictly older than a quarter of an hour go, as of the last event."""
-    files = table(spark, sf_dir, "events").select("event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    files = table(spark, sf_dir, "events").select("event_type", fx.epoch_ms(F.col("ts")).alias("ms"))
     last = files.agg(F.max("ms").alias("now"), F.lit(1).alias("one"))  # one row
     old = verify.expired(F.col("now") - F.col("ms"))
     return files.withColumn("one", F.lit(1)).join(F.broadcast(last), "one").groupBy("event_type").agg(F.count_if(old).alias("swept"), F.count_if(~old).alias("kept"))

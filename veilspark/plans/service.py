@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import policy
 from veilspark.functions.text import error_line
-from veilspark.plans.fixtures import table
+from veilspark.plans.fixtures import epoch_ms, table
 from veilspark.plans.queries import query
 from veilspark.streaming.limits import rate_limited
 
@@ -90,7 +90,7 @@ def request_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def request_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Searches through all checks: origin, size, the client's limit of four a day, a slot, fields, the end of the process."""
     events, k = table(spark, sf_dir, "events"), F.col("event_id")
-    verdicts = rate_limited(events.select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms")), per_window=4, window_ms=86_400_000)
+    verdicts = rate_limited(events.select("event_id", "user_id", epoch_ms(F.col("ts")).alias("ts_ms")), per_window=4, window_ms=86_400_000)
     joined = events.join(verdicts.select("event_id", "admitted"), "event_id")
     code = F.when(k % 6 == 0, 0).when(k % 6 == 3, policy.ENCRYPTED).when(k % 6 == 4, policy.BAD_PATTERNS).otherwise(1)
     ended = policy.exec_status(code, k % 6 == 5, F.lit("SIGKILL"), F.lit("search"))
