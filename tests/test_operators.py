@@ -465,3 +465,26 @@ def test_leak_kinds_by_location(spark):
     deep, broken = spark.createDataFrame([(9,)], "doc_id long"), spark.createDataFrame([(4,), (4,)], "doc_id long")
     got = sorted(map(tuple, redact.leaks_by_location(strings, terms, ["Made by us 12345"], broken, deep).collect()))
     assert got == [(1, "links"), (1, "pdf_objects"), (2, "form_fields"), (4, "content_syntax"), (9, "nesting_depth")]
+
+
+def test_traversal_of_many_documents_takes_few_jobs_and_large_ones_go_by_levels(spark):
+    rng = random.Random(8)
+    edges = [(doc, rng.randrange(60), "Kids", rng.randrange(60)) for doc in range(40) for _ in range(doc * 4)] + [(50 + doc, k, "Kids", k + 1) for doc in range(2) for k in range(20 + doc)]
+    table = spark.createDataFrame(edges, "doc_id long, src long, key string, dst long")
+    want = set()
+    for doc in {e[0] for e in edges}:
+        seen, at = {0: 0}, [0]
+        while at:
+            new = sorted({d for x, s, _, d in edges if x == doc and s in at and d not in seen})
+            seen.update(dict.fromkeys(new, seen[at[0]] + 1))
+            at = new
+        deep = max(seen.values()) > 20
+        want |= {(doc, None, None)} if deep else {(doc, node, depth) for node, depth in seen.items()}
+    roots = table.select("doc_id").distinct().selectExpr("doc_id", "cast(0 as long) AS node")
+    for whole in (frontier.WHOLE, 70, 1):  # all as rows; some by levels; all by levels
+        spark.sparkContext.setJobGroup(f"walk-{whole}", "")
+        assert set(map(tuple, frontier.levels(table, roots, 20, whole).collect())) == want
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = {whole: len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"walk-{whole}")) for whole in (frontier.WHOLE, 1)}
+    assert jobs[frontier.WHOLE] < 12 < jobs[1]  # twenty levels deep
+    assert (51, None, None) in want and (50, 20, 20) in want

@@ -1,8 +1,10 @@
-"""Breadth-first traversal by joins: a staged frontier meets the edges, and what was seen before goes.
+"""Breadth-first traversal: documents of a bounded number of edges as rows, larger ones by joins.
 
-Nothing holds a document whole. Each level is a join on (doc_id, node), so the objects of one large document are spread
-like those of many small ones; a level's new nodes are staged, and so is the set of all seen, once a few levels have
-gathered. The plan of a level reads staged tables only, so that depth does not make plans longer.
+Edges are counted by document first. One of at most WHOLE edges is gathered in a row, and rows are walked many at a time, so that
+small documents take one pass, whatever their depth, and a table that is dealt out by document already is not shuffled again. A
+larger one is walked level by level: a staged frontier meets the edges, and what was seen before goes. There each level is a join
+on (doc_id, node), so the objects of one large document are spread; a level's new nodes are staged, and so is the set of all
+seen, once a few levels have gathered. The plan of a level reads staged tables only, so that depth does not make plans longer.
 
 Defined results. Nulls in an edge lead nowhere; a root that no edge begins at is reached itself. Repeated edges and roots count
 once, cycles end. A document whose traversal would go deeper than max_depth fails: it gives one row, node and depth null,
@@ -11,10 +13,14 @@ and is never cut short. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 from veilspark.operators.stage import forget, staged
 
@@ -22,14 +28,73 @@ from veilspark.operators.stage import forget, staged
 UPWARD, MAX_DEPTH = ("Parent", "P"), 10_000
 #: Levels that gather before they join the set of all seen.
 GATHERED = 8
+#: Edges of a document, its roots included, that a row holds; as many edges are walked at a time.
+WHOLE = 500_000
 
 
 def _and(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
-def levels(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def levels(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH, whole: int = WHOLE) -> DataFrame:
     """doc_id, node, depth of all that the roots (doc_id, node) reach along edges (doc_id, src, dst), each at its least depth."""
+    node = edges.select(F.coalesce("src", "dst").alias("node")).unionByName(roots.select("node")).schema["node"].dataType
+    steps = edges.select("doc_id", F.col("src").cast(node).alias("src"), F.col("dst").cast(node).alias("dst")).dropna()
+    begins = roots.select("doc_id", F.lit(None).cast(node).alias("src"), F.col("node").alias("dst")).dropna(subset=["doc_id", "dst"])
+    every = steps.unionByName(begins)
+    large = staged(every.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > whole).select("doc_id"), "frontier-large")
+    none = large.isEmpty()
+    schema = StructType().add("doc_id", steps.schema["doc_id"].dataType).add("node", node).add("depth", IntegerType())
+    rows = (every if none else every.join(large, "doc_id", "left_anti")).groupBy("doc_id").agg(F.collect_list(F.struct("src", "dst")).alias("edges"))
+    small = rows.mapInArrow(_walks(max_depth, whole), schema)
+    if none:
+        forget(large)
+        return small
+    return small.unionByName(_by_levels(steps.join(large, "doc_id", "left_semi"), roots.join(large, "doc_id", "left_semi"), max_depth))
+
+
+def _walks(max_depth: int, whole: int):
+    """Rows of a document's edges, its roots being those without a src, to its nodes and depths; one row of nulls if it is deeper."""
+
+    def walk(docs: pa.Array, edges: pa.ListArray) -> pa.RecordBatch:
+        doc = np.repeat(np.arange(len(docs)), edges.value_lengths().to_numpy())
+        src, dst = edges.flatten().flatten()
+        both = pa.concat_arrays([dst, src]).dictionary_encode()
+        codes = both.indices.fill_null(-1).to_numpy().astype(np.int64)
+        ids = np.concatenate([doc, doc]) * len(both.dictionary) + codes
+        nodes, at = np.unique(ids[codes >= 0], return_inverse=True)
+        of, place = np.divmod(nodes, len(both.dictionary))
+        begins = codes[len(doc) :] < 0
+        to, start = at[: len(doc)], at[len(doc) :]
+        new, to = np.unique(to[begins]), to[~begins][np.argsort(start, kind="stable")]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(start, minlength=len(nodes)))])
+        depth, level, deep = np.full(len(nodes), -1, np.int32), 0, np.zeros(len(docs), bool)
+        while len(new):
+            if level > max_depth:
+                deep[of[new]] = True
+                break
+            depth[new] = level
+            n = ends[new + 1] - ends[new]
+            found = to[np.repeat(ends[new] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            new, level = np.unique(found[depth[found] < 0]), level + 1
+        seen, fails = np.flatnonzero((depth >= 0) & ~deep[of]), np.flatnonzero(deep)
+        node = pa.concat_arrays([both.dictionary.take(pa.array(place[seen])), pa.nulls(len(fails), both.dictionary.type)])
+        least = pa.concat_arrays([pa.array(depth[seen]), pa.nulls(len(fails), pa.int32())])
+        return pa.RecordBatch.from_arrays([docs.take(pa.array(np.concatenate([of[seen], fails]))), node, least], ["doc_id", "node", "depth"])
+
+    def walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = np.cumsum(batch["edges"].value_lengths().to_numpy())
+            cuts = np.flatnonzero(np.diff(held // whole, prepend=0))  # a part's edges: fewer than whole, and those of one document
+            for begin, end in zip([0, *cuts], [*cuts, len(held)], strict=True):
+                if end > begin:
+                    part = batch.slice(begin, end - begin)
+                    yield walk(part["doc_id"], part["edges"])
+
+    return walks
+
+
+def _by_levels(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     down = staged(edges.select("doc_id", "src", "dst").dropna(), "frontier-edges")
     recent = [staged(roots.select("doc_id", "node").dropna().distinct().withColumn("depth", F.lit(0)), "frontier")]
     seen: DataFrame | None = None

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from veilspark.operators.areas import WORD, page_words
 
+#: Bytes of the documents' files for each part that they are dealt out to.
+DEALT_BYTES = 2_000_000
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "long_number": r"[0-9]{6,}", "number": r"[0-9]{2,}"}
 #: Zones of every page: id, x0, y0, x1, y1.
 ZONES = [(0, 0, 0, 25, 15), (1, 40, 20, 75, 45)]
@@ -19,6 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def deal(docs: DataFrame, size: int = DEALT_BYTES) -> DataFrame:
+    """Documents dealt out by doc_id before they become words, which take many times the room of their text: what is joined,
+    grouped or ranked by document then needs no other shuffle, and parts are small enough to be sorted in memory. The number of
+    parts follows from the files' size, so deal a table before columns are chosen: what is derived from it then fits together."""
+    n = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // size + 1)
+    return docs.repartition(parts, "doc_id")
+
+
 def epoch_ms(ts: Column) -> Column:
     """Milliseconds since the epoch to the nearest, halves away from it, as epoch_ms of the SQL; unix_millis rounds down."""
     us = F.unix_micros(ts.cast("timestamp"))
@@ -26,9 +37,10 @@ def epoch_ms(ts: Column) -> Column:
     return F.when(us < 0, -ms).otherwise(ms)
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, page, pos, word, x0, y0, x1, y1."""
-    split = page_words(table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("page"), "text"))
+def words(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """doc_id, page, pos, word, x0, y0, x1, y1; dealt out by document, if what follows joins or groups by it."""
+    docs = table(spark, sf_dir, "documents")
+    split = page_words((deal(docs) if dealt else docs).select("doc_id", F.lit(0).alias("page"), "text"))
     x0, y0 = (F.col("pos") % 10) * 10, F.floor(F.col("pos") / 10).cast("int") * 10
     return split.select("doc_id", "page", "pos", "word", x0.alias("x0"), y0.alias("y0"), (x0 + 8).alias("x1"), (y0 + 8).alias("y1"))
 

@@ -217,7 +217,7 @@ def outline_relevel(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def graph_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects that the root reaches in a cyclic graph over a text's words, upward links not followed."""
-    words = fx.words(spark, sf_dir)
+    words = fx.words(spark, sf_dir, dealt=True)
     down = words.select("doc_id", F.floor(F.col("pos") / 2).alias("src"), F.when(F.col("pos") % 9 == 4, "Parent").otherwise("Kids").alias("key"), F.col("pos").cast("long").alias("dst"))
     back = words.select("doc_id", F.col("pos").cast("long").alias("src"), F.lit("Kids").alias("key"), F.floor(F.col("pos") / 3).alias("dst"))
     return reachable(down.unionByName(back)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_reached"), F.sum("node").alias("node_sum"))
