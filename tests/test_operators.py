@@ -1,5 +1,6 @@
 import json
 import random
+import re
 import unicodedata
 
 import pytest
@@ -488,3 +489,27 @@ def test_traversal_of_many_documents_takes_few_jobs_and_large_ones_go_by_levels(
     jobs = {whole: len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"walk-{whole}")) for whole in (frontier.WHOLE, 1)}
     assert jobs[frontier.WHOLE] < 12 < jobs[1]  # twenty levels deep
     assert (51, None, None) in want and (50, 20, 20) in want
+
+
+def test_words_before_an_offset_are_counted_by_blocks(spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("ab\u00e9\U0001f600 \n\t\x0b\u00a0") * rng.choice([1, 1, 1, 40]) for _ in range(n)) for n in (0, 1, 30, 200, 400)] + ["x" * 1000, " " * 600, "x" * 256 + " y" * 200]
+    docs = areas.in_blocks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = docs.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.length("text")), areas.words_until)).alias("end", "n")).collect()
+    want = {(k, end): len(re.findall(areas.WORD, text[:end])) for k, text in enumerate(texts) for end in range(len(text) + 1)}
+    assert {(r.doc_id, r.end): r.n for r in got} == want
+
+
+def test_areas_of_a_long_text_with_many_findings(spark):
+    import time
+
+    from veilspark.operators.search import with_hits
+
+    n = 30_000
+    text = " ".join(f"{100 + k % 700} w{'x' * (k % 5)}" for k in range(n))
+    docs = spark.createDataFrame([(1, 0, text)], "doc_id long, page int, text string")
+    words = areas.page_words(docs).select("doc_id", "page", "pos", (F.col("pos") % 10 * 10).alias("x0"), F.floor(F.col("pos") / 10).alias("y0"), (F.col("pos") % 10 * 10 + 8).alias("x1"), (F.floor(F.col("pos") / 10) + 1).alias("y1"))
+    begun = time.monotonic()
+    got = areas.areas(with_hits(docs, [(0, "number", "[0-9]{3}")]), words).collect()
+    assert time.monotonic() - begun < 60 and len(got) == n
+    assert {(r.y0 * 10 + r.x0 // 10) // 2 for r in got} == set(range(n)) and all(r.value in r.context for r in got)

@@ -177,9 +177,9 @@ _UNTIL = rf"len(regexp_extract_all(substring(text, 1, ({{0}})::BIGINT), '{fx.WOR
 )
 def search_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings with page and rectangles; ten words are a line."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("page"), "text")
+    docs = fx.deal(table(spark, sf_dir, "documents")).select("doc_id", F.lit(0).alias("page"), "text")
     found = with_hits(docs, valid_patterns(spark, load_patterns(fx.PHRASES))[0])
-    return areas.areas(found, fx.words(spark, sf_dir)).select("doc_id", "page", "category", "value", "k", "x0", "y0", "x1", "y1", "context")
+    return areas.areas(found, fx.words(spark, sf_dir, dealt=True)).select("doc_id", "page", "category", "value", "k", "x0", "y0", "x1", "y1", "context")
 
 
 @query(f"WITH {fx.IMAGES_SQL} SELECT file, xref FROM images QUALIFY count(*) OVER (PARTITION BY file, width, height, bits) > 1")

@@ -24,7 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def deal(docs: DataFrame, size: int = DEALT_BYTES) -> DataFrame:
     """Documents dealt out by doc_id before they become words, which take many times the room of their text: what is joined,
     grouped or ranked by document then needs no other shuffle, and parts are small enough to be sorted in memory. The number of
-    parts follows from the files' size, so deal a table before columns are chosen: what is derived from it then fits together."""
+    parts follows from the files' size, so deal a table before columns are chosen: what is derived from it then fits together. A setting of the session lets joins by
+    document and more make use of it; it bears on shuffles only."""
+    docs.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     n = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // size + 1)
     return docs.repartition(parts, "doc_id")
