@@ -99,3 +99,15 @@ def test_waits_of_requests_between_milliseconds(spark, tmp_path):
         cols = [c for c in names if name == "ratelimit_concurrent" or c != "reason"]
         want = con.sql(f"SELECT {', '.join(cols)} FROM ({registry.oracle_sql()[name]})").fetchall()
         assert sorted(map(tuple, registry.queries()[name](spark, str(tmp_path)).select(*cols).collect())) == sorted(want) and any(w[-1] for w in want)
+
+
+@pytest.mark.parametrize("name", ["hidden_words_diff", "search_areas", "graph_reach"])
+def test_words_are_not_shuffled(spark, sf, name):
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    shuffled = [line for line in plan.splitlines() if "Exchange " in line and "REPARTITION_BY_NUM" not in line]
+    assert len(shuffled) == {"hidden_term_words": 1, "graph_reach": 1}.get(name, 0)  # terms; a row for each document
