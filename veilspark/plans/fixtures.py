@@ -52,9 +52,10 @@ WORDS_SQL = rf"""words AS (
   FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{WORD}') AS w FROM documents)))"""
 
 
-def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+def zones(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     each = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(z, ("zone_id", "x0", "y0", "x1", "y1"), strict=True))) for z in ZONES))).alias("z")
-    return table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("page"), each).select("doc_id", "page", "z.*")
+    docs = table(spark, sf_dir, "documents")
+    return (deal(docs) if dealt else docs).select("doc_id", F.lit(0).alias("page"), each).select("doc_id", "page", "z.*")
 
 
 ZONES_SQL = "zones(zone_id, zx0, zy0, zx1, zy1) AS (VALUES " + ", ".join(map(str, ZONES)) + ")"

@@ -123,8 +123,8 @@ def hidden_words_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {fx.WORDS_SQL}, {fx.ZONES_SQL} SELECT doc_id, page + 1 AS page, count(*) AS n_lost FROM words WHERE doc_id % 3 = 0 AND pos % 50 = 49 AND NOT EXISTS (SELECT 1 FROM zones WHERE {fx.TOUCH_SQL.format(m=1)}) GROUP BY doc_id, page"
 )
 def text_loss_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = fx.words(spark, sf_dir)
-    return zones.pages_with_loss(words, words.filter("NOT (doc_id % 3 = 0 AND pos % 50 = 49)"), fx.zones(spark, sf_dir))
+    words = fx.words(spark, sf_dir, dealt=True)
+    return zones.pages_with_loss(words, words.filter("NOT (doc_id % 3 = 0 AND pos % 50 = 49)"), fx.zones(spark, sf_dir, dealt=True))
 
 
 def _places(docs: DataFrame) -> DataFrame:
