@@ -101,7 +101,7 @@ def test_waits_of_requests_between_milliseconds(spark, tmp_path):
         assert sorted(map(tuple, registry.queries()[name](spark, str(tmp_path)).select(*cols).collect())) == sorted(want) and any(w[-1] for w in want)
 
 
-@pytest.mark.parametrize("name", ["hidden_words_diff", "text_loss_pages", "search_areas", "graph_reach"])
+@pytest.mark.parametrize("name", ["hidden_words_diff", "text_loss_pages", "hidden_term_words", "search_areas", "graph_reach"])
 def test_words_are_not_shuffled(spark, sf, name):
     broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions.text import DASHES, compact, norm, norm_all
+from veilspark.operators.once import once_a_row
 from veilspark.operators.stage import free_names
 
 #: The category of zones drawn by hand, whose text is no term; the least length of a term.
@@ -120,12 +121,16 @@ def strings_with_terms(strings: DataFrame, terms: DataFrame, ours: list[str] | N
 def hidden_term_words(hidden: DataFrame, terms: DataFrame) -> DataFrame:
     """The hidden words (doc_id, page, pos, word) that a term (doc_id, term) runs through when they stand side by side,
     normalised, in page order. Occurrences may overlap. A hidden word goes as a whole."""
-    normal = hidden.select("doc_id", "page", "pos", "word", norm(F.col("word")).alias("n"))
+    # normalised after pages have met their terms: Python in between would hide how hidden words are dealt out
     per_doc = terms.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("term").alias("terms"))
-    words = F.array_sort(F.collect_list(F.struct("pos", "word", "n")))
-    pages = normal.groupBy("doc_id", "page").agg(words.alias("words")).join(per_doc, F.col("doc_id") == F.col("_doc"))
-    pages = pages.withColumn("line", F.array_join(F.transform("words", lambda w: w["n"]), " "))
-    pages = pages.withColumn("terms", F.filter("terms", lambda t: F.contains(F.col("line"), t))).filter(F.size("terms") > 0)
+    words = F.array_sort(F.collect_list(F.struct("pos", "word")))
+    pages = hidden.groupBy("doc_id", "page").agg(words.alias("words")).join(per_doc, F.col("doc_id") == F.col("_doc"))
+    pages = pages.withColumn("n", norm_all(F.transform("words", lambda w: w["word"])))
+    pages = pages.withColumn("words", F.zip_with("words", "n", lambda w, n: F.struct(w["pos"].alias("pos"), w["word"].alias("word"), n.alias("n"))))
+    pages = once_a_row(pages.select("doc_id", "page", "words", "terms"), line=F.array_join(F.transform("words", lambda w: w["n"]), " "))
+    # by a generator, since a filter would go into the join, and Python with it
+    pages = once_a_row(pages, run=F.filter("terms", lambda t: F.contains(F.col("line"), t))).drop("terms")
+    pages = pages.select("doc_id", "page", "words", "line", F.explode(F.when(F.size("run") > 0, F.array("run"))).alias("terms"))
     # each term's next occurrence begins at least one character after the last one
     times = lambda t: (F.length("line") - F.length(F.replace(F.col("line"), t, F.lit("")))).cast("int")
     spots = F.flatten(F.transform("terms", lambda t: F.transform(_every(F.col("line"), t, times(t)), lambda at: F.struct(at.alias("start"), (at + F.length(t)).alias("end")))))
