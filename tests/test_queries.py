@@ -111,3 +111,23 @@ def test_words_are_not_shuffled(spark, sf, name):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     shuffled = [line for line in plan.splitlines() if "Exchange " in line and "REPARTITION_BY_NUM" not in line]
     assert len(shuffled) == {"hidden_term_words": 1, "graph_reach": 1}.get(name, 0)  # terms; a row for each document
+
+
+def test_entries_of_the_log_are_not_shuffled(spark, sf, monkeypatch):
+    from veilspark.operators import fills
+
+    plans, real = {}, fills.staged
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(fills, "staged", noted)
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        registry.queries()["fills_paint_order"](spark, sf)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    shuffled = {name: [line for line in plan.splitlines() if "Exchange " in line and "REPARTITION_BY_NUM" not in line] for name, plan in plans.items()}
+    assert not shuffled["fills"] and len(shuffled["fill-edges"]) == 1  # the staged fills, to the rectangles' parts

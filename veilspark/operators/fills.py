@@ -4,8 +4,8 @@ The log of a page's content says in which order it was painted. A fill hid somet
 that shows: one that is not invisible text, does not lie in a zone as a whole, and is not itself a fill that hid nothing. The
 last condition makes the fate of a fill depend on that of the fills below it. Entries that are no such fill show for
 sure; what they lie under is over, and so is whatever lies on an over one. So the fills that hid something are those
-that edges of overlap, from earlier to later, lead to from the entries that are no candidates: a traversal by staged
-frontiers, with no group for a page. A fill that is over also says whether anything was painted on it later.
+that edges of overlap, from earlier to later, lead to from the entries that are no candidates: a traversal, which takes
+pages of bounded size as rows and larger ones by staged frontiers. A fill that is over also says whether anything was painted on it later.
 
 Defined results. A fill may have several rectangles, rows of one seqno. Entries and rectangles without extent, or with nulls,
 overlap nothing. Repeated rows count once. Empty tables give an empty result.
@@ -41,8 +41,9 @@ def touched_fills(log: DataFrame, fills: DataFrame, zones: DataFrame, side: floa
     inside = overlapping(shown, zone, KEYS, side).filter("l_x0 >= r_x0 AND l_y0 >= r_y0 AND l_x1 <= r_x1 AND l_y1 <= r_y1").select(*(F.col(f"l_{c}").alias(c) for c in own)).distinct()
     shown = shown.join(inside, own, "left_anti")
     met = overlapping(rects, shown, KEYS, side).filter("l_seqno <> r_seqno")
-    edges = staged(met.select(F.struct(*(F.col(f"l_{k}").alias(k) for k in KEYS)).alias("doc_id"), F.col("l_seqno").alias("fill"), F.col("r_seqno").alias("entry")).distinct(), "fill-edges")
     page = F.struct(*KEYS).alias("doc_id")
+    pairs = met.select(*(F.col(f"l_{k}").alias(k) for k in KEYS), F.col("l_seqno").alias("fill"), F.col("r_seqno").alias("entry")).distinct()
+    edges = staged(pairs.select(page, "fill", "entry"), "fill-edges")  # distinct before its pages are structs, by which nothing is dealt out
     mine = chosen.select(page, "seqno")
     below = edges.filter("entry < fill").select("doc_id", F.col("entry").alias("src"), F.col("fill").alias("dst"))
     sure = below.join(mine.select("doc_id", F.col("seqno").alias("src")), ["doc_id", "src"], "left_anti").select("doc_id", F.col("dst").alias("node"))

@@ -159,7 +159,7 @@ def fills_paint_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     pos = F.col("pos")
     x0, y0 = pos * 37 % 100, F.floor(pos / 10) * 10 + pos * 7 % 25
     kind = F.when(pos % 11 == 5, "ignore-text").when(pos % 4 == 1, "fill-path").otherwise("fill-text")
-    log = fx.words(spark, sf_dir).select("doc_id", "page", pos.alias("seqno"), kind.alias("kind"), x0.alias("x0"), y0.alias("y0"), (x0 + 8 + pos % 9).alias("x1"), (y0 + 6 + pos % 5).alias("y1"))
+    log = fx.words(spark, sf_dir, dealt=True).select("doc_id", "page", pos.alias("seqno"), kind.alias("kind"), x0.alias("x0"), y0.alias("y0"), (x0 + 8 + pos % 9).alias("x1"), (y0 + 6 + pos % 5).alias("y1"))
     zones_ = log.groupBy("doc_id", "page").agg(F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.lit(60).alias("x1"), F.max("y1").alias("y1"))
     return touched_fills(log, log.filter("seqno % 4 = 1"), zones_)
 
